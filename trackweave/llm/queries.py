@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackweave.llm.bpe import encode_decode
 from trackweave.llm.common import read_table
+from trackweave.llm.ngram_join import jaccard_components
 from trackweave.llm.packing import pack
+from trackweave.llm.quality_rules import quality_rules
 from trackweave.llm.token_counts import token_counts
 
 
@@ -20,6 +22,10 @@ def vocabulary(name: str) -> Path:
     return Path(public_tokenizers.path(name))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").read_text())
 
@@ -28,12 +34,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken").read_bytes())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").read_text())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op5_byte_bpe, op9_packing)
+    f.__name__: f for f in (op3_ngram_join, op4_token_counts, op5_byte_bpe, op8_quality_rules, op9_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
