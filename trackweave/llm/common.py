@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_KEPT: dict[str, object] = {}
+
+
+def per_worker(kind: str, data: bytes | str, make: Callable[[], object]) -> object:
+    """What ``make`` builds from ``data``, built once a Python worker and shared by its tasks."""
+    key = f"{kind}:{xxhash.xxh3_128_hexdigest(data)}"
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class HashCache(dict):
     """word -> 64-bit hash; starts afresh at ``CACHE_ENTRIES`` so memory stays bounded."""
 
@@ -112,3 +125,30 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object
             held.append(batch.slice(a, b - a))
     if held:
         yield held_key, held
+
+
+CELLS_A_PART = 1 << 16
+
+
+def cells_batch(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's fixed-size counts as compressed parts, those without a count left out."""
+    found = [(i, counts[at : at + CELLS_A_PART]) for i, at in enumerate(range(0, len(counts), CELLS_A_PART))]
+    rows = [(i, zlib.compress(c.astype("<i8").tobytes(), 1)) for i, c in found if c.any()]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
+
+
+def summed_cells(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of all tasks' ``cells_batch`` counts. ``size`` is fixed by the caller, so what reaches the driver is bounded."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = 0
+        for x in pdf["counts"]:
+            total = total + np.frombuffer(zlib.decompress(x), dtype="<i8")
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros(size, dtype=np.int64)
+    for row in parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        at = row["part"] * CELLS_A_PART
+        part = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
+        out[at : at + len(part)] = part
+    return out

@@ -25,23 +25,19 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import HashCache, dropped, groups, release, window_hashes, word_hashes, written
+from trackweave.llm.common import HashCache, cells_batch, dropped, groups, release, summed_cells, window_hashes, word_hashes, written
 from trackweave.llm.components import connected_components
 
-_CHUNK = 1 << 16
-
 
 def shingles(text: str | None, k: int, cache: HashCache) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles; of all words together if there are fewer."""
@@ -61,26 +57,15 @@ def count_ranks(docs: DataFrame, k: int, bits: int) -> bytes:
     """One byte for each of ``2**bits`` cells: how frequent the shingles that fall into it are, on a log scale."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cache, mask = np.zeros(1 << bits, dtype="<u4"), HashCache(), np.uint64((1 << bits) - 1)
+        cells, cache, mask = np.zeros(1 << bits, dtype=np.int64), HashCache(), np.uint64((1 << bits) - 1)
         for batch in batches:
             for text in batch.column(0):
                 s = shingles(text.as_py(), k, cache)
                 np.add.at(cells, (s & mask).astype(np.int64), 1)
-        parts = cells.reshape(-1, min(_CHUNK, len(cells)))
-        rows = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(parts) if p.any()]
-        yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), dtype="<u4").astype(np.int64) for x in pdf["counts"])
-        ranks = np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "ranks": [ranks.tobytes()]})
-
-    parts = docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, ranks binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for row in parts:
-        a = np.frombuffer(row["ranks"], dtype=np.uint8)
-        out[row["part"] * len(a) : (row["part"] + 1) * len(a)] = a
-    return out.tobytes()
+        yield cells_batch(cells)
+
+    total = summed_cells(docs.mapInArrow(count, "part int, counts binary"), 1 << bits)
+    return np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()
 
 
 def prefixes(docs: DataFrame, ranks: bytes, k: int, num: int, den: int) -> DataFrame:

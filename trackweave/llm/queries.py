@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackweave.llm import language_id, quality_classifier
 from trackweave.llm.bpe import encode_decode
 from trackweave.llm.common import read_table
 from trackweave.llm.ngram_join import jaccard_components
@@ -22,6 +23,16 @@ def vocabulary(name: str) -> Path:
     return Path(public_tokenizers.path(name))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_classifier.grade(docs, quality_classifier.learned(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learned(docs))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -43,7 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_join, op4_token_counts, op5_byte_bpe, op8_quality_rules, op9_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op8_quality_rules, op9_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
