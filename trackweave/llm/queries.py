@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trackweave.llm import language_id, quality_classifier
 from trackweave.llm.bpe import encode_decode
 from trackweave.llm.common import read_table
+from trackweave.llm.fingerprints import fingerprints
 from trackweave.llm.ngram_join import jaccard_components
 from trackweave.llm.packing import pack
 from trackweave.llm.quality_rules import quality_rules
@@ -45,6 +46,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken").read_bytes())
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -54,7 +59,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op8_quality_rules, op9_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op7_fingerprints, op8_quality_rules, op9_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
