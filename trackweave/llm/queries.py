@@ -14,6 +14,7 @@ from trackweave.llm.fingerprints import fingerprints
 from trackweave.llm.ngram_join import jaccard_components
 from trackweave.llm.packing import pack
 from trackweave.llm.quality_rules import quality_rules
+from trackweave.llm.substring_dedup import substring_dedup
 from trackweave.llm.token_counts import token_counts
 
 
@@ -58,8 +59,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").read_text())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), width=13).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op7_fingerprints, op8_quality_rules, op9_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
