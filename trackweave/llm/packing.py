@@ -27,6 +27,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from trackweave.llm.common import per_worker
 from trackweave.llm.pretokens import is_latin, latin_words
 from trackweave.llm.token_counts import added_strings, load_tokenizer
 
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_json: str, *, end_id: int = 2, length: int =
     closing = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(load_tokenizer(shared.value))
+        encoder = per_worker("words", shared.value, lambda: WordIds(load_tokenizer(shared.value)))
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple[object, bytes, int]] = []  # id, packed ids, ids before those still to be packed
         waiting = 0
