@@ -174,15 +174,17 @@ def predict(model: LanguageModel, words: WordScores, text: str | None) -> tuple[
     return model.languages[best], float(p[best])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; the model (a fixed number of cells a language) is broadcast."""
+def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, and the columns in ``keep``; the model (a fixed number of cells a language) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    also = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(shared.value)
         for batch in batches:
             found = [predict(shared.value, words, text.as_py()) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *keep)
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{also}")

@@ -15,6 +15,7 @@ from trackweave.llm.ngram_join import jaccard_components
 from trackweave.llm.packing import pack
 from trackweave.llm.quality_rules import quality_rules
 from trackweave.llm.substring_dedup import substring_dedup
+from trackweave.llm.suffix_dedup import suffix_dedup
 from trackweave.llm.token_counts import token_counts
 
 
@@ -47,6 +48,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken").read_bytes())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"), width=100).drop("kept")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
