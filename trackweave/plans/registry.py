@@ -10,5 +10,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).toDF("n")
+    return QUERIES["identity_score"](spark, sf_dir)
+
+
+from trackweave.plans import box_queries, kernel_queries, run_queries, span_queries, time_queries, vote_queries  # noqa: E402, F401
