@@ -41,8 +41,8 @@ def first_box_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BOXES_SQL}, d AS (SELECT frame // 64 AS clip, frame % 64 AS frame, tid, x1, y1, x2, y2 FROM b WHERE tid <= 2), t AS (SELECT frame // 64 AS clip, frame % 64 AS frame, tid, x1, y1, x2, y2 FROM b WHERE tid > 2 AND frame % 64 % 3 = 0),
 g AS (SELECT DISTINCT clip, frame AS grid FROM t), q AS (SELECT d.*, CASE WHEN g.grid IS NOT NULL THEN d.frame - d.frame % 3 ELSE d.frame - d.frame % 3 + 3 END AS grid FROM d LEFT JOIN g ON g.clip = d.clip AND g.grid = d.frame - d.frame % 3),
-p AS (SELECT a.clip, a.frame, a.tid, b.tid AS other, {_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER}) AS share FROM q a JOIN t b ON a.clip = b.clip AND a.grid = b.frame),
-r AS (SELECT *, row_number() OVER (PARTITION BY clip, frame, tid ORDER BY share DESC, other) AS k FROM p WHERE share > 0.4) SELECT clip, frame, tid, other AS adopted_tid, round(share, 6) AS share FROM r WHERE k = 1""")
+p AS (SELECT a.clip, a.frame, a.tid, a.x1, a.y1, a.x2, a.y2, b.tid AS other, {_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER}) AS share FROM q a JOIN t b ON a.clip = b.clip AND a.grid = b.frame),
+r AS (SELECT *, row_number() OVER (PARTITION BY clip, frame, tid, x1, y1, x2, y2 ORDER BY share DESC, other) AS k FROM p WHERE share > 0.4) SELECT clip, frame, tid, other AS adopted_tid, round(share, 6) AS share FROM r WHERE k = 1""")
 def adopted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = line_boxes(spark, sf_dir).select(F.floor(F.col("frame") / 64).alias("clip"), (F.col("frame") % 64).alias("frame"), "tid", "x1", "y1", "x2", "y2")
     tracks = b.where("tid > 2 and frame % 3 = 0")

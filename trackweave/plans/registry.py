@@ -25,9 +25,3 @@ def query(sql: str | None = None) -> Callable:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["identity_score"](spark, sf_dir)
-
-
-from trackweave.plans import box_queries, kernel_queries, run_queries, span_queries, time_queries, vote_queries  # noqa: E402, F401
