@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, with production parameters, and their SQL."""
+"""The registered queries of the corpus operators, with production parameters; ``ORACLE_SQL`` has the SQL of those that it can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from trackweave.llm.bpe import encode_decode
 from trackweave.llm.common import read_table
 from trackweave.llm.fingerprints import fingerprints
 from trackweave.llm.ngram_join import jaccard_components
+from trackweave.llm.oracles import ORACLE_SQL
 from trackweave.llm.packing import pack
 from trackweave.llm.quality_rules import quality_rules
 from trackweave.llm.substring_dedup import substring_dedup
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
