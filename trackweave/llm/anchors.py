@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.llm.common import BROADCAST_ROWS, written
+
 
 def sliding(values: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     """``best`` (minimum or maximum) of each run of ``w`` consecutive values, by doubling."""
@@ -46,3 +48,16 @@ def repeated_anchors(anchors: DataFrame, *, within: bool) -> DataFrame:
     same = Window.partitionBy("anchor").orderBy("doc_id")
     seen = anchors.withColumn("elsewhere", F.lag("doc_id").over(same).isNotNull() | F.lead("doc_id").over(same).isNotNull())
     return seen.where("elsewhere or many" if within else "elsewhere").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose text a smaller id has too; a written table of ids."""
+    keyed = docs.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("key"))
+    low = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    return written(keyed.join(low, "key").where("doc_id > low").select("doc_id").distinct())
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``ids``; these are broadcast while they are few."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(few, "doc_id", "left_anti")

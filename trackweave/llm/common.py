@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most narrow rows (ids and a few numbers, under 100 MB) that are broadcast; larger sides are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 #: Entries a task keeps in a word cache before it starts afresh (about 50 MB).
 CACHE_ENTRIES = 300_000
 
@@ -55,9 +59,14 @@ def dropped(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove shuffle files of jobs whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's context cleaner remove shuffle files of jobs whose frames are gone.
+
+    One collection only finds the frames; their shuffles are found by the next.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 _KEPT: dict[str, object] = {}

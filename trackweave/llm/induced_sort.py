@@ -16,7 +16,8 @@ from __future__ import annotations
 import tempfile
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 BLOCK = 1 << 15
 
@@ -27,64 +28,35 @@ class SymbolQueue:
     def __init__(self, block: int = BLOCK):
         self.block, self.tail, self.blocks, self.file = 2 * block, {}, {}, None
 
-    def push(self, symbol: int, position: int, common: int) -> None:
-        tail = self.tail.get(symbol)
-        if tail is None:
-            tail = self.tail[symbol] = array("q")
-        tail.append(position)
-        tail.append(common)
-        if len(tail) >= self.block:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            at = self.file.seek(0, 2)
-            tail.tofile(self.file)
-            self.blocks.setdefault(symbol, []).append((at, len(tail)))
-            self.tail[symbol] = array("q")
-
-    def drain(self, symbol: int) -> Iterator[tuple[int, int]]:
-        """All pairs of a symbol in order, those pushed for it meanwhile included."""
-        done = 0
+    def spill(self, symbol: int) -> list[int]:
+        """Move a symbol's full tail to disk; its new, empty tail."""
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        tail = array("q", self.tail[symbol])
+        self.blocks.setdefault(symbol, []).append((self.file.seek(0, 2), len(tail)))
+        tail.tofile(self.file)
+        fresh = self.tail[symbol] = []
+        return fresh
+
+    def drain(self, symbol: int) -> Iterator[list[int]]:
+        """All pairs of a symbol in order as flat lists, those pushed for it meanwhile included."""
         while True:
-            while blocks := self.blocks.get(symbol):
+            if blocks := self.blocks.get(symbol):
                 at, n = blocks.pop(0)
                 held = array("q")
                 self.file.seek(at)
                 held.fromfile(self.file, n)
-                for i in range(2 * done, n, 2):
-                    yield held[i], held[i + 1]
-                done = 0
-            tail = self.tail.get(symbol)
-            if tail is None or 2 * done >= len(tail):
-                break
-            if not self.blocks.get(symbol):
-                pair = tail[2 * done], tail[2 * done + 1]
-                done += 1
-                yield pair
-        self.tail.pop(symbol, None)
+                yield held.tolist()
+            elif tail := self.tail.pop(symbol, None):
+                yield tail
+            else:
+                return
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-class Minima:
-    """Least common prefix from any earlier place of a growing sequence to its end."""
-
-    def __init__(self) -> None:
-        self.at, self.low, self.n = [], [], -1
-
-    def add(self, common: int) -> None:
-        self.n += 1
-        while self.low and self.low[-1] >= common:
-            self.at.pop()
-            self.low.pop()
-        self.at.append(self.n)
-        self.low.append(common)
-
-    def since(self, place: int) -> int:
-        return self.low[bisect_right(self.at, place)]
-
-
 def common_prefix(t: Sequence, a: int, b: int, cap: int) -> int:
     if t[a : a + cap] == t[b : b + cap]:
         return min(cap, len(t) - max(a, b))
@@ -119,64 +91,92 @@ def suffix_array(t: Sequence, cap: int, block: int = BLOCK) -> tuple[list[int],
     symbols = sorted(set(t))
 
     # Ascending: the larger ones of a symbol, then its low suffixes.
-    queue, minima = SymbolQueue(block), Minima()
-    last: dict[int, int] = {}  # symbol -> place of the suffix that its latest arrival came from
-    larger: dict[int, tuple[list[int], list[int]]] = {}
-
-    def arrive(position: int) -> None:
-        c, here = t[position], minima.n
-        queue.push(c, position, min(cap, 1 + minima.since(last[c])) if c in last else 0)
-        last[c] = here
-
-    minima.add(0)
-    arrive(n - 1)
-    last[t[n - 1]] = minima.n
-    for c in symbols:
-        before, places, commons = -1, [], []
-        for p, common in queue.drain(c):
-            if before < 0:
-                common = 0
-            places.append(p)
-            commons.append(common)
-            minima.add(common)
-            before = p
-            if p and not small[p - 1]:
-                arrive(p - 1)
-        larger[c] = places, commons
-        for s in by_symbol.get(c, ()):
-            minima.add(0 if before < 0 else common_prefix(t, before, s, cap) if small[before] else min(cap, run[before], run[s]))
-            before = s
-            if not small[s - 1]:
-                arrive(s - 1)
+    larger = {c: ([], []) for c in symbols}
+
+    def ascending() -> Iterator[tuple[int, Iterator[list[int]], list[int]]]:
+        for c in symbols:
+            yield c, queue.drain(c), by_symbol.get(c, [])
+
+    def boundary(before: int, s: int) -> int:
+        return common_prefix(t, before, s, cap) if small[before] else min(cap, run[before], run[s])
+
+    queue = SymbolQueue(block)
+    induce(t, queue, ascending(), small, 0, cap, boundary, [n - 1], lambda c, p, common: (larger[c][0].append(p), larger[c][1].append(common)))
     queue.close()
 
     # Descending: the smaller ones of a symbol, then its larger ones; commons are with the suffix just above.
-    queue, minima, last = SymbolQueue(block), Minima(), {}
-    order, commons_out = [], []
-    for c in reversed(symbols):
-        before = -1
-        places, commons = larger[c]
-        for p, common in queue.drain(c):
-            common = 0 if before < 0 else common
-            order.append(p)
-            commons_out.append(common)
-            minima.add(common)
-            before = p
-            if p and small[p - 1]:
-                arrive(p - 1)
-        for k in range(len(places) - 1, -1, -1):
-            p = places[k]
-            common = 0 if before < 0 else commons[k + 1] if k + 1 < len(places) else min(cap, run[before], run[p])
-            order.append(p)
-            commons_out.append(common)
-            minima.add(common)
-            before = p
-            if p and small[p - 1]:
-                arrive(p - 1)
+    order, commons = [], []
+
+    def descending() -> Iterator[tuple[int, Iterator[list[int]], list[int]]]:
+        for c in reversed(symbols):
+            yield c, queue.drain(c), larger[c][0][::-1]
+
+    above: dict[int, int] = {}
+    for places, values in larger.values():
+        above.update(zip(places[:-1], values[1:]))
+
+    def between(before: int, p: int) -> int:
+        return above[p] if p in above else min(cap, run[before], run[p])
+
+    queue = SymbolQueue(block)
+    induce(t, queue, descending(), small, 1, cap, between, [], lambda c, p, common: (order.append(p), commons.append(common)))
     queue.close()
     order.reverse()
     # The common value of a suffix with the one above belongs, in ascending order, to the one above.
-    return order, [0, *commons_out[:0:-1]]
+    return order, [0, *commons[:0:-1]]
+
+
+def induce(t: Sequence, queue: SymbolQueue, symbols: Iterator, small: bytearray, kind: int, cap: int, boundary: Callable[[int, int], int], first: list[int], take: Callable[[int, int, int], object]) -> None:
+    """One pass: the queue's suffixes of a symbol, then its given ones; each pushes its predecessor if that is of ``kind``.
+
+    The common prefix of two neighbours in a queue is one more than the least of all values
+    between the suffixes they came from; a stack of rising minima since each place gives it.
+    ``take`` gets (symbol, suffix, common prefix) of the queued ones, in the descending pass of all.
+    """
+    tails, limit = queue.tail, queue.block
+    came: dict[int, int] = {}  # symbol -> place of the suffix that its latest arrival came from
+    at, low, place = [0], [0], 0
+    for p in first:
+        tails[t[p]] = [p, 0]
+        came[t[p]] = 0
+
+    for c, drained, given in symbols:
+        before = -1
+        for pairs in chain(drained, ([x for p in given for x in (p, -1)],)):
+            i = 0
+            while i < len(pairs):
+                p, common = pairs[i], pairs[i + 1]
+                i += 2
+                queued = common >= 0
+                if before < 0:
+                    common = 0
+                elif not queued:
+                    common = boundary(before, p)
+                if queued or kind:
+                    take(c, p, common)
+                place += 1
+                while low and low[-1] >= common:
+                    at.pop()
+                    low.pop()
+                at.append(place)
+                low.append(common)
+                before = p
+                if p and small[p - 1] == kind:
+                    d = t[p - 1]
+                    since = came.get(d)
+                    if since is None:
+                        value = 0
+                    else:
+                        value = low[bisect_right(at, since)] + 1
+                        if value > cap:
+                            value = cap
+                    came[d] = place
+                    tail = tails.get(d)
+                    if tail is None:
+                        tail = tails[d] = []
+                    tail += (p - 1, value)
+                    if len(tail) >= limit:
+                        queue.spill(d)
 
 
 def sorted_lows(t: Sequence, lows: list[int], cap: int, block: int) -> list[int]:

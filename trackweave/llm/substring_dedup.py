@@ -8,6 +8,9 @@ are one path; joins and a running maximum compact all such edges to paths with s
 coordinates. What a document has of a path from a smaller source, at one distance and
 without a gap, is one repeated span, and the words of all spans go.
 
+Exact copies of a document with a smaller id are found first by their digests: all their
+words go, if they have ``width`` of them, and they need no edges.
+
 A word is a run of bytes other than ASCII white space, compared unchanged; edges compare
 64-bit hashes. Windows do not cross documents; repeats inside one document stay. Null and
 empty texts have no words. A null ``doc_id`` row is returned with nothing removed and is
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.anchors import repeated_anchors, window_anchors
+from trackweave.llm.anchors import exact_copies, repeated_anchors, window_anchors, without
 from trackweave.llm.common import HashCache, dropped, release, window_hashes, word_hashes, written
 
 ANCHOR_WORDS = 5
+#: End of a span that takes all of its document.
+WHOLE = 2**31 - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,7 +59,10 @@ def anchors_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """edge, from, to, doc_id, at: windows whose anchor is repeated."""
+    """edge, source, target, doc_id, at: windows whose anchor is repeated.
+
+    Nodes keep 32 bits: two nodes under one number can only part a path, never join one.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     k = min(ANCHOR_WORDS, width)
 
@@ -70,15 +78,15 @@ def occurrences(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                 if len(at):
                     nodes = window_hashes(units, width - 1)
                     edges.append(window_hashes(units, width)[at])
-                    froms.append(nodes[at])
-                    tos.append(nodes[at + 1])
+                    froms.append(nodes[at].astype(np.uint32))
+                    tos.append(nodes[at + 1].astype(np.uint32))
                     places.append(at)
                     owner.append(np.full(len(at), i))
             if edges:
-                cols = [pa.array(np.concatenate(c).view(np.int64)) for c in (edges, froms, tos)]
+                cols = [pa.array(np.concatenate(edges).view(np.int64)), *[pa.array(np.concatenate(c).view(np.int32)) for c in (froms, tos)]]
                 yield pa.RecordBatch.from_arrays([*cols, batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(places), pa.int32())], names=["edge", "source", "target", "doc_id", "at"])
 
-    return docs.join(repeated, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, f"edge bigint, source bigint, target bigint, doc_id {kind}, at int")
+    return docs.join(repeated, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, f"edge bigint, source int, target int, doc_id {kind}, at int")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -96,28 +104,37 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
-    """doc_id, start, end (words, end excluded), first_doc, first_at, path_at: every repeated span and its source."""
+    """doc_id, start, end (words, end excluded), first_doc, first_at, path_at: every repeated span and its source.
+
+    Exact copies have one span, to ``WHOLE``, without coordinates.
+    """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    repeated = repeated_anchors(anchors_of(docs, width).distinct().withColumn("many", F.lit(False)), within=False)
+    copies = exact_copies(docs)
+    docs = without(docs, copies)
+    repeated = repeated_anchors(anchors_of(docs, width).withColumn("many", F.lit(False)), within=False)
     found = written(occurrences(docs, repeated, width))
     release(spark)
-    # Ties on the smallest document: its first place, so that source coordinates run on.
-    edges = found.groupBy("edge").agg(F.min(F.struct("doc_id", "at", "source", "target")).alias("low"), F.max("doc_id").alias("last")).where("low.doc_id <> last")
-    edges = written(edges.select("edge", "low.source", "low.target", F.col("low.doc_id").alias("first_doc"), F.col("low.at").alias("first_at")))
+    lows = found.groupBy("edge").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
+    shared = written(found.join(lows, "edge"))
+    dropped(found)
     release(spark)
-    hits = found.select("edge", "doc_id", "at").join(compacted(edges), "edge").where("doc_id > first_doc")
-    run = Window.partitionBy("doc_id", "first_doc", "path_at", F.col("at") - F.col("first_at")).orderBy("at")
-    hits = hits.withColumn("gap", F.col("at") - F.row_number().over(run)).withColumn("shift", F.col("at") - F.col("first_at"))
+    # In its source document an edge counts at its first place, so that source coordinates run on.
+    edges = shared.where("doc_id = first_doc").groupBy("edge", "source", "target", "first_doc").agg(F.min("at").alias("first_at"))
+    paths = compacted(written(edges))
+    hits = shared.where("doc_id > first_doc").select("edge", "doc_id", "at").join(paths, "edge")
+    run = Window.partitionBy("doc_id", "first_doc", "path_at", "shift").orderBy("at")
+    hits = hits.withColumn("shift", F.col("at") - F.col("first_at")).withColumn("gap", F.col("at") - F.row_number().over(run))
     spans = hits.groupBy("doc_id", "first_doc", "path_at", "shift", "gap").agg(F.min("at").alias("start"), (F.max("at") + width).alias("end"), F.min("first_at").alias("first_at"))
-    spans = written(spans.select("doc_id", "start", "end", "first_doc", "first_at", "path_at"))
-    dropped(found, edges)
+    whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"), F.lit(None).alias("first_doc"), F.lit(None).alias("first_at"), F.lit(None).alias("path_at"))
+    spans = written(spans.select("doc_id", "start", "end", "first_doc", "first_at", "path_at").unionByName(whole))
+    dropped(shared, copies)
     release(spark)
     return spans
 
 
-def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, one space between) of every row."""
+def without_spans(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, one space between) of every row; texts under ``width`` words stay whole."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +143,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for text, parts in zip(batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 stay = np.ones(len(words), dtype=bool)
-                for part in parts.as_py() or ():
+                for part in (parts.as_py() or ()) if len(words) >= width else ():
                     stay[part["start"] : part["end"]] = False
                 left = b" ".join([words[i] for i in np.flatnonzero(stay)])
                 sizes.append(len(words))
@@ -140,4 +157,4 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, *, width: int = 13) -> DataFrame:
-    return without_spans(docs, repeated_spans(docs, width=width))
+    return without_spans(docs, repeated_spans(docs, width=width), width)

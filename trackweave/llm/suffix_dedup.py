@@ -6,14 +6,18 @@ document with a smaller id, or earlier in its own.
 1. Of every ``width`` bytes the smallest hash of 32 bytes is the anchor. Only windows whose
    anchor is somewhere else too can be repeated; runs of neighbouring windows with the
    same anchor are cut out with their text.
-2. The runs are dealt by anchor, so equal windows meet. Of equal runs the first stays and
-   the others are repeated as a whole.
-3. What stays of anchors with different runs is put together to shards, and a suffix array
-   with common-prefix values (``induced_sort``) shows which windows are equal; all but the
-   first of equal ones are repeated. A shard's queues go to disk in blocks, and a group of
-   runs that is larger than a shard is one shard.
+2. The runs are dealt by anchor, so equal windows meet. Ends of runs whose windows have no
+   hash in common with another are trimmed off, before and after equal runs are put
+   together: the first of these stays and the others are repeated as a whole.
+3. All that stays is put together to shards, and a suffix array with common-prefix values
+   (``induced_sort``) shows which windows are equal; all but the first of equal ones are
+   repeated. A shard's queues go to disk in blocks, and a group of runs that is larger than
+   a shard is one shard.
 4. The repeated windows of each document are put together and cut out.
 
+Exact copies of a document with a smaller id are found first by their digests; all their
+bytes go, if they have ``width`` of them, and they take no part in the rest.
+
 Strings are judged on the input and never cross documents. Null and empty texts have no
 bytes. A null ``doc_id`` row is returned whole and is no source; rows with the same id are
 judged each by itself against smaller ids. Extra columns are ignored; an empty table gives
@@ -24,20 +28,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.anchors import anchor_counts, repeated_anchors, window_anchors
+from trackweave.llm.anchors import anchor_counts, exact_copies, repeated_anchors, window_anchors, without
 from trackweave.llm.common import dropped, groups, mixed, release, written
 from trackweave.llm.induced_sort import suffix_array
 
 ANCHOR_BYTES = 32
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 1 << 17
+MET_BYTES = 1 << 20
 RUN_WINDOWS = 512
+#: End of a span that takes all of its document.
+WHOLE = 2**62
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -56,6 +64,41 @@ def byte_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
+def wide_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` bytes, from those of powers of two."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    h, out, at, j = _BYTE[data], np.zeros(n, dtype=np.uint64), 0, 0
+    while width >> j:
+        step = _STEP[j % len(_STEP)]
+        if width >> j & 1:
+            out = out * step + h[at : at + n]
+            at += 1 << j
+        if width >> (j + 1):
+            h = h[: -(1 << j)] * step + h[1 << j :]
+        j += 1
+    return mixed(out)
+
+
+def trimmed(runs: list[tuple], width: int) -> list[tuple]:
+    """Runs from their first to their last window whose hash another window has too; runs without any go."""
+    texts = [r[3] for r in runs]
+    hashes = wide_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), width)
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    windows = np.array([r[2] for r in runs])
+    owner = np.repeat(np.arange(len(runs)), windows)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    _, kind, count = np.unique(hashes[begins[owner] + inside], return_inverse=True, return_counts=True)
+    at = np.flatnonzero(count[kind] > 1)
+    out = []
+    for a, b in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(at)]))(np.flatnonzero(np.diff(owner[at])) + 1)) if len(at) else ():
+        d, s, _, text, anchor = runs[owner[at[a]]]
+        low, high = int(inside[at[a]]), int(inside[at[b - 1]])
+        out.append((d, s + low, high - low + 1, text[low : high + width], anchor))
+    return out
+
+
 def blocks(data: bytes, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first window, hashes, anchor of each window) of a text block by block, so arrays stay small however long it is."""
     array = np.frombuffer(data, dtype=np.uint8)
@@ -117,9 +160,21 @@ def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
     return docs.join(repeated, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, f"anchor bigint, doc_id {kind}, start bigint, windows int, text binary")
 
 
+def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
+    """The first run of each text, and (doc_id, start, end) of the others; runs: (doc_id, start, windows, text, anchor)."""
+    firsts: dict[bytes, tuple] = {}
+    others = []
+    for r in sorted(runs, key=lambda r: (r[4], r[0], r[1])):
+        if r[3] in firsts:
+            others.append((r[0], r[1], r[1] + r[2] + width - 1))
+        else:
+            firsts[r[3]] = r
+    return list(firsts.values()), others
+
+
 def repeated_in_shard(runs: list[tuple], width: int) -> list[tuple]:
-    """(doc_id, start, end) of the windows of a shard that are not the first of their kind; runs: (doc_id, start, windows, text)."""
-    parts = [text.translate(_RAISED) + b"\x00" for *_, text in runs]
+    """(doc_id, start, end) of the windows of a shard that are not the first of their kind."""
+    parts = [r[3].translate(_RAISED) + b"\x00" for r in runs]
     order, commons = suffix_array(b"".join(parts), width)
     of_run = np.repeat(np.arange(len(runs)), [len(p) for p in parts])
     begins = np.cumsum([0, *map(len, parts)])
@@ -152,52 +207,50 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    copies = exact_copies(docs)
+    docs = without(docs, copies)
     repeated = written(repeated_anchors(anchors_of(docs, width), within=True))
     release(spark)
     dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = [], 0
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            ids, starts, ends = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start", "end"])
-
-        for _, held in groups(batches, "anchor"):
+        met, size = [], 0
+        for anchor, held in groups(batches, "anchor"):
             id_type = held[0].schema.field("doc_id").type
-            firsts, whole = {}, []
             for part in held:
-                for d, s, n, text in zip(part["doc_id"].to_pylist(), part["start"].to_pylist(), part["windows"].to_pylist(), part["text"].to_pylist()):
-                    if text in firsts:
-                        whole.append((d, s, s + n + width - 1))
-                    else:
-                        firsts[text] = (d, s, n, text)
-            if whole:
-                yield batch_of(whole)
-            one = next(iter(firsts.values()))
-            if len(firsts) > 1 or one[2] > 1 and has_period(one[3], width):
-                shard += firsts.values()
-                size += sum(map(len, firsts))
-            if size >= SHARD_BYTES:
-                if rows := repeated_in_shard(shard, width):
-                    yield batch_of(rows)
-                shard, size = [], 0
-        if shard and (rows := repeated_in_shard(shard, width)):
-            yield batch_of(rows)
-
-    spans = written(dealt.mapInArrow(search, f"doc_id {kind}, start bigint, end bigint"))
-    dropped(repeated)
+                met += zip(part["doc_id"].to_pylist(), part["start"].to_pylist(), part["windows"].to_pylist(), part["text"].to_pylist(), repeat(anchor))
+                size += part["text"].nbytes
+            if size >= MET_BYTES:
+                yield from found(met, id_type)
+                met, size = [], 0
+        if met:
+            yield from found(met, id_type)
+
+    def found(met: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        firsts, rows = first_of_equal(met, width)
+        firsts, more = first_of_equal(trimmed(firsts, width), width)
+        firsts = trimmed(firsts, width)  # without their copies many runs have no window in common with another
+        rows += more
+        while firsts:
+            n = int(np.searchsorted(np.cumsum([len(r[3]) for r in firsts]), SHARD_BYTES)) + 1
+            # Equal windows are in runs of one anchor, which are neighbours here; a shard ends where the anchor changes.
+            while n < len(firsts) and firsts[n][4] == firsts[n - 1][4]:
+                n += 1
+            rows += repeated_in_shard(firsts[:n], width)
+            firsts = firsts[n:]
+        if rows:
+            ids, starts, ends = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start", "end"])
+
+    whole = copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
+    spans = written(dealt.mapInArrow(search, f"doc_id {kind}, start bigint, end bigint").unionByName(whole))
+    dropped(repeated, copies)
     release(spark)
     return spans
 
 
-def has_period(text: bytes, width: int) -> bool:
-    """Whether a run has a window twice, so that it repeats itself."""
-    return len({text[i : i + width] for i in range(len(text) - width + 1)}) < len(text) - width + 1
-
-
-def without_spans(docs: DataFrame, spans: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the characters none of whose bytes go) of every row, and the columns in ``keep``."""
+def without_spans(docs: DataFrame, spans: DataFrame, width: int, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the characters none of whose bytes go) of every row, and the columns in ``keep``; texts under ``width`` bytes stay whole."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     also = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -207,7 +260,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, *, keep: tuple[str, ...] =
             for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
                 data = text_bytes(text.as_py())
                 merged: list[list[int]] = []
-                for a, b in sorted(zip(starts.as_py() or (), ends.as_py() or ())):
+                for a, b in sorted(zip(starts.as_py() or (), ends.as_py() or ())) if len(data) >= width else ():
+                    b = min(b, len(data))
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
@@ -227,4 +281,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, *, keep: tuple[str, ...] =
 
 
 def suffix_dedup(docs: DataFrame, *, width: int = 100) -> DataFrame:
-    return without_spans(docs, repeated_spans(docs, width=width))
+    return without_spans(docs, repeated_spans(docs, width=width), width)
