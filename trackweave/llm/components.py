@@ -11,9 +11,10 @@ from trackweave.llm.common import dropped, written
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Each round every node hooks onto the neighbour (or itself) whose salted hash is
-    smallest, and the edges are rewritten between the hooks; a round removes a constant
-    share of the nodes in expectation, so rounds are logarithmic. Every round is a written
+    Each round every node hooks onto the neighbour (or itself) whose hash is smallest, and
+    the edges are rewritten between the hooks. One end of every edge takes a smaller hash
+    each round; a star is done in two, and hashes have no long descending chains, so
+    rounds are few. Every round is a written
     table; nothing is collected. A node with very many edges costs no single task: minima
     are taken map-side first and the joins are plain ones that Spark can split. Edges with
     a null end or equal ends are ignored.
@@ -22,10 +23,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct())
     maps: list[DataFrame] = []
     while not now.isEmpty():
-        salt = F.lit(len(maps))
         near = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
-        best = near.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", salt).alias("h"), F.col("other").alias("hook"))).alias("m"))
-        own = F.struct(F.xxhash64("node", salt).alias("h"), F.col("node").alias("hook"))
+        best = near.groupBy("node").agg(F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("hook"))).alias("m"))
+        own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hook"))
         hooks = written(best.select("node", F.least("m", own)["hook"].alias("hook")))
         left, right = hooks.toDF("a", "ha"), hooks.toDF("b", "hb")
         nxt = written(now.join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).where("a <> b").distinct())

@@ -5,9 +5,11 @@ equal are one class; what follows works on one document a class.
 
 1. A fixed-size sketch of shingle counts over the whole table orders all shingles, rare
    ones first. By the prefix principle two linked sets share a shingle of both prefixes.
-2. Documents that share prefix shingles, directly or by others, are one family (connected
-   components; each shingle's list gives edges to its smallest document only, so a list of
-   m documents gives m edges, not m * m).
+2. Linked sets differ in size by the threshold's factor at most, so each document stands
+   in the size class it falls into and in the next. Documents of a class that share prefix
+   shingles, directly or by others, are one family (connected components; each shingle's
+   list gives edges to its smallest document only, so a list of m documents gives m edges,
+   not m * m).
 3. Each family is searched where its documents meet, in pairs of blocks when it is large:
    inverted lists over the block's shingles, and for each query the DivideSkip split of
    its lists: the short ones are merged on a heap, and what survives is looked up in the
@@ -27,7 +29,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import HashCache, cells_batch, dropped, groups, release, summed_cells, window_hashes, word_hashes, written
+from trackweave.llm.common import BROADCAST_ROWS, HashCache, cells_batch, dropped, groups, release, summed_cells, window_hashes, word_hashes, written
 from trackweave.llm.components import connected_components
 
 
@@ -57,7 +59,7 @@ def count_ranks(docs: DataFrame, k: int, bits: int) -> bytes:
     """One byte for each of ``2**bits`` cells: how frequent the shingles that fall into it are, on a log scale."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cache, mask = np.zeros(1 << bits, dtype=np.int64), HashCache(), np.uint64((1 << bits) - 1)
+        cells, cache, mask = np.zeros(1 << bits, dtype=np.uint32), HashCache(), np.uint64((1 << bits) - 1)
         for batch in batches:
             for text in batch.column(0):
                 s = shingles(text.as_py(), k, cache)
@@ -180,22 +182,28 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     """doc_id, n_shingles, component_id of every row; sets link when ``den * intersection >= num * union``.
 
     ``block``: documents of a family that meet in one place; ``sketch_bits``: log2 of the
-    count cells (default by table size, 16 to 22, so what is broadcast stays under 4 MB).
+    count cells (default by table size, 16 to 24, so what is broadcast stays under 16 MB).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    bits = sketch_bits or min(22, max(16, ceil(log2(docs.select("doc_id").count() + 1)) + 3))
+    bits = sketch_bits or min(24, max(16, ceil(log2(docs.select("doc_id").count() + 1)) + 5))
     sized = written(prefixes(docs, count_ranks(docs.select("text"), k, bits), k, num, den))
     classes = written(sized.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode("prefix").alias("shingle"))
-    hubs = entries.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
-    near = entries.join(hubs, "shingle").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # Classes a little wider than the threshold's factor, so rounding cannot part a link.
+    size_class = F.floor(F.log("n_shingles") / F.lit(max(log(den / num), 1e-3) * (1 + 1e-6))).cast("int")
+    # The smaller of a linked pair overlaps by 2t/(1+t) of its size, so in the next class a shorter prefix is enough.
+    shorter = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(2 * num / (num + den)) - 1e-6) + 1).cast("int")
+    roles = F.array(F.struct(size_class.alias("class"), F.col("prefix")), F.struct((size_class + 1).alias("class"), F.slice("prefix", 1, F.greatest(shorter, F.lit(1))).alias("prefix")))
+    entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.inline(roles))
+    entries = entries.select("doc_id", F.col("class").cast("short"), F.explode("prefix").alias("shingle")).select("doc_id", "class", F.xxhash64("shingle", "class").alias("key"))
+    hubs = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
+    near = entries.join(hubs, "key").where("doc_id <> hub").select(F.struct("doc_id", "class").alias("a"), F.struct(F.col("hub").alias("doc_id"), "class").alias("b")).distinct()
     families = connected_components(near)
     release(spark)
 
     counted = families.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     placed = families.join(counted, "root").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    met = placed.select(F.col("node").alias("doc_id"), "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = placed.select(F.col("node.doc_id").alias("doc_id"), "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     met = written(met.select("doc_id", F.xxhash64("root", low, high).alias("place"), side.cast("int").alias("side")))
@@ -211,7 +219,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in side], table.schema.field("doc_id").type) for side in zip(*links)], names=["a", "b"])
 
-    spots = docs.where("doc_id is not null").join(met, "doc_id").select("place", "doc_id", "side", "text")
+    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met  # beyond that the texts are shuffled to it
+    spots = docs.where("doc_id is not null").join(few, "doc_id").select("place", "doc_id", "side", "text")
     spots = spots.repartition("place").sortWithinPartitions("place", "doc_id")
     links = spots.mapInArrow(search, f"a {kind}, b {kind}")
     roots = connected_components(links)
