@@ -45,7 +45,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters with a byte in a repeated 100-byte string are cut out; a document of which nothing stays goes."""
-    cut = without_spans(docs, repeated_spans(docs, width=100), keep=("lang", "source", "n_chars"))
+    cut = without_spans(docs, repeated_spans(docs, width=100), 100, keep=("lang", "source", "n_chars"))
     length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
     left = cut.where((F.col("n_removed") == 0) | (F.length("kept") > 0))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", length.alias("n_chars"))
