@@ -1,5 +1,7 @@
 import hashlib
 
+from test_suffix_dedup import repeated_id_rows
+
 from trackweave.llm.substring_dedup import repeated_spans, substring_dedup
 
 
@@ -47,3 +49,21 @@ def test_null_id_and_empty_table(spark, no_docs):
     got = sorted((r.doc_id is None, r.n_removed) for r in substring_dedup(spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")).collect())
     assert got == [(False, 0), (False, 20), (True, 0)]
     assert substring_dedup(no_docs).count() == 0
+
+
+def test_rows_with_one_id_are_judged_each_by_itself(spark):
+    rows = repeated_id_rows()
+    words = [f"w{i}" for i in range(26)]
+    rows += [(1, " ".join(words)), *[(9, " ".join([*words[:13], *[f"x{k}" for k in range(37)], *words[13:]]))] * 50]
+    before, want = {}, []
+    for i, text in rows:
+        split = text.encode().split()
+        for a in range(len(split) - 12):
+            w = tuple(split[a : a + 13])
+            before[w] = min(i, before.get(w, i))
+    for i, text in rows:
+        split = text.encode().split()
+        gone = {k for a in range(len(split) - 12) if before[tuple(split[a : a + 13])] < i for k in range(a, a + 13)}
+        want.append((i, len(split), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(split) if k not in gone)).hexdigest()))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)

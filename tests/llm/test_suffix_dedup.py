@@ -72,3 +72,36 @@ def test_null_id_and_empty_table(spark, no_docs):
     got = sorted((r.doc_id is None, r.n_removed) for r in suffix_dedup(spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")).collect())
     assert got == [(False, 0), (False, 160), (True, 0)]
     assert suffix_dedup(no_docs).count() == 0
+
+
+def brute_rows(rows, width=100):
+    """(doc_id, n_bytes, n_removed, kept_sha256) of every row, each judged against smaller ids and itself."""
+    before, out = {}, []
+    windows = lambda data: [data[a : a + width] for a in range(len(data) - width + 1)]
+    for i, text in rows:
+        for w in windows(text.encode()):
+            before[w] = min(i, before.get(w, i))
+    for i, text in rows:
+        data, own = text.encode(), set()
+        gone = bytearray(len(data))
+        for a, w in enumerate(windows(data)):
+            if before[w] < i or w in own:
+                gone[a : a + width] = b"\x01" * width
+            own.add(w)
+        out.append((i, len(data), sum(gone), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def repeated_id_rows():
+    rng = random.Random(31)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    a, p = prose(80), prose(40)
+    rows = [(1, a), (1, a), (2, prose(50) + " " + p), (2, p + " " + prose(45)), (2, p + " " + p)]
+    rows += [(3, prose(7) + " " + p + " " + prose(9)), (4, a), (4, prose(60)), (5, a[100:400] + prose(30)), (5, a[100:400] + prose(30)), (5, prose(20))]
+    return rows + [(6, prose(30) + " " + p)] * 40
+
+
+def test_rows_with_one_id_are_judged_each_by_itself(spark):
+    rows = repeated_id_rows()
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == brute_rows(rows)

@@ -39,25 +39,49 @@ def anchor_counts(hashes: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray,
 
 
 def repeated_anchors(anchors: DataFrame, *, within: bool) -> DataFrame:
-    """doc_id and the list of its anchors that other documents have too (``within``: or that it has twice).
+    """doc_id, version and the list of its anchors that other rows have too (``within``: or that it has twice).
 
-    ``anchors``: anchor, doc_id, many; one row for each distinct anchor of a document. Rows
+    ``anchors``: anchor, doc_id, version, many; one row for each distinct anchor of a document. Rows
     are narrow and a document has many anchors, so even an anchor of all documents is a
     small share of them; Spark sorts and spills within a partition.
     """
     same = Window.partitionBy("anchor").orderBy("doc_id")
     seen = anchors.withColumn("elsewhere", F.lag("doc_id").over(same).isNotNull() | F.lead("doc_id").over(same).isNotNull())
-    return seen.where("elsewhere or many" if within else "elsewhere").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    return seen.where("elsewhere or many" if within else "elsewhere").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """doc_id of ids that several rows have; a written table."""
+    return written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+
+
+def with_version(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` and ``version``: the digest of the text where the id is among ``ids``, else empty. Rows with the same id and version are equal."""
+    none, n = F.lit(bytearray()), ids.count()
+    if not n:
+        return docs.withColumn("version", none)
+    several = ids.withColumn("_several", F.lit(True))
+    rows = docs.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "doc_id", "left")
+    return rows.withColumn("version", F.coalesce(F.when(F.col("_several"), F.unhex(F.md5("text"))), none)).drop("_several")
+
+
+def distinct_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, version, text of the rows with an id, equal ones once; only rows with an id in ``ids`` are shuffled."""
+    rows = with_version(docs.where("doc_id is not null").select("doc_id", "text"), ids).select("doc_id", "version", "text")
+    if ids.isEmpty():
+        return rows
+    several = F.octet_length("version") > 0
+    return rows.where(~several).unionByName(rows.where(several).dropDuplicates(["doc_id", "version"]))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of documents whose text a smaller id has too; a written table of ids."""
-    keyed = docs.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("key"))
+    """doc_id, version of rows whose text a smaller id has too; a written table."""
+    keyed = docs.where("doc_id is not null").select("doc_id", "version", F.unhex(F.md5("text")).alias("key"))
     low = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    return written(keyed.join(low, "key").where("doc_id > low").select("doc_id").distinct())
+    return written(keyed.join(low, "key").where("doc_id > low").select("doc_id", "version").distinct())
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``ids``; these are broadcast while they are few."""
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(few, "doc_id", "left_anti")
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose doc_id and version are not among ``rows``; these are broadcast while they are few."""
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return docs.join(few, ["doc_id", "version"], "left_anti")

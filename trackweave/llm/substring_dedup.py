@@ -14,8 +14,9 @@ words go, if they have ``width`` of them, and they need no edges.
 A word is a run of bytes other than ASCII white space, compared unchanged; edges compare
 64-bit hashes. Windows do not cross documents; repeats inside one document stay. Null and
 empty texts have no words. A null ``doc_id`` row is returned with nothing removed and is
-no source; rows with the same id are one document. Extra columns are ignored and an empty
-table gives no rows.
+no source; rows with the same id are judged each by itself against smaller ids, equal ones
+alike: inside, a row is named by its id and a ``version``, the digest of its text. Extra
+columns are ignored and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.anchors import exact_copies, repeated_anchors, window_anchors, without
+from trackweave.llm.anchors import distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
 from trackweave.llm.common import HashCache, dropped, release, window_hashes, word_hashes, written
 
 ANCHOR_WORDS = 5
@@ -48,18 +49,18 @@ def anchors_of(docs: DataFrame, width: int) -> DataFrame:
         cache = HashCache()
         for batch in batches:
             found = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 units = word_hashes(words_of(text.as_py()), cache)
                 found.append(np.unique(window_anchors(window_hashes(units, k), width - k + 1)))
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(0).take(pa.array(owner))], names=["anchor", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(values), *[batch.column(c).take(pa.array(owner)) for c in (0, 1)]], names=["anchor", "doc_id", "version"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor bigint, doc_id {kind}")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary")
 
 
 def occurrences(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """edge, source, target, doc_id, at: windows whose anchor is repeated.
+    """edge, source, target, doc_id, version, at: windows whose anchor is repeated.
 
     Nodes keep 32 bits: two nodes under one number can only part a path, never join one.
     """
@@ -70,7 +71,7 @@ def occurrences(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
         cache = HashCache()
         for batch in batches:
             edges, froms, tos, places, owner = [], [], [], [], []
-            for i, (text, anchors) in enumerate(zip(batch.column(1), batch.column(2))):
+            for i, (text, anchors) in enumerate(zip(batch.column(2), batch.column(3))):
                 units = word_hashes(words_of(text.as_py()), cache)
                 wanted = np.unique(anchors.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 of_window = window_anchors(window_hashes(units, k), width - k + 1)
@@ -84,32 +85,34 @@ def occurrences(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                     owner.append(np.full(len(at), i))
             if edges:
                 cols = [pa.array(np.concatenate(edges).view(np.int64)), *[pa.array(np.concatenate(c).view(np.int32)) for c in (froms, tos)]]
-                yield pa.RecordBatch.from_arrays([*cols, batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(places), pa.int32())], names=["edge", "source", "target", "doc_id", "at"])
+                rows = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([*cols, batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(places), pa.int32())], names=["edge", "source", "target", "doc_id", "version", "at"])
 
-    return docs.join(repeated, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, f"edge bigint, source int, target int, doc_id {kind}, at int")
+    return docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors").mapInArrow(run, f"edge bigint, source int, target int, doc_id {kind}, version binary, at int")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """edge, first_doc, first_at, path_at: every repeated edge with its source coordinates and where its path begins there.
+    """edge, first_doc, first_version, first_at, path_at: every repeated edge with its source coordinates and where its path begins there.
 
-    ``edges``: edge, source, target, first_doc, first_at.
+    ``edges``: edge, source, target, first_doc, first_version, first_at.
     """
-    once_out = edges.groupBy("source").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "first_at", "edge")).alias("out")).where("n = 1")
-    once_in = edges.groupBy("target").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "first_at", "edge")).alias("into")).where("n = 1")
+    once_out = edges.groupBy("source").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "first_version", "first_at", "edge")).alias("out")).where("n = 1")
+    once_in = edges.groupBy("target").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "first_version", "first_at", "edge")).alias("into")).where("n = 1")
     through = once_out.select(F.col("source").alias("node"), "out").join(once_in.select(F.col("target").alias("node"), "into"), "node")
-    joined = through.where("into.first_doc = out.first_doc and into.first_at + 1 = out.first_at").select(F.col("out.edge").alias("edge"), F.lit(True).alias("joined"))
-    placed = edges.select("edge", "first_doc", "first_at").join(joined, "edge", "left")
-    along = Window.partitionBy("first_doc").orderBy("first_at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = through.where("into.first_doc = out.first_doc and into.first_version = out.first_version and into.first_at + 1 = out.first_at").select(F.col("out.edge").alias("edge"), F.lit(True).alias("joined"))
+    placed = edges.select("edge", "first_doc", "first_version", "first_at").join(joined, "edge", "left")
+    along = Window.partitionBy("first_doc", "first_version").orderBy("first_at").rowsBetween(Window.unboundedPreceding, 0)
     return placed.withColumn("path_at", F.max(F.when(F.col("joined").isNull(), F.col("first_at"))).over(along)).drop("joined")
 
 
 def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
-    """doc_id, start, end (words, end excluded), first_doc, first_at, path_at: every repeated span and its source.
+    """doc_id, version, start, end (words, end excluded), first_doc, first_at, path_at: every repeated span and its source.
 
     Exact copies have one span, to ``WHOLE``, without coordinates.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    several = repeated_ids(docs)
+    docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
     repeated = repeated_anchors(anchors_of(docs, width).withColumn("many", F.lit(False)), within=False)
@@ -120,15 +123,15 @@ def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
     dropped(found)
     release(spark)
     # In its source document an edge counts at its first place, so that source coordinates run on.
-    edges = shared.where("doc_id = first_doc").groupBy("edge", "source", "target", "first_doc").agg(F.min("at").alias("first_at"))
+    edges = shared.where("doc_id = first_doc").groupBy("edge", "source", "target", "first_doc").agg(F.min(F.struct("version", "at")).alias("first")).select("edge", "source", "target", "first_doc", F.col("first.version").alias("first_version"), F.col("first.at").alias("first_at"))
     paths = compacted(written(edges))
-    hits = shared.where("doc_id > first_doc").select("edge", "doc_id", "at").join(paths, "edge")
-    run = Window.partitionBy("doc_id", "first_doc", "path_at", "shift").orderBy("at")
+    hits = shared.where("doc_id > first_doc").select("edge", "doc_id", "version", "at").join(paths, "edge")
+    run = Window.partitionBy("doc_id", "version", "first_doc", "first_version", "path_at", "shift").orderBy("at")
     hits = hits.withColumn("shift", F.col("at") - F.col("first_at")).withColumn("gap", F.col("at") - F.row_number().over(run))
-    spans = hits.groupBy("doc_id", "first_doc", "path_at", "shift", "gap").agg(F.min("at").alias("start"), (F.max("at") + width).alias("end"), F.min("first_at").alias("first_at"))
-    whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"), F.lit(None).alias("first_doc"), F.lit(None).alias("first_at"), F.lit(None).alias("path_at"))
-    spans = written(spans.select("doc_id", "start", "end", "first_doc", "first_at", "path_at").unionByName(whole))
-    dropped(shared, copies)
+    spans = hits.groupBy("doc_id", "version", "first_doc", "first_version", "path_at", "shift", "gap").agg(F.min("at").alias("start"), (F.max("at") + width).alias("end"), F.min("first_at").alias("first_at"))
+    whole = copies.select("doc_id", "version", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"), F.lit(None).alias("first_doc"), F.lit(None).alias("first_at"), F.lit(None).alias("path_at"))
+    spans = written(spans.select("doc_id", "version", "start", "end", "first_doc", "first_at", "path_at").unionByName(whole))
+    dropped(shared, copies, several)
     release(spark)
     return spans
 
@@ -152,8 +155,10 @@ def without_spans(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
                 kept.append(left.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.select("doc_id", "text").join(listed, "doc_id", "left").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    several = repeated_ids(docs)
+    listed = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = with_version(docs.select("doc_id", "text"), several).join(listed, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def substring_dedup(docs: DataFrame, *, width: int = 13) -> DataFrame:

@@ -20,7 +20,8 @@ bytes go, if they have ``width`` of them, and they take no part in the rest.
 
 Strings are judged on the input and never cross documents. Null and empty texts have no
 bytes. A null ``doc_id`` row is returned whole and is no source; rows with the same id are
-judged each by itself against smaller ids. Extra columns are ignored; an empty table gives
+judged each by itself against smaller ids and its own text, equal ones alike: inside, a
+row is named by its id and a ``version``, the digest of its text. Extra columns are ignored; an empty table gives
 no rows.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.anchors import anchor_counts, exact_copies, repeated_anchors, window_anchors, without
+from trackweave.llm.anchors import anchor_counts, distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
 from trackweave.llm.common import dropped, groups, mixed, release, written
 from trackweave.llm.induced_sort import suffix_array
 
@@ -83,19 +84,19 @@ def wide_hashes(data: np.ndarray, width: int) -> np.ndarray:
 
 def trimmed(runs: list[tuple], width: int) -> list[tuple]:
     """Runs from their first to their last window whose hash another window has too; runs without any go."""
-    texts = [r[3] for r in runs]
+    texts = [r[4] for r in runs]
     hashes = wide_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), width)
     begins = np.cumsum([0, *map(len, texts)])[:-1]
-    windows = np.array([r[2] for r in runs])
+    windows = np.array([r[3] for r in runs])
     owner = np.repeat(np.arange(len(runs)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     _, kind, count = np.unique(hashes[begins[owner] + inside], return_inverse=True, return_counts=True)
     at = np.flatnonzero(count[kind] > 1)
     out = []
     for a, b in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(at)]))(np.flatnonzero(np.diff(owner[at])) + 1)) if len(at) else ():
-        d, s, _, text, anchor = runs[owner[at[a]]]
+        d, v, s, _, text, anchor = runs[owner[at[a]]]
         low, high = int(inside[at[a]]), int(inside[at[b - 1]])
-        out.append((d, s + low, high - low + 1, text[low : high + width], anchor))
+        out.append((d, v, s + low, high - low + 1, text[low : high + width], anchor))
     return out
 
 
@@ -112,32 +113,33 @@ def text_bytes(text: str | None) -> bytes:
 
 
 def anchors_of(docs: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, many: distinct anchors of every row and whether they are at more than one place."""
+    """anchor, doc_id, version, many: distinct anchors of every row and whether they are at more than one place."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, many, owner = [], [], []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 for _, hashes, anchors in blocks(text_bytes(text.as_py()), width):
                     distinct, twice = anchor_counts(hashes, anchors)
                     values.append(distinct)
                     many.append(twice)
                     owner.append(np.full(len(distinct), i))
             if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(many))], names=["anchor", "doc_id", "many"])
+                rows = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(many))], names=["anchor", "doc_id", "version", "many"])
 
-    return docs.mapInArrow(run, f"anchor bigint, doc_id {kind}, many boolean")
+    return docs.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, many boolean")
 
 
 def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, row, start, windows, text: neighbouring windows with the same repeated anchor."""
+    """anchor, doc_id, version, start, windows, text: neighbouring windows with the same repeated anchor."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, start, windows, text, owner = [], [], [], [], []
-            for i, (value, wanted) in enumerate(zip(batch.column(1), batch.column(2))):
+            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
                 data = text_bytes(value.as_py())
                 wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 for base, _, of_window in blocks(data, width):
@@ -154,31 +156,46 @@ def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                             text.append(data[base + p : base + p + n + width - 1])
                             owner.append(i)
             if anchor:
-                ids = batch.column(0).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary())], names=["anchor", "doc_id", "start", "windows", "text"])
+                ids, versions = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary())], names=["anchor", "doc_id", "version", "start", "windows", "text"])
 
-    return docs.join(repeated, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, f"anchor bigint, doc_id {kind}, start bigint, windows int, text binary")
+    return docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors").mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary")
 
 
 def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
-    """The first run of each text, and (doc_id, start, end) of the others; runs: (doc_id, start, windows, text, anchor)."""
-    firsts: dict[bytes, tuple] = {}
-    others = []
-    for r in sorted(runs, key=lambda r: (r[4], r[0], r[1])):
-        if r[3] in firsts:
-            others.append((r[0], r[1], r[1] + r[2] + width - 1))
+    """The first runs of each text, and (doc_id, version, start, end) of the others; runs: (doc_id, version, start, windows, text, anchor).
+
+    Rows with the same id don't come before each other, so the smallest id has a first run for each of its versions.
+    """
+    latest: dict[bytes, tuple] = {}
+    firsts, others = [], []
+    for r in sorted(runs, key=lambda r: (r[5], *r[:3])):
+        d, v = latest.setdefault(r[4], (r[0], None))
+        if d == r[0] and v != r[1]:
+            latest[r[4]] = r[:2]
+            firsts.append(r)
         else:
-            firsts[r[3]] = r
-    return list(firsts.values()), others
+            others.append((*r[:3], r[2] + r[3] + width - 1))
+    return firsts, others
+
+
+def later(places: list[tuple]) -> list[tuple]:
+    """Of places (doc_id, version, start) of one string those that it starts before, in a smaller id or earlier in the same row."""
+    low = min(places)[0]
+    begins: dict[bytes, int] = {}
+    for d, v, s in places:
+        if d == low:
+            begins[v] = min(s, begins.get(v, s))
+    return [(d, v, s) for d, v, s in places if d > low or s > begins[v]]
 
 
 def repeated_in_shard(runs: list[tuple], width: int) -> list[tuple]:
-    """(doc_id, start, end) of the windows of a shard that are not the first of their kind."""
-    parts = [r[3].translate(_RAISED) + b"\x00" for r in runs]
+    """(doc_id, version, start, end) of the windows of a shard that are not the first of their kind."""
+    parts = [r[4].translate(_RAISED) + b"\x00" for r in runs]
     order, commons = suffix_array(b"".join(parts), width)
     of_run = np.repeat(np.arange(len(runs)), [len(p) for p in parts])
     begins = np.cumsum([0, *map(len, parts)])
-    windows = np.array([r[2] for r in runs])
+    windows = np.array([r[3] for r in runs])
     place = np.array(order)
     owner = of_run[place]
     inside = place - begins[owner]
@@ -195,30 +212,30 @@ def repeated_in_shard(runs: list[tuple], width: int) -> list[tuple]:
         for i in keep:
             k = w[i]
             r = owner[k]
-            found.setdefault(int(kind[i]), []).append((runs[r][0], runs[r][1] + int(inside[k])))
+            found.setdefault(int(kind[i]), []).append((*runs[r][:2], runs[r][2] + int(inside[k])))
         for places in found.values():
-            first = min(places)
-            out += [(d, s, s + width) for d, s in places if (d, s) > first]
+            out += [(d, v, s, s + width) for d, v, s in later(places)]
     return out
 
 
 def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
-    """doc_id, start, end (bytes, end excluded): all repeated windows of every document, runs of them joined where they met."""
+    """doc_id, version, start, end (bytes, end excluded): all repeated windows of every row, runs of them joined where they met."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    several = repeated_ids(docs)
+    docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
     repeated = written(repeated_anchors(anchors_of(docs, width), within=True))
     release(spark)
-    dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, size = [], 0
         for anchor, held in groups(batches, "anchor"):
             id_type = held[0].schema.field("doc_id").type
             for part in held:
-                met += zip(part["doc_id"].to_pylist(), part["start"].to_pylist(), part["windows"].to_pylist(), part["text"].to_pylist(), repeat(anchor))
+                met += zip(part["doc_id"].to_pylist(), part["version"].to_pylist(), part["start"].to_pylist(), part["windows"].to_pylist(), part["text"].to_pylist(), repeat(anchor))
                 size += part["text"].nbytes
             if size >= MET_BYTES:
                 yield from found(met, id_type)
@@ -232,19 +249,19 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
         firsts = trimmed(firsts, width)  # without their copies many runs have no window in common with another
         rows += more
         while firsts:
-            n = int(np.searchsorted(np.cumsum([len(r[3]) for r in firsts]), SHARD_BYTES)) + 1
+            n = int(np.searchsorted(np.cumsum([len(r[4]) for r in firsts]), SHARD_BYTES)) + 1
             # Equal windows are in runs of one anchor, which are neighbours here; a shard ends where the anchor changes.
-            while n < len(firsts) and firsts[n][4] == firsts[n - 1][4]:
+            while n < len(firsts) and firsts[n][5] == firsts[n - 1][5]:
                 n += 1
             rows += repeated_in_shard(firsts[:n], width)
             firsts = firsts[n:]
         if rows:
-            ids, starts, ends = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start", "end"])
+            ids, versions, starts, ends = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
 
-    whole = copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
-    spans = written(dealt.mapInArrow(search, f"doc_id {kind}, start bigint, end bigint").unionByName(whole))
-    dropped(repeated, copies)
+    whole = copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
+    spans = written(dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint").unionByName(whole))
+    dropped(repeated, copies, several)
     release(spark)
     return spans
 
@@ -275,8 +292,9 @@ def without_spans(docs: DataFrame, spans: DataFrame, width: int, *, keep: tuple[
                 kept.append("".join(p.decode("utf-8", "ignore") for p in parts) if merged else text.as_py())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, gone, counts)], pa.array(shas), pa.array(kept, pa.string()), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *keep])
 
-    listed = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = docs.select("doc_id", "text", *keep).join(listed, "doc_id", "left").select("doc_id", "text", "starts", "ends", *keep)
+    several = repeated_ids(docs)
+    listed = spans.groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    rows = with_version(docs.select("doc_id", "text", *keep), several).join(listed, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "ends", *keep)
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string{also}")
 
 
