@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from trackweave.llm import suffix_dedup as module
 from trackweave.llm.induced_sort import suffix_array
 from trackweave.llm.suffix_dedup import suffix_dedup
 
@@ -105,3 +106,18 @@ def test_rows_with_one_id_are_judged_each_by_itself(spark):
     rows = repeated_id_rows()
     got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == brute_rows(rows)
+
+
+def test_no_task_holds_a_group_that_grows(spark, awkward, monkeypatch):
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    rows = [(i, f"{rng.random()} {rng.random()}" * 3 + passage + f"{rng.random()} {rng.random()}" * 3) for i in range(300)]
+    rows += [(1000 + r[0], r[1]) for r in awkward] + [(5000, "ab" * 700)]
+    monkeypatch.setattr(module, "HOT_PLACES", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    several = module.repeated_ids(docs)
+    distinct = module.distinct_rows(docs, several)
+    runs = module.runs_of(distinct, module.repeated_anchors(module.anchors_of(distinct, 100), within=True, hot=20), 100)
+    assert runs.where("not hot").groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 20
+    assert runs.where("hot").count() > 0
+    assert result(suffix_dedup(docs)) == brute(rows)

@@ -29,25 +29,30 @@ def window_anchors(hashes: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_counts(hashes: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a text and whether each is at more than one place of it."""
+    """Distinct anchors of a text and at how many places of it each is."""
     distinct = np.unique(anchors)
     if not len(distinct):
-        return distinct, np.empty(0, dtype=bool)
+        return distinct, np.empty(0, dtype=np.int64)
     at = np.searchsorted(distinct, hashes)
     at[at == len(distinct)] = 0
-    return distinct, np.bincount(at[distinct[at] == hashes], minlength=len(distinct)) > 1
+    return distinct, np.bincount(at[distinct[at] == hashes], minlength=len(distinct))
 
 
-def repeated_anchors(anchors: DataFrame, *, within: bool) -> DataFrame:
+def repeated_anchors(anchors: DataFrame, *, within: bool, hot: int = 0) -> DataFrame:
     """doc_id, version and the list of its anchors that other rows have too (``within``: or that it has twice).
 
-    ``anchors``: anchor, doc_id, version, many; one row for each distinct anchor of a document. Rows
+    With ``hot``, also the list of those at more than so many places of the table.
+    ``anchors``: anchor, doc_id, version, places; one row for each distinct anchor of a document. Rows
     are narrow and a document has many anchors, so even an anchor of all documents is a
     small share of them; Spark sorts and spills within a partition.
     """
     same = Window.partitionBy("anchor").orderBy("doc_id")
     seen = anchors.withColumn("elsewhere", F.lag("doc_id").over(same).isNotNull() | F.lead("doc_id").over(same).isNotNull())
-    return seen.where("elsewhere or many" if within else "elsewhere").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+    lists = [F.collect_list("anchor").alias("anchors")]
+    if hot:
+        seen = seen.withColumn("all", F.sum("places").over(Window.partitionBy("anchor")))
+        lists.append(F.collect_list(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot"))
+    return seen.where("elsewhere or places > 1" if within else "elsewhere").groupBy("doc_id", "version").agg(*lists)
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:

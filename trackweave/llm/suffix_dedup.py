@@ -11,8 +11,10 @@ document with a smaller id, or earlier in its own.
    together: the first of these stays and the others are repeated as a whole.
 3. All that stays is put together to shards, and a suffix array with common-prefix values
    (``induced_sort``) shows which windows are equal; all but the first of equal ones are
-   repeated. A shard's queues go to disk in blocks, and a group of runs that is larger than
-   a shard is one shard.
+   repeated. A shard's queues go to disk in blocks, the rest of the sort is in memory. The
+   runs of an anchor are never parted, but an anchor at more than ``HOT_PLACES`` places of
+   the table isn't dealt: each window of it goes by its own hash, and all but the first of
+   equal ones are found as they stream by in order, so no task holds a group that grows.
 4. The repeated windows of each document are put together and cut out.
 
 Exact copies of a document with a smaller id are found first by their digests; all their
@@ -29,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import anchor_counts, distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
-from trackweave.llm.common import dropped, groups, mixed, release, written
+from trackweave.llm.common import dropped, mixed, release, written
 from trackweave.llm.induced_sort import suffix_array
 
 ANCHOR_BYTES = 32
@@ -45,6 +46,10 @@ BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 1 << 17
 MET_BYTES = 1 << 20
 RUN_WINDOWS = 512
+#: Most places of an anchor whose runs are held and sorted together.
+HOT_PLACES = 2048
+#: Runs a task gathers before it passes them on.
+RUNS_A_BATCH = 20_000
 #: End of a span that takes all of its document.
 WHOLE = 2**62
 
@@ -113,53 +118,63 @@ def text_bytes(text: str | None) -> bytes:
 
 
 def anchors_of(docs: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, version, many: distinct anchors of every row and whether they are at more than one place."""
+    """anchor, doc_id, version, places: distinct anchors of every row and at how many places they are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, many, owner = [], [], []
+            values, places, owner = [], [], []
             for i, text in enumerate(batch.column(2)):
                 for _, hashes, anchors in blocks(text_bytes(text.as_py()), width):
-                    distinct, twice = anchor_counts(hashes, anchors)
+                    distinct, counts = anchor_counts(hashes, anchors)
                     values.append(distinct)
-                    many.append(twice)
+                    places.append(counts)
                     owner.append(np.full(len(distinct), i))
             if values:
                 rows = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(many))], names=["anchor", "doc_id", "version", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(places), pa.int64())], names=["anchor", "doc_id", "version", "places"])
 
-    return docs.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, many boolean")
+    return docs.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, places bigint")
 
 
 def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, version, start, windows, text: neighbouring windows with the same repeated anchor."""
+    """anchor, doc_id, version, start, windows, text, hot: neighbouring windows with the same repeated anchor; those of a hot one singly, with their hash for an anchor."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, start, windows, text, owner = [], [], [], [], []
-            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
+            found: list[tuple] = []
+
+            def passed(found: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                owner, anchor, start, windows, text, hot = zip(*found)
+                ids, versions = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
+                return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary()), pa.array(hot)], names=["anchor", "doc_id", "version", "start", "windows", "text", "hot"])
+
+            for i, (value, wanted, hot) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4))):
                 data = text_bytes(value.as_py())
-                wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                wanted, hot = (np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in (wanted, hot))
                 for base, _, of_window in blocks(data, width):
                     at = np.flatnonzero(np.isin(of_window, wanted))
                     if not len(at):
                         continue
                     cut = np.flatnonzero((np.diff(at) != 1) | (of_window[at[1:]] != of_window[at[:-1]])) + 1
-                    for a, b in zip(np.r_[0, cut], np.r_[cut, len(at)]):
+                    begins, ends = np.r_[0, cut], np.r_[cut, len(at)]
+                    for a, b, singly in zip(begins, ends, np.isin(of_window[at[begins]], hot)):
                         for p in range(int(at[a]), int(at[b - 1]) + 1, RUN_WINDOWS):
                             n = min(RUN_WINDOWS, int(at[b - 1]) + 1 - p)
-                            anchor.append(of_window[at[a]])
-                            start.append(base + p)
-                            windows.append(n)
-                            text.append(data[base + p : base + p + n + width - 1])
-                            owner.append(i)
-            if anchor:
-                ids, versions = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary())], names=["anchor", "doc_id", "version", "start", "windows", "text"])
+                            text = data[base + p : base + p + n + width - 1]
+                            if singly:
+                                found += [(i, h, base + p + j, 1, text[j : j + width], True) for j, h in enumerate(wide_hashes(np.frombuffer(text, dtype=np.uint8), width))]
+                            else:
+                                found.append((i, of_window[at[a]], base + p, n, text, False))
+                            if len(found) >= RUNS_A_BATCH:
+                                yield passed(found)
+                                found = []
+            if found:
+                yield passed(found)
 
-    return docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors").mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary")
+    rows = docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors", "hot")
+    return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary, hot boolean")
 
 
 def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
@@ -226,23 +241,39 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
-    repeated = written(repeated_anchors(anchors_of(docs, width), within=True))
+    repeated = written(repeated_anchors(anchors_of(docs, width), within=True, hot=HOT_PLACES))
     release(spark)
     dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, size = [], 0
-        for anchor, held in groups(batches, "anchor"):
-            id_type = held[0].schema.field("doc_id").type
-            for part in held:
-                met += zip(part["doc_id"].to_pylist(), part["version"].to_pylist(), part["start"].to_pylist(), part["windows"].to_pylist(), part["text"].to_pylist(), repeat(anchor))
-                size += part["text"].nbytes
-            if size >= MET_BYTES:
-                yield from found(met, id_type)
-                met, size = [], 0
+        met, size, now, latest = [], 0, None, {}
+        for batch in batches:
+            id_type, spans = batch.schema.field("doc_id").type, []
+            for *r, anchor, hot in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "start", "windows", "text", "anchor", "hot"))):
+                if anchor != now:
+                    now, latest = anchor, {}
+                    if size >= MET_BYTES:
+                        yield from found(met, id_type)
+                        met, size = [], 0
+                if not hot:
+                    met.append((*r, anchor))
+                    size += len(r[4])
+                    continue
+                # In order of id, version and start, as in ``first_of_equal``; only the latest row with a first window is kept.
+                d, v = latest.setdefault(r[4], (r[0], None))
+                if d == r[0] and v != r[1]:
+                    latest[r[4]] = (r[0], r[1])
+                else:
+                    spans.append((*r[:3], r[2] + width))
+            if spans:
+                yield as_spans(spans, id_type)
         if met:
             yield from found(met, id_type)
 
+    def as_spans(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        ids, versions, starts, ends = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
+
     def found(met: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         firsts, rows = first_of_equal(met, width)
         firsts, more = first_of_equal(trimmed(firsts, width), width)
@@ -256,8 +287,7 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
             rows += repeated_in_shard(firsts[:n], width)
             firsts = firsts[n:]
         if rows:
-            ids, versions, starts, ends = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
+            yield as_spans(rows, id_type)
 
     whole = copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
     spans = written(dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint").unionByName(whole))
