@@ -110,3 +110,12 @@ def test_tracker_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("tracked").collect())) == want
     assert len({r[5] for r in want if r[0] == 1}) < 8
+
+
+def test_every_row_is_in_a_frame_that_is_judged(spark):
+    from trackweave.plans import kernel_queries
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.clip, r.frame) for r in kernel_queries.homography_dlt(spark, sf).select("clip", "frame").collect()}
+    orders = [r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().collect()]
+    assert got == {(k % 10, k // 40) for k in orders}
