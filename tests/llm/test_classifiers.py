@@ -72,3 +72,64 @@ def test_language_of_awkward_rows(spark, awkward, awkward_docs, no_docs):
         else:
             assert out[i].lang_pred in model.languages
     assert language_id.identify(no_docs, language_id.learned(no_docs)).count() == 0
+
+
+def test_texts_of_digits_fractions_and_numerals_have_no_letter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learned(docs)
+    texts = ["½ ② Ⅷ", "12 _ ٣", "², ¾", "Ⅷ a", "中", None]
+    found = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert [r.lang_pred == "und" for r in found.orderBy("doc_id").collect()] == [True, True, True, False, False, True]
+
+
+def test_scores_equal_a_plain_sum(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    model = language_id.learned(docs)
+    out = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.collect():
+        logits, mass = np.zeros(len(model.languages)), 0.0
+        for word in language_id.letter_runs(r.text):
+            for c in language_id.gram_cells([word])[0]:
+                logits += model.idf[c] * model.weights[c]
+                mass += model.idf[c]
+        if mass:
+            e = np.exp((logits / mass + model.bias) / model.temperature)
+            assert abs(max(e / e.sum()) - out[r.doc_id].score) < 1e-6
+            assert out[r.doc_id].lang_pred == model.languages[int(np.argmax(e))]
+
+
+def test_cells_of_a_word_are_those_of_its_grams():
+    words = ["a", "été", "中", "zebra"]
+    cells, n = language_id.gram_cells(words)
+    for word, found in zip(words, np.split(cells, np.cumsum(n)[:-1])):
+        w = f"\x02{word}\x03"
+        assert len(found) == sum(len(w) - k + 1 for k in (1, 2, 3)) - 1
+        assert np.array_equal(found, language_id.gram_cells([word])[0])
+    same = {w: set(language_id.gram_cells([w])[0].tolist()) for w in ("ab", "xab")}
+    assert len(same["ab"] & same["xab"]) >= 5  # a, b, end; ab, b-end; ab-end
+
+
+def test_follow_the_leader_step_equals_the_rule_by_coordinate():
+    from trackweave.llm.ftrl import Ftrl
+
+    rng, model = np.random.default_rng(3), Ftrl(6, 2, alpha=0.4, l1=0.3, l2=0.1)
+    z, n = np.zeros((6, 2)), np.zeros((6, 2))
+    for _ in range(50):
+        ids = rng.permutation(6)[:3]
+        g = rng.normal(size=(3, 2))
+        for row, i in enumerate(ids):
+            for k in range(2):
+                w = 0.0 if abs(z[i, k]) <= 0.3 else -(z[i, k] - np.sign(z[i, k]) * 0.3) / ((1 + n[i, k] ** 0.5) / 0.4 + 0.1)
+                z[i, k] += g[row, k] - ((n[i, k] + g[row, k] ** 2) ** 0.5 - n[i, k] ** 0.5) / 0.4 * w
+                n[i, k] += g[row, k] ** 2
+        model.step(ids, g)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learned(docs)
+    a, b = [r.text for r in docs.where("length(text) > 200").dropDuplicates(["lang"]).orderBy("lang").limit(2).collect()]
+    twice = language_id.identify(spark.createDataFrame([(5, a), (5, b), (5, a)], "doc_id long, text string"), model).collect()
+    alone = {language_id.identify(spark.createDataFrame([(5, t)], "doc_id long, text string"), model).first() for t in (a, b)}
+    assert len(twice) == 3 and set(twice) == alone

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -13,10 +11,14 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most narrow rows (ids and a few numbers, under 100 MB) that are broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Entries a task keeps in a word cache before it starts afresh (about 50 MB).
 CACHE_ENTRIES = 300_000
 
@@ -26,20 +28,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediates: ``spark.checkpoint.dir``, else a local one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trackweave-scratch"
+    """The shared folder for intermediates, ``spark.checkpoint.dir``."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
 
 
 def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage with files that every executor sees, so a lost executor costs a
-    re-read and nothing more. The folder goes when the driver's JVM ends.
+    re-read and nothing more. The shuffles that made it are freed at once, and the folder
+    goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/trackweave/{uuid.uuid4().hex}"
     out = df.coalesce(partitions) if partitions else df
-    out.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        out.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -49,7 +60,7 @@ def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete what ``written`` made for frames that nothing reads any more, and let finished shuffles go."""
+    """Delete what ``written`` made for frames that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_written_path", None)
         if path:
@@ -58,17 +69,6 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove shuffle files of jobs whose frames are gone.
-
-    One collection only finds the frames; their shuffles are found by the next.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 _KEPT: dict[str, object] = {}
 
 
@@ -146,18 +146,32 @@ def cells_batch(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
 
 
+#: Tasks' counts that are added up in one place.
+FAN_IN = 64
+
+
 def summed_cells(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of all tasks' ``cells_batch`` counts. ``size`` is fixed by the caller, so what reaches the driver is bounded."""
+    """Sum of all tasks' ``cells_batch`` counts, in levels of ``FAN_IN`` however many tasks there are.
+
+    ``size`` is fixed by the caller, so what reaches the driver is bounded.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = 0
         for x in pdf["counts"]:
             total = total + np.frombuffer(zlib.decompress(x), dtype="<i8")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    level = written(parts.withColumn("task", F.spark_partition_id()))
+    tasks = (level.agg(F.max("task")).first()[0] or 0) + 1
+    summed = level
+    while tasks > 1:
+        summed = summed.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("part", "task").applyInPandas(add, "part int, task int, counts binary")
+        tasks = -(-tasks // FAN_IN)
     out = np.zeros(size, dtype=np.int64)
-    for row in parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+    for row in summed.collect():
         at = row["part"] * CELLS_A_PART
         part = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
         out[at : at + len(part)] = part
+    dropped(level)
     return out

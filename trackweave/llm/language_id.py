@@ -23,17 +23,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import cells_batch, summed_cells
+from trackweave.llm.common import cells_batch, mixed, summed_cells
 from trackweave.llm.ftrl import Ftrl, Rows, batch_step, scores
 
 BITS = 16
-WORD_CACHE = 200_000
+#: Words whose features are remembered; beyond it a cache starts afresh with the next batch.
+WORD_CACHE = 300_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_FIRST, _LAST = "\x02", "\x03"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,22 +42,43 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
-
-
-def gram_cells(word: str) -> np.ndarray:
-    """Hash cells of the 1- to 3-grams of a word between its ends."""
-    w = f"\x02{word}\x03"
-    grams = [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)][1:]
-    return np.array([xxhash.xxh3_64_intdigest(g) & ((1 << BITS) - 1) for g in grams], dtype=np.int32)
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Fractions, circled digits and Roman numerals are word characters too, but neither decimal digits nor letters.
+    return "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
+
+
+def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash cells of the 1- to 3-grams of each word between its ends, one word after the other, and how many each has."""
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    codes = np.frombuffer("".join([f"{_FIRST}{w}{_LAST}" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(n)
+    grams, valid = np.zeros((len(codes), 3), dtype=np.uint64), np.ones((len(codes), 3), dtype=bool)
+    step = np.uint64(0x110000)
+    grams[:, 0] = codes
+    grams[:-1, 1] = (codes[:-1] + np.uint64(1)) * step + codes[1:]
+    grams[:-2, 2] = (grams[:-2, 1] + np.uint64(1)) * step + codes[2:]
+    valid[ends - n, 0] = valid[ends - 1, 1] = valid[ends - 1, 2] = valid[ends - 2, 2] = False
+    return (mixed(grams[valid]) & np.uint64((1 << BITS) - 1)).astype(np.int32), 3 * n - 4
 
 
 class WordCells(dict):
-    def __missing__(self, word: str) -> np.ndarray:
+    """word -> its cells."""
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Take in the words of a batch of texts that are new."""
         if len(self) >= WORD_CACHE:
             self.clear()
-        out = self[word] = gram_cells(word)
-        return out
+        new = list(set(chain.from_iterable(texts)) - self.keys())
+        cells, n = gram_cells(new)
+        self.update(zip(new, np.split(cells, np.cumsum(n)[:-1])))
+
+
+#: Cells do not depend on a model, so the tasks of a Python worker share them.
+_CELLS = WordCells()
 
 
 @dataclass
@@ -71,30 +93,49 @@ class LanguageModel:
 
 
 class WordScores(dict):
-    """word -> (sum of idf * weights by language, sum of idf), for words met lately."""
+    """word -> row of ``rows``: sums of idf * weights by language, and of idf, over the word's cells."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.table = model, model.idf[:, None] * model.weights
+        self.table = np.c_[model.idf[:, None] * model.weights, model.idf]
+        self.rows = np.empty((1024, self.table.shape[1]))
 
-    def __missing__(self, word: str) -> tuple[float, ...]:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Take in the words of a batch of texts that are new."""
         if len(self) >= WORD_CACHE:
             self.clear()
-        cells = gram_cells(word)
-        out = self[word] = (*self.table[cells].sum(axis=0).tolist(), float(self.model.idf[cells].sum()))
-        return out
+        new = list(set(chain.from_iterable(texts)) - self.keys())
+        if not new:
+            return
+        used = len(self)
+        while used + len(new) > len(self.rows):
+            self.rows = np.r_[self.rows, np.empty_like(self.rows)]
+        for at in range(0, len(new), 20_000):
+            cells, n = gram_cells(new[at : at + 20_000])
+            self.rows[used + at : used + at + len(n)] = np.add.reduceat(self.table[cells], np.r_[0, np.cumsum(n)[:-1]], axis=0)
+        self.update(zip(new, range(used, used + len(new))))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Sum of the rows of all words of a text."""
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.rows[ids].sum(axis=0)
 
 
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """Rows of ``train(text)`` that have each cell, and the number of rows; the result is a fixed 2**BITS counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, df = WordCells(), np.zeros((1 << BITS) + 1, dtype=np.int64)
+        df, seen = np.zeros((1 << BITS) + 1, dtype=np.int64), np.zeros(1 << BITS, dtype=bool)
         for batch in batches:
-            for text in batch.column(0):
-                df[-1] += 1
-                if words := set(letter_runs(text.as_py())):
-                    df[:-1] += np.bincount(np.concatenate([cells[w] for w in words]), minlength=1 << BITS) > 0
+            df[-1] += batch.num_rows
+            texts = [letter_runs(text) for text in batch.column(0).to_pylist()]
+            _CELLS.learn(texts)
+            for words in texts:
+                if words:
+                    seen[np.concatenate(list(map(_CELLS.__getitem__, set(words))))] = True
+                    cells = np.flatnonzero(seen)
+                    df[cells] += 1
+                    seen[cells] = False
         yield cells_batch(df)
 
     total = summed_cells(train.mapInArrow(count, "part int, counts binary"), (1 << BITS) + 1)
@@ -110,12 +151,12 @@ def training_sample(train: DataFrame, rows: int) -> list:
     chosen = train.withColumn("drawn", drawn).where(F.col("drawn") < rates[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(5)) == 0).alias("back"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = WordCells()
         for batch in batches:
             found = []
-            for text in batch.column(1):
-                words = letter_runs(text.as_py())
-                ids, n = np.unique(np.concatenate([cells[w] for w in words]), return_counts=True) if words else (np.empty(0), np.empty(0))
+            texts = [letter_runs(text) for text in batch.column(1).to_pylist()]
+            _CELLS.learn(texts)
+            for words in texts:
+                ids, n = np.unique(np.concatenate(list(map(_CELLS.__getitem__, words))), return_counts=True) if words else (np.empty(0), np.empty(0))
                 found.append((ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), batch.column(2)], names=["lang", "cells", "counts", "back"])
 
@@ -164,14 +205,20 @@ def learned(docs: DataFrame, *, sample_rows: int = 6000) -> LanguageModel:
     return fitted(df, n, training_sample(train, sample_rows))
 
 
-def predict(model: LanguageModel, words: WordScores, text: str | None) -> tuple[str, float]:
-    runs = letter_runs(text)
-    if not runs or not model.languages:
-        return UNKNOWN, 0.0
-    *sums, mass = map(sum, zip(*map(words.__getitem__, runs)))
-    p = softmax(((np.array(sums) / mass + model.bias) / model.temperature)[None, :])[0]
-    best = int(np.argmax(p))
-    return model.languages[best], float(p[best])
+def predicted(model: LanguageModel, words: WordScores, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    languages, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    runs = [letter_runs(text) if model.languages else [] for text in texts]
+    known = [i for i, r in enumerate(runs) if r]
+    if known:
+        words.learn(runs)
+        sums = np.stack([words.total(runs[i]) for i in known])
+        p = softmax((sums[:, :-1] / sums[:, -1:] + model.bias) / model.temperature)
+        best = p.argmax(axis=1)
+        score[known] = p[np.arange(len(known)), best]
+        for i, b in zip(known, best):
+            languages[i] = model.languages[b]
+    return languages, score
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -183,8 +230,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(shared.value)
         for batch in batches:
-            found = [predict(shared.value, words, text.as_py()) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
+            languages, score = predicted(shared.value, words, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(score), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *keep)
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{also}")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import BROADCAST_ROWS, HashCache, cells_batch, dropped, groups, release, summed_cells, window_hashes, word_hashes, written
+from trackweave.llm.common import BROADCAST_ROWS, HashCache, cells_batch, dropped, groups, summed_cells, window_hashes, word_hashes, written
 from trackweave.llm.components import connected_components
 
 
@@ -184,7 +184,6 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     ``block``: documents of a family that meet in one place; ``sketch_bits``: log2 of the
     count cells (default by table size, 16 to 24, so what is broadcast stays under 16 MB).
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     bits = sketch_bits or min(24, max(16, ceil(log2(docs.select("doc_id").count() + 1)) + 5))
     sized = written(prefixes(docs, count_ranks(docs.select("text"), k, bits), k, num, den))
@@ -199,7 +198,6 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     hubs = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
     near = entries.join(hubs, "key").where("doc_id <> hub").select(F.struct("doc_id", "class").alias("a"), F.struct(F.col("hub").alias("doc_id"), "class").alias("b")).distinct()
     families = connected_components(near)
-    release(spark)
 
     counted = families.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     placed = families.join(counted, "root").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
@@ -224,7 +222,6 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     spots = spots.repartition("place").sortWithinPartitions("place", "doc_id")
     links = spots.mapInArrow(search, f"a {kind}, b {kind}")
     roots = connected_components(links)
-    release(spark)
 
     class_root = classes.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("component_id"))
     class_root = written(class_root)

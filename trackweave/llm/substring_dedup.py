@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
-from trackweave.llm.common import HashCache, dropped, release, window_hashes, word_hashes, written
+from trackweave.llm.common import HashCache, dropped, window_hashes, word_hashes, written
 
 ANCHOR_WORDS = 5
 #: End of a span that takes all of its document.
@@ -110,18 +110,15 @@ def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
 
     Exact copies have one span, to ``WHOLE``, without coordinates.
     """
-    spark = docs.sparkSession
     several = repeated_ids(docs)
     docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
     repeated = repeated_anchors(anchors_of(docs, width).withColumn("places", F.lit(1)), within=False)
     found = written(occurrences(docs, repeated, width))
-    release(spark)
     lows = found.groupBy("edge").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     shared = written(found.join(lows, "edge"))
     dropped(found)
-    release(spark)
     # In its source document an edge counts at its first place, so that source coordinates run on.
     edges = shared.where("doc_id = first_doc").groupBy("edge", "source", "target", "first_doc").agg(F.min(F.struct("version", "at")).alias("first")).select("edge", "source", "target", "first_doc", F.col("first.version").alias("first_version"), F.col("first.at").alias("first_at"))
     paths = compacted(written(edges))
@@ -132,7 +129,6 @@ def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
     whole = copies.select("doc_id", "version", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"), F.lit(None).alias("first_doc"), F.lit(None).alias("first_at"), F.lit(None).alias("path_at"))
     spans = written(spans.select("doc_id", "version", "start", "end", "first_doc", "first_at", "path_at").unionByName(whole))
     dropped(shared, copies, several)
-    release(spark)
     return spans
 
 

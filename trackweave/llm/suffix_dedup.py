@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import anchor_counts, distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
-from trackweave.llm.common import dropped, mixed, release, written
+from trackweave.llm.common import dropped, mixed, written
 from trackweave.llm.induced_sort import suffix_array
 
 ANCHOR_BYTES = 32
@@ -235,14 +235,12 @@ def repeated_in_shard(runs: list[tuple], width: int) -> list[tuple]:
 
 def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     """doc_id, version, start, end (bytes, end excluded): all repeated windows of every row, runs of them joined where they met."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     several = repeated_ids(docs)
     docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
     repeated = written(repeated_anchors(anchors_of(docs, width), within=True, hot=HOT_PLACES))
-    release(spark)
     dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +290,6 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     whole = copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
     spans = written(dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint").unionByName(whole))
     dropped(repeated, copies, several)
-    release(spark)
     return spans
 
 
