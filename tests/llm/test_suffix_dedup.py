@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from trackweave.llm import suffix_dedup as module
-from trackweave.llm.induced_sort import suffix_array
+from trackweave.llm.induced_sort import Stats, suffix_array
 from trackweave.llm.suffix_dedup import suffix_dedup
 
 
@@ -28,20 +29,61 @@ def result(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [1, 2, 1000])
-def test_suffix_array_with_common_prefixes(block):
-    rng = random.Random(block)
-    for _ in range(400):
-        t = bytes(rng.randrange(rng.choice([1, 2, 3, 6])) for _ in range(rng.randrange(40))) * rng.choice([1, 1, 2])
-        order = sorted(range(len(t)), key=lambda i: t[i:])
-        cap = rng.choice([3, 100])
-        commons = [0][: len(t)]
-        for a, b in zip(order, order[1:]):
-            k = 0
-            while k < cap and a + k < len(t) and b + k < len(t) and t[a + k] == t[b + k]:
-                k += 1
-            commons.append(k)
-        assert suffix_array(t, cap, block) == (order, commons)
+def common(t, a, b, cap):
+    k = 0
+    while k < cap and max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+        k += 1
+    return k
+
+
+@pytest.mark.parametrize("memory", [1, 8, 64, 5000])
+def test_suffix_array_with_common_prefixes(memory):
+    rng = random.Random(memory)
+    for _ in range(150):
+        t = bytes(rng.randrange(rng.choice([1, 2, 3, 6, 250])) for _ in range(rng.randrange(200))) * rng.choice([1, 1, 2, 3])
+        order, cap = sorted(range(len(t)), key=lambda i: t[i:]), rng.choice([3, 100])
+        got, commons = suffix_array(np.frombuffer(t, dtype=np.uint8), cap, memory)
+        assert got.tolist() == order
+        assert commons[0 : len(t)].tolist() == [0, *(common(t, a, b, cap) for a, b in zip(order, order[1:]))][: len(t)]
+
+
+def test_a_shard_far_larger_than_memory_is_sorted_on_disk():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    t = " ".join(rng.choice(words) for _ in range(18_000)).encode()
+    t += t[1000:9000] + bytes(3000)
+    memory, stats = 1 << 11, Stats()
+    order, commons = suffix_array(np.frombuffer(t, dtype=np.uint8), 100, memory, stats)
+    assert len(t) > 50 * memory
+    assert stats.depth > 2 and stats.spills > 100 and stats.spilled > len(t)
+    assert stats.held <= 3 * memory  # the limit and what one batch adds
+    order = order.tolist()
+    assert sorted(order) == list(range(len(t)))
+    found = commons[0 : len(t)].tolist()
+    for i in rng.sample(range(1, len(t)), 4000):
+        a, b = order[i - 1], order[i]
+        assert found[i] == common(t, a, b, 100)
+        assert t[a:] < t[b:]
+
+
+@pytest.mark.parametrize("memory", [64, 1 << 19])
+def test_windows_of_a_shard_equal_brute_force(memory):
+    rng = random.Random(6)
+    text = lambda n: bytes(rng.choice(b"abc\xff") for _ in range(n))
+    p = text(150)
+    texts = [(1, b"", text(40) + p + text(30)), (2, b"", p + text(20)), (2, b"v", p + p), (3, b"", text(70) + p[:120] + text(5)), (4, b"", text(300))]
+    runs = [(d, v, 0, len(x) - 99, x, 7) for d, v, x in texts]
+    places = {}
+    for d, v, x in texts:
+        for i in range(len(x) - 99):
+            places.setdefault(x[i : i + 100], []).append((d, v, i))
+    want = set()
+    for found in places.values():
+        for d, v, i in found:
+            if d > min(found)[0] or any((d, v) == (e, w) and j < i for e, w, j in found):
+                want |= {(d, v, k) for k in range(i, i + 100)}
+    got = module.repeated_in_shard(runs, 100, memory)
+    assert {(d, v, k) for d, v, a, b in got for k in range(a, b)} == want and want
 
 
 def test_awkward_rows_equal_brute_force(spark, awkward, awkward_docs):
@@ -117,7 +159,7 @@ def test_no_task_holds_a_group_that_grows(spark, awkward, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     several = module.repeated_ids(docs)
     distinct = module.distinct_rows(docs, several)
-    runs = module.runs_of(distinct, module.repeated_anchors(module.anchors_of(distinct, 100), within=True, hot=20), 100)
-    assert runs.where("not hot").groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 20
-    assert runs.where("hot").count() > 0
+    repeated = module.repeated_anchors(module.anchors_of(distinct, 100), within=True, hot=20)
+    assert module.runs_of(distinct, repeated, 100).groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 20
+    assert module.hot_windows(distinct, repeated, 100).count() > 0
     assert result(suffix_dedup(docs)) == brute(rows)

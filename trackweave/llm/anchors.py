@@ -7,10 +7,10 @@ anchors, so a window whose anchor is nowhere else is nowhere else itself.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import BROADCAST_ROWS, written
+from trackweave.llm.common import BROADCAST_ROWS, dropped, written
 
 
 def sliding(values: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
@@ -38,21 +38,24 @@ def anchor_counts(hashes: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray,
     return distinct, np.bincount(at[distinct[at] == hashes], minlength=len(distinct))
 
 
-def repeated_anchors(anchors: DataFrame, *, within: bool, hot: int = 0) -> DataFrame:
-    """doc_id, version and the list of its anchors that other rows have too (``within``: or that it has twice).
+def repeated_anchors(anchors: DataFrame, *, within: bool, hot: int | None = None) -> DataFrame:
+    """doc_id, version and the list of its anchors that other documents have too (``within``: or that it has twice); a written table.
 
-    With ``hot``, also the list of those at more than so many places of the table.
-    ``anchors``: anchor, doc_id, version, places; one row for each distinct anchor of a document. Rows
-    are narrow and a document has many anchors, so even an anchor of all documents is a
-    small share of them; Spark sorts and spills within a partition.
+    With ``hot``, those at more than so many places of the table are in a list ``hot`` of their own.
+    ``anchors``: anchor, doc_id, version, places; one row for each distinct anchor of a document.
+    Anchors are counted map-side first and joined back, so Spark can split one that very many documents have.
     """
-    same = Window.partitionBy("anchor").orderBy("doc_id")
-    seen = anchors.withColumn("elsewhere", F.lag("doc_id").over(same).isNotNull() | F.lead("doc_id").over(same).isNotNull())
-    lists = [F.collect_list("anchor").alias("anchors")]
-    if hot:
-        seen = seen.withColumn("all", F.sum("places").over(Window.partitionBy("anchor")))
-        lists.append(F.collect_list(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot"))
-    return seen.where("elsewhere or places > 1" if within else "elsewhere").groupBy("doc_id", "version").agg(*lists)
+    rows = written(anchors)
+    seen = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("places").alias("all"))
+    seen = written(seen.where("all > 1" if within else "low < high").select("anchor", "all"))
+    few = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
+    cold = F.lit(True) if hot is None else F.col("all") <= hot
+    lists = [F.collect_list(F.when(cold, F.col("anchor"))).alias("anchors")]
+    if hot is not None:
+        lists.append(F.collect_list(F.when(~cold, F.col("anchor"))).alias("hot"))
+    out = written(rows.join(few, "anchor").groupBy("doc_id", "version").agg(*lists))
+    dropped(rows, seen)
+    return out
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:

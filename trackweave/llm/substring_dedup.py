@@ -114,7 +114,7 @@ def repeated_spans(docs: DataFrame, *, width: int = 13) -> DataFrame:
     docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
-    repeated = repeated_anchors(anchors_of(docs, width).withColumn("places", F.lit(1)), within=False)
+    repeated = repeated_anchors(anchors_of(docs, width).withColumn("places", F.lit(1).cast("bigint")), within=False)
     found = written(occurrences(docs, repeated, width))
     lows = found.groupBy("edge").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     shared = written(found.join(lows, "edge"))

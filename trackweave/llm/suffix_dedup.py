@@ -6,15 +6,17 @@ document with a smaller id, or earlier in its own.
 1. Of every ``width`` bytes the smallest hash of 32 bytes is the anchor. Only windows whose
    anchor is somewhere else too can be repeated; runs of neighbouring windows with the
    same anchor are cut out with their text.
-2. The runs are dealt by anchor, so equal windows meet. Ends of runs whose windows have no
-   hash in common with another are trimmed off, before and after equal runs are put
-   together: the first of these stays and the others are repeated as a whole.
-3. All that stays is put together to shards, and a suffix array with common-prefix values
-   (``induced_sort``) shows which windows are equal; all but the first of equal ones are
-   repeated. A shard's queues go to disk in blocks, the rest of the sort is in memory. The
-   runs of an anchor are never parted, but an anchor at more than ``HOT_PLACES`` places of
-   the table isn't dealt: each window of it goes by its own hash, and all but the first of
-   equal ones are found as they stream by in order, so no task holds a group that grows.
+2. The runs are dealt by anchor, so equal windows meet. Equal runs are put together: the
+   first of these stays and the others are repeated as a whole. Ends of runs whose windows
+   have no hash in common with another are trimmed off.
+3. All that stays is put together to shards, and external induced sorting
+   (``induced_sort``) gives their suffixes in order with common-prefix values, which show
+   the windows that are equal; all but the first of equal ones are repeated. The runs of an
+   anchor are never parted, and a shard ends after the anchor with which it has
+   ``SHARD_BYTES``; what a shard needs beyond ``MEMORY`` tuples goes to disk. An anchor at more than ``HOT_PLACES`` places of
+   the table isn't dealt, so no task holds a group that grows with the table: its windows
+   go singly by their own 128-bit hashes, and Spark finds the first of equal ones with
+   map-side minima and a join that it can split.
 4. The repeated windows of each document are put together and cut out.
 
 Exact copies of a document with a smaller id are found first by their digests; all their
@@ -39,15 +41,15 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import anchor_counts, distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
 from trackweave.llm.common import dropped, mixed, written
-from trackweave.llm.induced_sort import suffix_array
+from trackweave.llm.induced_sort import MEMORY, Stats, on_disk, parts, suffix_array
 
 ANCHOR_BYTES = 32
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 1 << 17
-MET_BYTES = 1 << 20
+#: Bytes of runs a task brings together, but for the rest of the last anchor.
+SHARD_BYTES = 1 << 22
 RUN_WINDOWS = 512
 #: Most places of an anchor whose runs are held and sorted together.
-HOT_PLACES = 2048
+HOT_PLACES = 1 << 14
 #: Runs a task gathers before it passes them on.
 RUNS_A_BATCH = 20_000
 #: End of a span that takes all of its document.
@@ -70,12 +72,12 @@ def byte_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def wide_hashes(data: np.ndarray, width: int) -> np.ndarray:
+def wide_hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of each ``width`` bytes, from those of powers of two."""
     n = len(data) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h, out, at, j = _BYTE[data], np.zeros(n, dtype=np.uint64), 0, 0
+    h, out, at, j = mixed(_BYTE[data] + np.uint64(seed)) if seed else _BYTE[data], np.zeros(n, dtype=np.uint64), 0, 0
     while width >> j:
         step = _STEP[j % len(_STEP)]
         if width >> j & 1:
@@ -105,9 +107,9 @@ def trimmed(runs: list[tuple], width: int) -> list[tuple]:
     return out
 
 
-def blocks(data: bytes, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(data: bytes | np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first window, hashes, anchor of each window) of a text block by block, so arrays stay small however long it is."""
-    array = np.frombuffer(data, dtype=np.uint8)
+    array = np.frombuffer(data, dtype=np.uint8) if isinstance(data, bytes) else data
     for at in range(0, max(0, len(array) - width + 1), BLOCK_BYTES):
         hashes = byte_hashes(array[at : at + BLOCK_BYTES + width - 1])
         yield at, hashes, window_anchors(hashes, width - ANCHOR_BYTES + 1)
@@ -137,8 +139,16 @@ def anchors_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, places bigint")
 
 
+def neighbours(at: np.ndarray, of_window: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, count) of the runs of neighbouring places in ``at`` with one anchor, ``RUN_WINDOWS`` at most."""
+    cut = np.flatnonzero((np.diff(at) != 1) | (of_window[at[1:]] != of_window[at[:-1]])) + 1
+    for a, b in zip(at[np.r_[0, cut]].tolist(), at[np.r_[cut, len(at)] - 1].tolist()):
+        for p in range(a, b + 1, RUN_WINDOWS):
+            yield p, min(RUN_WINDOWS, b + 1 - p)
+
+
 def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, version, start, windows, text, hot: neighbouring windows with the same repeated anchor; those of a hot one singly, with their hash for an anchor."""
+    """anchor, doc_id, version, start, windows, text: neighbouring windows with the same repeated anchor."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,35 +156,56 @@ def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
             found: list[tuple] = []
 
             def passed(found: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                owner, anchor, start, windows, text, hot = zip(*found)
+                owner, anchor, start, windows, text = zip(*found)
                 ids, versions = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
-                return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary()), pa.array(hot)], names=["anchor", "doc_id", "version", "start", "windows", "text", "hot"])
+                return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary())], names=["anchor", "doc_id", "version", "start", "windows", "text"])
 
-            for i, (value, wanted, hot) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4))):
+            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
                 data = text_bytes(value.as_py())
-                wanted, hot = (np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in (wanted, hot))
+                wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 for base, _, of_window in blocks(data, width):
                     at = np.flatnonzero(np.isin(of_window, wanted))
-                    if not len(at):
-                        continue
-                    cut = np.flatnonzero((np.diff(at) != 1) | (of_window[at[1:]] != of_window[at[:-1]])) + 1
-                    begins, ends = np.r_[0, cut], np.r_[cut, len(at)]
-                    for a, b, singly in zip(begins, ends, np.isin(of_window[at[begins]], hot)):
-                        for p in range(int(at[a]), int(at[b - 1]) + 1, RUN_WINDOWS):
-                            n = min(RUN_WINDOWS, int(at[b - 1]) + 1 - p)
-                            text = data[base + p : base + p + n + width - 1]
-                            if singly:
-                                found += [(i, h, base + p + j, 1, text[j : j + width], True) for j, h in enumerate(wide_hashes(np.frombuffer(text, dtype=np.uint8), width))]
-                            else:
-                                found.append((i, of_window[at[a]], base + p, n, text, False))
-                            if len(found) >= RUNS_A_BATCH:
-                                yield passed(found)
-                                found = []
+                    if len(at):
+                        found += [(i, of_window[p], base + p, n, data[base + p : base + p + n + width - 1]) for p, n in neighbours(at, of_window)]
+                    if len(found) >= RUNS_A_BATCH:
+                        yield passed(found)
+                        found = []
             if found:
                 yield passed(found)
 
-    rows = docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors", "hot")
-    return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary, hot boolean")
+    rows = docs.join(repeated.where(F.size("anchors") > 0), ["doc_id", "version"]).select("doc_id", "version", "text", "anchors")
+    return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary")
+
+
+def hot_windows(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
+    """h1, h2, doc_id, version, start: windows of hot anchors by their 128-bit hash."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
+                data = np.frombuffer(text_bytes(value.as_py()), dtype=np.uint8)
+                wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                for base, _, of_window in blocks(data, width):
+                    at = np.flatnonzero(np.isin(of_window, wanted))
+                    if len(at):
+                        part = data[base : base + BLOCK_BYTES + width - 1]
+                        owner = pa.array(np.full(len(at), i))
+                        ids, versions = (batch.column(c).take(owner) for c in (0, 1))
+                        hashes = [pa.array(wide_hashes(part, width, seed)[at].view(np.int64)) for seed in (1, 2)]
+                        yield pa.RecordBatch.from_arrays([*hashes, ids, versions, pa.array(base + at)], names=["h1", "h2", "doc_id", "version", "start"])
+
+    rows = docs.join(repeated.where(F.size("hot") > 0), ["doc_id", "version"]).select("doc_id", "version", "text", "hot")
+    return rows.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, version binary, start bigint")
+
+
+def repeated_hot(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
+    """doc_id, version, start, end of the windows of hot anchors that start earlier too."""
+    rows = written(hot_windows(docs, repeated, width))
+    in_row = rows.groupBy("h1", "h2", "doc_id", "version").agg(F.min("start").alias("first"))
+    in_table = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
+    again = rows.join(in_row, ["h1", "h2", "doc_id", "version"]).join(in_table, ["h1", "h2"]).where("doc_id > low or start > first")
+    return again.select("doc_id", "version", "start", (F.col("start") + width).alias("end"))
 
 
 def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
@@ -194,42 +225,63 @@ def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tup
     return firsts, others
 
 
-def later(places: list[tuple]) -> list[tuple]:
-    """Of places (doc_id, version, start) of one string those that it starts before, in a smaller id or earlier in the same row."""
-    low = min(places)[0]
-    begins: dict[bytes, int] = {}
-    for d, v, s in places:
-        if d == low:
-            begins[v] = min(s, begins.get(v, s))
-    return [(d, v, s) for d, v, s in places if d > low or s > begins[v]]
-
-
-def repeated_in_shard(runs: list[tuple], width: int) -> list[tuple]:
-    """(doc_id, version, start, end) of the windows of a shard that are not the first of their kind."""
-    parts = [r[4].translate(_RAISED) + b"\x00" for r in runs]
-    order, commons = suffix_array(b"".join(parts), width)
-    of_run = np.repeat(np.arange(len(runs)), [len(p) for p in parts])
-    begins = np.cumsum([0, *map(len, parts)])
-    windows = np.array([r[3] for r in runs])
-    place = np.array(order)
-    owner = of_run[place]
-    inside = place - begins[owner]
-    is_window = inside < windows[owner]
-    # Windows are equal when no suffix between them has a shorter common prefix.
-    breaks = np.cumsum(np.array(commons) < width)
-    w = np.flatnonzero(is_window)
-    same = np.flatnonzero(breaks[w[1:]] == breaks[w[:-1]])
+def shard_text(runs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs' texts one after the other, each with an end, in a scratch file, and where each begins."""
+    begins = np.cumsum([0, *(len(r[4]) + 1 for r in runs)])
+    t = on_disk(int(begins[-1]), np.uint8)
+    for at in range(0, len(runs), RUNS_A_BATCH):
+        part = b"".join([r[4].translate(_RAISED) + b"\x00" for r in runs[at : at + RUNS_A_BATCH]])
+        t[begins[at] : begins[at] + len(part)] = np.frombuffer(part, dtype=np.uint8)
+    return t, begins
+
+
+def equal_windows(t: np.ndarray, begins: np.ndarray, windows: np.ndarray, width: int, memory: int, stats: Stats | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, run, place) of the windows that another one equals, kind by kind, in blocks that part no kind."""
+    order, commons = suffix_array(t, width, memory, stats)
+    kind, held = 0, []
+    for s in parts(len(t), memory):
+        place, common = np.asarray(order[s]), commons[s.start : s.stop + 1]
+        common = common if len(common) > len(place) else np.r_[common, 0]
+        # Windows are equal when no suffix between them has a shorter common prefix.
+        kinds = kind + np.cumsum(common[:-1] < width)
+        kind = int(kinds[-1])
+        some = np.flatnonzero((common[:-1] >= width) | (common[1:] >= width))
+        run = np.searchsorted(begins, place[some], side="right") - 1
+        inside = place[some] - begins[run] < windows[run]
+        held.append((kinds[some][inside], run[inside], place[some][inside]))
+        kinds, run, place = (np.concatenate(x) for x in zip(*held))
+        done = np.searchsorted(kinds, kind) if s.stop < len(t) else len(kinds)
+        held = [(kinds[done:], run[done:], place[done:])]
+        if done:
+            yield kinds[:done], run[:done], place[:done]
+
+
+def repeated_in_shard(runs: list[tuple], width: int, memory: int = MEMORY, stats: Stats | None = None) -> list[tuple]:
+    """(doc_id, version, start, end) of all windows of a shard that start earlier too, neighbouring ones joined; runs: (doc_id, version, start, windows, text, anchor)."""
+    t, begins = shard_text(runs)
+    starts, windows = np.array([r[2] for r in runs]), np.array([r[3] for r in runs])
+    rows = sorted({r[:2] for r in runs})
+    number = {r: i for i, r in enumerate(rows)}
+    row = np.array([number[r[:2]] for r in runs])
+    doc = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:]))])[row]
+    again = on_disk(len(t), np.uint8)
+    for kind, run, place in equal_windows(t, begins, windows, width, memory, stats):
+        start = starts[run] + place - begins[run]
+        order = np.lexsort((start, row[run], kind))
+        kind, run, place = kind[order], run[order], place[order]
+        new = np.r_[True, kind[1:] != kind[:-1]]
+        low = doc[run[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        first = new | np.r_[True, row[run[1:]] != row[run[:-1]]]
+        again[place[(doc[run] > low) | ~first]] = 1
     out = []
-    if len(same):
-        kind = breaks[w]
-        keep = np.flatnonzero(np.bincount(kind, minlength=kind.max() + 1)[kind] > 1)
-        found: dict[int, list[tuple]] = {}
-        for i in keep:
-            k = w[i]
-            r = owner[k]
-            found.setdefault(int(kind[i]), []).append((*runs[r][:2], runs[r][2] + int(inside[k])))
-        for places in found.values():
-            out += [(d, v, s, s + width) for d, v, s in later(places)]
+    for s in parts(len(t), memory):
+        place = s.start + np.flatnonzero(again[s])
+        if len(place):
+            run = np.searchsorted(begins, place, side="right") - 1
+            start = starts[run] + place - begins[run]
+            cut = np.flatnonzero((run[1:] != run[:-1]) | (np.diff(start) > width)) + 1
+            for k, a, b in zip(run[np.r_[0, cut]].tolist(), start[np.r_[0, cut]].tolist(), start[np.r_[cut, len(run)] - 1].tolist()):
+                out.append((*runs[k][:2], a, b + width))
     return out
 
 
@@ -240,55 +292,37 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     docs = distinct_rows(docs, several)
     copies = exact_copies(docs)
     docs = without(docs, copies)
-    repeated = written(repeated_anchors(anchors_of(docs, width), within=True, hot=HOT_PLACES))
+    repeated = repeated_anchors(anchors_of(docs, width), within=True, hot=HOT_PLACES)
     dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, size, now, latest = [], 0, None, {}
+        met, size, now = [], 0, None
         for batch in batches:
-            id_type, spans = batch.schema.field("doc_id").type, []
-            for *r, anchor, hot in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "start", "windows", "text", "anchor", "hot"))):
-                if anchor != now:
-                    now, latest = anchor, {}
-                    if size >= MET_BYTES:
+            id_type = batch.schema.field("doc_id").type
+            for r in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "start", "windows", "text", "anchor"))):
+                if r[5] != now:
+                    now = r[5]
+                    if size >= SHARD_BYTES:
                         yield from found(met, id_type)
                         met, size = [], 0
-                if not hot:
-                    met.append((*r, anchor))
-                    size += len(r[4])
-                    continue
-                # In order of id, version and start, as in ``first_of_equal``; only the latest row with a first window is kept.
-                d, v = latest.setdefault(r[4], (r[0], None))
-                if d == r[0] and v != r[1]:
-                    latest[r[4]] = (r[0], r[1])
-                else:
-                    spans.append((*r[:3], r[2] + width))
-            if spans:
-                yield as_spans(spans, id_type)
+                met.append(r)
+                size += len(r[4])
         if met:
             yield from found(met, id_type)
 
-    def as_spans(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        ids, versions, starts, ends = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
-
     def found(met: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         firsts, rows = first_of_equal(met, width)
-        firsts, more = first_of_equal(trimmed(firsts, width), width)
-        firsts = trimmed(firsts, width)  # without their copies many runs have no window in common with another
-        rows += more
-        while firsts:
-            n = int(np.searchsorted(np.cumsum([len(r[4]) for r in firsts]), SHARD_BYTES)) + 1
-            # Equal windows are in runs of one anchor, which are neighbours here; a shard ends where the anchor changes.
-            while n < len(firsts) and firsts[n][5] == firsts[n - 1][5]:
-                n += 1
-            rows += repeated_in_shard(firsts[:n], width)
-            firsts = firsts[n:]
+        firsts = trimmed(firsts, width)
+        rows += repeated_in_shard(firsts, width) if firsts else []
         if rows:
-            yield as_spans(rows, id_type)
-
-    whole = copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end"))
-    spans = written(dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint").unionByName(whole))
+            ids, versions, starts, ends = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
+
+    spans = dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint")
+    spans = spans.unionByName(copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end")))
+    if not repeated.where(F.size("hot") > 0).isEmpty():
+        spans = spans.unionByName(repeated_hot(docs, repeated, width))
+    spans = written(spans)
     dropped(repeated, copies, several)
     return spans
 
