@@ -48,12 +48,11 @@ def repeated_anchors(anchors: DataFrame, *, within: bool, hot: int | None = None
     rows = written(anchors)
     seen = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("places").alias("all"))
     seen = written(seen.where("all > 1" if within else "low < high").select("anchor", "all"))
-    few = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
     cold = F.lit(True) if hot is None else F.col("all") <= hot
     lists = [F.collect_list(F.when(cold, F.col("anchor"))).alias("anchors")]
     if hot is not None:
         lists.append(F.collect_list(F.when(~cold, F.col("anchor"))).alias("hot"))
-    out = written(rows.join(few, "anchor").groupBy("doc_id", "version").agg(*lists))
+    out = written(rows.join(seen, "anchor").groupBy("doc_id", "version").agg(*lists))
     dropped(rows, seen)
     return out
 

@@ -6,17 +6,16 @@ document with a smaller id, or earlier in its own.
 1. Of every ``width`` bytes the smallest hash of 32 bytes is the anchor. Only windows whose
    anchor is somewhere else too can be repeated; runs of neighbouring windows with the
    same anchor are cut out with their text.
-2. The runs are dealt by anchor, so equal windows meet. Equal runs are put together: the
-   first of these stays and the others are repeated as a whole. Ends of runs whose windows
-   have no hash in common with another are trimmed off.
-3. All that stays is put together to shards, and external induced sorting
-   (``induced_sort``) gives their suffixes in order with common-prefix values, which show
-   the windows that are equal; all but the first of equal ones are repeated. The runs of an
-   anchor are never parted, and a shard ends after the anchor with which it has
-   ``SHARD_BYTES``; what a shard needs beyond ``MEMORY`` tuples goes to disk. An anchor at more than ``HOT_PLACES`` places of
-   the table isn't dealt, so no task holds a group that grows with the table: its windows
-   go singly by their own 128-bit hashes, and Spark finds the first of equal ones with
-   map-side minima and a join that it can split.
+2. Of equal runs of a batch all but the first are repeated as a whole; the others are
+   dealt by anchor, so equal windows meet, and the same is done with all of an anchor as
+   they stream by. An anchor at more than ``HOT_PLACES`` places of the table isn't dealt: each
+   of its windows goes by its own hash, so what a task holds of an anchor does not grow with the table.
+3. Ends of runs whose windows have no hash in common with another are trimmed off. All that
+   stays is put together to shards, and external induced sorting (``induced_sort``) gives
+   their suffixes in order with common-prefix values, which show the windows that are
+   equal; all but the first of equal ones are repeated. The runs of an anchor are never
+   parted, and a shard ends after the anchor with which it has ``SHARD_BYTES``; what it
+   needs beyond ``MEMORY`` tuples goes to disk.
 4. The repeated windows of each document are put together and cut out.
 
 Exact copies of a document with a smaller id are found first by their digests; all their
@@ -36,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,82 +147,62 @@ def neighbours(at: np.ndarray, of_window: np.ndarray) -> Iterator[tuple[int, int
             yield p, min(RUN_WINDOWS, b + 1 - p)
 
 
+def without_copies(found: list[tuple], ids: list, versions: list) -> Iterator[tuple]:
+    """The runs of a batch, those whose text starts earlier in the batch without their text.
+
+    ``found``: (row, anchor, start, windows, text, hot), by row and start. Rows with the same id don't come before each other.
+    """
+    low: dict[bytes, object] = {}
+    for r in found:
+        low[r[4]] = min(ids[r[0]], low.get(r[4], ids[r[0]]))
+    own: set[tuple] = set()
+    for r in found:
+        here = (r[4], versions[r[0]])
+        if ids[r[0]] > low[r[4]] or here in own:
+            # It is judged already, so it is dealt by its place.
+            yield (r[0], xxhash.xxh3_64_intdigest(f"{ids[r[0]]} {r[2]}"), *r[2:4], None, r[5])
+        else:
+            own.add(here)
+            yield r
+
+
 def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """anchor, doc_id, version, start, windows, text: neighbouring windows with the same repeated anchor."""
+    """anchor, doc_id, version, start, windows, text, hot: neighbouring windows with the same repeated anchor; those of a hot one singly, with their hash for an anchor.
+
+    Of equal texts of a batch all but the first have no text any more: they are repeated.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
+            ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
-            def passed(found: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                owner, anchor, start, windows, text = zip(*found)
-                ids, versions = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
-                return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), ids, versions, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary())], names=["anchor", "doc_id", "version", "start", "windows", "text"])
+            def passed(found: list[tuple], batch: pa.RecordBatch = batch, ids: list = ids, versions: list = versions) -> pa.RecordBatch:
+                owner, anchor, start, windows, text, hot = zip(*without_copies(found, ids, versions))
+                rows = [batch.column(c).take(pa.array(owner)) for c in (0, 1)]
+                return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), *rows, pa.array(start, pa.int64()), pa.array(windows, pa.int32()), pa.array(text, pa.binary()), pa.array(hot)], names=["anchor", "doc_id", "version", "start", "windows", "text", "hot"])
 
-            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (value, cold, hot) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4))):
                 data = text_bytes(value.as_py())
-                wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                cold, hot = (np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in (cold, hot))
                 for base, _, of_window in blocks(data, width):
-                    at = np.flatnonzero(np.isin(of_window, wanted))
-                    if len(at):
-                        found += [(i, of_window[p], base + p, n, data[base + p : base + p + n + width - 1]) for p, n in neighbours(at, of_window)]
-                    if len(found) >= RUNS_A_BATCH:
-                        yield passed(found)
-                        found = []
+                    for wanted, singly in ((cold, False), (hot, True)):
+                        at = np.flatnonzero(np.isin(of_window, wanted)) if len(wanted) else wanted
+                        for p, n in neighbours(at, of_window) if len(at) else ():
+                            text = data[base + p : base + p + n + width - 1]
+                            if singly:
+                                found += [(i, h, base + p + j, 1, text[j : j + width], True) for j, h in enumerate(wide_hashes(np.frombuffer(text, dtype=np.uint8), width))]
+                            else:
+                                found.append((i, of_window[p], base + p, n, text, False))
+                            if len(found) >= RUNS_A_BATCH:
+                                yield passed(found)
+                                found = []
             if found:
                 yield passed(found)
 
-    rows = docs.join(repeated.where(F.size("anchors") > 0), ["doc_id", "version"]).select("doc_id", "version", "text", "anchors")
-    return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary")
-
-
-def hot_windows(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """h1, h2, doc_id, version, start: windows of hot anchors by their 128-bit hash."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (value, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
-                data = np.frombuffer(text_bytes(value.as_py()), dtype=np.uint8)
-                wanted = np.unique(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                for base, _, of_window in blocks(data, width):
-                    at = np.flatnonzero(np.isin(of_window, wanted))
-                    if len(at):
-                        part = data[base : base + BLOCK_BYTES + width - 1]
-                        owner = pa.array(np.full(len(at), i))
-                        ids, versions = (batch.column(c).take(owner) for c in (0, 1))
-                        hashes = [pa.array(wide_hashes(part, width, seed)[at].view(np.int64)) for seed in (1, 2)]
-                        yield pa.RecordBatch.from_arrays([*hashes, ids, versions, pa.array(base + at)], names=["h1", "h2", "doc_id", "version", "start"])
-
-    rows = docs.join(repeated.where(F.size("hot") > 0), ["doc_id", "version"]).select("doc_id", "version", "text", "hot")
-    return rows.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, version binary, start bigint")
-
-
-def repeated_hot(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """doc_id, version, start, end of the windows of hot anchors that start earlier too."""
-    rows = written(hot_windows(docs, repeated, width))
-    in_row = rows.groupBy("h1", "h2", "doc_id", "version").agg(F.min("start").alias("first"))
-    in_table = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
-    again = rows.join(in_row, ["h1", "h2", "doc_id", "version"]).join(in_table, ["h1", "h2"]).where("doc_id > low or start > first")
-    return again.select("doc_id", "version", "start", (F.col("start") + width).alias("end"))
-
-
-def first_of_equal(runs: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
-    """The first runs of each text, and (doc_id, version, start, end) of the others; runs: (doc_id, version, start, windows, text, anchor).
-
-    Rows with the same id don't come before each other, so the smallest id has a first run for each of its versions.
-    """
-    latest: dict[bytes, tuple] = {}
-    firsts, others = [], []
-    for r in sorted(runs, key=lambda r: (r[5], *r[:3])):
-        d, v = latest.setdefault(r[4], (r[0], None))
-        if d == r[0] and v != r[1]:
-            latest[r[4]] = r[:2]
-            firsts.append(r)
-        else:
-            others.append((*r[:3], r[2] + r[3] + width - 1))
-    return firsts, others
+    rows = docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors", "hot")
+    return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary, hot boolean")
 
 
 def shard_text(runs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,32 +276,40 @@ def repeated_spans(docs: DataFrame, *, width: int = 100) -> DataFrame:
     dealt = runs_of(docs, repeated, width).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "start")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, size, now = [], 0, None
+        met, size, now, latest = [], 0, None, {}
         for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            for r in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "start", "windows", "text", "anchor"))):
-                if r[5] != now:
-                    now = r[5]
+            id_type, rows = batch.schema.field("doc_id").type, []
+            for *r, anchor, hot in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "start", "windows", "text", "anchor", "hot"))):
+                text = r[4]
+                if anchor != now:
+                    now, latest = anchor, {}
                     if size >= SHARD_BYTES:
-                        yield from found(met, id_type)
+                        rows += found(met)
                         met, size = [], 0
-                met.append(r)
-                size += len(r[4])
-        if met:
-            yield from found(met, id_type)
-
-    def found(met: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        firsts, rows = first_of_equal(met, width)
-        firsts = trimmed(firsts, width)
-        rows += repeated_in_shard(firsts, width) if firsts else []
-        if rows:
-            ids, versions, starts, ends = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
+                # Runs come by id, version and start: the smallest id has a first run of a text for each of its versions.
+                d, v = (None, None) if text is None else latest.setdefault(text, (r[0], None))
+                if d != r[0] or v == r[1]:
+                    rows.append((*r[:3], r[2] + r[3] + width - 1))
+                    continue
+                latest[text] = (d, r[1])
+                if not hot:  # equal windows of a hot anchor have all met here
+                    met.append((*r, anchor))
+                    size += len(text)
+            if rows:
+                yield as_spans(rows, id_type)
+        if met and (rows := found(met)):
+            yield as_spans(rows, id_type)
+
+    def found(met: list[tuple]) -> list[tuple]:
+        runs = trimmed(met, width)
+        return repeated_in_shard(runs, width) if runs else []
+
+    def as_spans(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        ids, versions, starts, ends = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(versions, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "start", "end"])
 
     spans = dealt.mapInArrow(search, f"doc_id {kind}, version binary, start bigint, end bigint")
     spans = spans.unionByName(copies.select("doc_id", "version", F.lit(0).cast("bigint").alias("start"), F.lit(WHOLE).alias("end")))
-    if not repeated.where(F.size("hot") > 0).isEmpty():
-        spans = spans.unionByName(repeated_hot(docs, repeated, width))
     spans = written(spans)
     dropped(repeated, copies, several)
     return spans
