@@ -31,6 +31,10 @@ def test_awkward_rows_equal_brute_force(spark, awkward, awkward_docs):
     assert sum(n for _, n, _ in want.values()) > 500
 
 
+def test_colliding_hashes_do_not_change_the_result(spark, awkward, awkward_docs):
+    assert result(substring_dedup(awkward_docs, hash_bits=6)) == brute([(r[0], r[1]) for r in awkward])
+
+
 def test_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert result(substring_dedup(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import BROADCAST_ROWS, dropped, written
+from trackweave.llm.common import BROADCAST_ROWS, HASHED, dropped, written
 
 
 def sliding(values: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
@@ -52,7 +52,7 @@ def repeated_anchors(anchors: DataFrame, *, within: bool, hot: int | None = None
     lists = [F.collect_list(F.when(cold, F.col("anchor"))).alias("anchors")]
     if hot is not None:
         lists.append(F.collect_list(F.when(~cold, F.col("anchor"))).alias("hot"))
-    out = written(rows.join(seen, "anchor").groupBy("doc_id", "version").agg(*lists))
+    out = written(rows.join(seen.hint(HASHED), "anchor").groupBy("doc_id", "version").agg(*lists))
     dropped(rows, seen)
     return out
 
@@ -85,7 +85,7 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     """doc_id, version of rows whose text a smaller id has too; a written table."""
     keyed = docs.where("doc_id is not null").select("doc_id", "version", F.unhex(F.md5("text")).alias("key"))
     low = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    return written(keyed.join(low, "key").where("doc_id > low").select("doc_id", "version").distinct())
+    return written(keyed.join(low.hint(HASHED), "key").where("doc_id > low").select("doc_id", "version").distinct())
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Most narrow rows (ids and a few numbers, under 100 MB) that are broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Hint for a side whose join key is unique: a partition of it goes into a hash table, so the other side, often with texts, isn't sorted.
+HASHED = "shuffle_hash"
+
 #: Spark's setting by which a query's shuffle files go when it ends.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -94,6 +97,19 @@ def word_hashes(words: list[bytes], cache: HashCache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def portions(texts: pa.Array, chars: int = 1 << 22) -> Iterator[list[str | None]]:
+    """The texts of a batch in lists of about ``chars`` characters, so long texts are not all taken apart at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -106,14 +122,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def window_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive units; empty if there are fewer."""
+    h = raw_hashes(units, k)
+    return mixed(h ^ np.uint64(k))
+
+
+def raw_hashes(units: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial of each run of ``k`` consecutive units; ``longer`` makes it one of ``k + 1``, ``mixed(h ^ k)`` a hash."""
     n = len(units) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(k):
-            h = h * _ODD[0] + units[i : i + n]
-        return mixed(h ^ np.uint64(k))
+    h = units[:n].copy()
+    for i in range(1, k):
+        h *= _ODD[0]
+        h += units[i : i + n]
+    return h
+
+
+def longer(h: np.ndarray, units: np.ndarray, k: int) -> np.ndarray:
+    """Polynomials of ``k + 1`` units from those of ``k``."""
+    return h[:-1] * _ODD[0] + units[k:]
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:

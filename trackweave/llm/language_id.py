@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import cells_batch, mixed, summed_cells
+from trackweave.llm.common import cells_batch, mixed, portions, summed_cells
 from trackweave.llm.ftrl import Ftrl, Rows, batch_step, scores
 
 BITS = 16
@@ -128,10 +128,10 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         df, seen = np.zeros((1 << BITS) + 1, dtype=np.int64), np.zeros(1 << BITS, dtype=bool)
         for batch in batches:
             df[-1] += batch.num_rows
-            texts = [letter_runs(text) for text in batch.column(0).to_pylist()]
-            _CELLS.learn(texts)
-            for words in texts:
-                if words:
+            for portion in portions(batch.column(0)):
+                texts = list(map(letter_runs, portion))
+                _CELLS.learn(texts)
+                for words in filter(None, texts):
                     seen[np.concatenate(list(map(_CELLS.__getitem__, set(words))))] = True
                     cells = np.flatnonzero(seen)
                     df[cells] += 1
@@ -153,9 +153,8 @@ def training_sample(train: DataFrame, rows: int) -> list:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            texts = [letter_runs(text) for text in batch.column(1).to_pylist()]
-            _CELLS.learn(texts)
-            for words in texts:
+            for words in chain.from_iterable(list(map(letter_runs, portion)) for portion in portions(batch.column(1))):
+                _CELLS.learn([words])
                 ids, n = np.unique(np.concatenate(list(map(_CELLS.__getitem__, words))), return_counts=True) if words else (np.empty(0), np.empty(0))
                 found.append((ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), batch.column(2)], names=["lang", "cells", "counts", "back"])
@@ -230,7 +229,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(shared.value)
         for batch in batches:
-            languages, score = predicted(shared.value, words, batch.column(2).to_pylist())
+            found = [predicted(shared.value, words, portion) for portion in portions(batch.column(2))]
+            languages, score = list(chain.from_iterable(f[0] for f in found)), np.concatenate([f[1] for f in found] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(score), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *keep)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import anchor_counts, distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
-from trackweave.llm.common import dropped, mixed, written
+from trackweave.llm.common import HASHED, dropped, mixed, written
 from trackweave.llm.induced_sort import MEMORY, Stats, on_disk, parts, suffix_array
 
 ANCHOR_BYTES = 32
@@ -201,7 +201,7 @@ def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
             if found:
                 yield passed(found)
 
-    rows = docs.join(repeated, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors", "hot")
+    rows = docs.join(repeated.hint(HASHED), ["doc_id", "version"]).select("doc_id", "version", "text", "anchors", "hot")
     return rows.mapInArrow(run, f"anchor bigint, doc_id {kind}, version binary, start bigint, windows int, text binary, hot boolean")
 
 
@@ -343,7 +343,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, width: int, *, keep: tuple[
 
     several = repeated_ids(docs)
     listed = spans.groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = with_version(docs.select("doc_id", "text", *keep), several).join(listed, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "ends", *keep)
+    rows = with_version(docs.select("doc_id", "text", *keep), several).join(listed.hint(HASHED), ["doc_id", "version"], "left").select("doc_id", "text", "starts", "ends", *keep)
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string{also}")
 
 
