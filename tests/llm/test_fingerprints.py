@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+
+from trackweave.llm import fingerprints as module
 from trackweave.llm.fingerprints import fingerprints
 
 
@@ -25,8 +28,10 @@ def check(rows, got, unit=96):
         assert abs(r.near_next - share(pieces(text, unit), pieces(follower, unit))) < 1e-9, i
 
 
-def test_awkward_rows_equal_brute_force(spark, awkward, awkward_docs):
-    got = {r.doc_id: r for r in fingerprints(awkward_docs, buckets=7).collect()}
+@pytest.mark.parametrize("ranges", [1, 7, 256])
+def test_awkward_rows_equal_brute_force(spark, awkward, awkward_docs, monkeypatch, ranges):
+    monkeypatch.setattr(module, "MOST_RANGES", ranges)
+    got = {r.doc_id: r for r in fingerprints(awkward_docs).collect()}
     check([(r[0], r[1]) for r in awkward], got)
     by_text = {}
     for r in awkward:

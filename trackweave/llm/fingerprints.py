@@ -20,12 +20,15 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUNDS = 24
+#: Ranges of ids in which neighbours meet.
+LEAST_RANGES, MOST_RANGES = 256, 1 << 16
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -127,44 +130,44 @@ def written_table(cells: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(cells, part), "")))
 
 
-def bucket_of(doc_id: Column, bounds: list) -> Column:
-    """Number of bounds at or below an id, by nested comparisons."""
+def bucket_of(doc_id: Column, bounds: list, kind: str) -> Column:
+    """Number of ascending bounds at or below an id, by binary search in a constant array."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    fixed = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")
+    at = lambda low, step, b: F.when((low + step <= len(bounds)) & (F.get(b, low + step - 1) <= doc_id), low + step).otherwise(low)
+    search = let(fixed, lambda b: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: at(low, step, b)))
+    return F.when(doc_id.isNull() | F.lit(not bounds), 0).otherwise(search if bounds else F.lit(0))
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(doc_id < bounds[mid], search(low, mid)).otherwise(search(mid + 1, high))
 
-    return F.when(doc_id.isNull(), 0).otherwise(search(0, len(bounds)))
-
-
-def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], rows_a_bucket: int) -> DataFrame:
     """docs(doc_id, text, columns...) with next: a struct of ``columns`` of the next row by id.
 
     Rows meet in ranges of the id, so the whole table is shuffled once; each range also gets
-    the next range's first row. ``buckets`` ranges (bounds by approximate percentiles) and
-    as many first ids are all that the driver sees.
+    the next range's first row. There are ``LEAST_RANGES`` to ``MOST_RANGES`` ranges of about
+    ``rows_a_bucket`` rows (bounds by approximate percentiles); these bounds and as many
+    first ids are all that the driver sees.
     """
-    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    placed = docs.withColumn("_bucket", bucket_of(F.col("doc_id"), sorted(set(cuts or []))))
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-docs.select("doc_id").count() // rows_a_bucket)))
+    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0]
+    placed = docs.withColumn("_bucket", bucket_of(F.col("doc_id"), sorted(set(cuts or [])), kind))
     firsts = sorted((r["_bucket"], r["low"]) for r in placed.groupBy("_bucket").agg(F.min("doc_id").alias("low")).collect() if r["low"] is not None)
-    out = placed.withColumn("_ghost", F.lit(0))
-    if firsts:
-        before = F.coalesce(*[F.when(F.col("_bucket") == b, F.lit(firsts[i - 1][0])) for i, (b, _) in enumerate(firsts)])
-        ghosts = placed.where(F.col("doc_id").isin([low for _, low in firsts])).withColumn("_bucket", before).withColumn("_ghost", F.lit(1))
-        out = out.unionByName(ghosts)
+    borders = [(low, before) for (before, _), (_, low) in zip(firsts, firsts[1:])]
+    borders += [(firsts[0][1], firsts[-1][0])] if firsts else []
+    table = F.broadcast(spark.createDataFrame(borders, f"doc_id {kind}, _before int"))  # at most MOST_RANGES rows
+    ghosts = placed.join(table, "doc_id").withColumn("_bucket", F.col("_before")).drop("_before")
+    out = placed.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)))
     ordered = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
     following = F.lead(F.struct(*columns)).over(ordered)
     return out.withColumn("_next", following).where("_ghost = 0").drop("_ghost", "_bucket")
 
 
-def fingerprints(docs: DataFrame, *, cells: int = 24, unit: int = 96, buckets: int = 256) -> DataFrame:
+def fingerprints(docs: DataFrame, *, cells: int = 24, unit: int = 96, rows_a_bucket: int = 20_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     width = F.lit(cells // 3)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("keys", digests(F.col("text"), unit))
     own = F.struct(F.col("text").alias("text"), F.col("keys").alias("keys"))
-    both = with_next(base, ["text", "keys"], buckets).withColumn("_next", F.coalesce("_next", own))
+    both = with_next(base, ["text", "keys"], rows_a_bucket).withColumn("_next", F.coalesce("_next", own))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("_next.text"), F.lit(1), half))
     both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "keys", F.col("_next.keys").alias("next_keys"), edited.alias("edited"))

@@ -35,9 +35,8 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
 m AS (SELECT b.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines,
  len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) AS n_marks FROM b LEFT JOIN rep USING (doc_id)),
-named AS (SELECT lang FROM m WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 32),
 rated AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) > 0),
-s AS (SELECT m.*, CASE WHEN named.lang IS NULL THEN 'rest' ELSE '=' || m.lang END AS stratum, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, rated.doc_id IS NOT NULL AND NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS good FROM m LEFT JOIN named ON named.lang = m.lang LEFT JOIN rated ON rated.doc_id = m.doc_id),
+s AS (SELECT m.*, coalesce('=' || m.lang, 'rest') AS stratum, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, rated.doc_id IS NOT NULL AND NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS good FROM m LEFT JOIN rated ON rated.doc_id = m.doc_id),
 c AS ({_CELLS}),
 g AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (f > cutoff) AS r FROM c WHERE good GROUP BY stratum, rule, cutoff),
 k AS (SELECT count(DISTINCT stratum) * {_GRID} AS tests FROM g),

@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs carry a guarantee, in DataFrame operations only.
 
 Every rule rejects a text when one measured feature exceeds a cutoff. For each stratum (a
-language; the 32 most frequent by rows, all others and nulls together) and each rule the
+language; rows without one together) and each rule the
 cutoff comes from a fixed grid: the strictest one at which the labelled good documents
 prove, by the exact binomial (Clopper-Pearson) test, that at most ``risk / rules`` of good
 documents are rejected. All grid cells of all strata are tested together at level
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import written
+from trackweave.llm.common import BROADCAST_ROWS, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 GOOD = r"[^\x20\x09-\x0D]"
@@ -118,16 +118,15 @@ def proven_cutoffs(good: DataFrame, *, risk: float, alpha: float) -> DataFrame:
     return passed.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, alpha: float = 0.05, strata: int = 32) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, alpha: float = 0.05) -> DataFrame:
     """doc_id, the base columns, base_failed and kept of every document."""
     base = written(measured(docs, ["doc_id", "lang"]))
-    named = [r["lang"] for r in base.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(strata).collect()]
-    base = base.withColumn("stratum", F.when(F.col("lang").isin(named), F.concat(F.lit("="), "lang")).otherwise("rest") if named else F.lit("rest"))
+    base = base.withColumn("stratum", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("rest")))
     base = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rated = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality > 0")
     good = base.where("not base_failed").join(rated, "doc_id", "left_semi")
-    cutoffs = proven_cutoffs(good, risk=risk, alpha=alpha)
-    out = base.join(F.broadcast(cutoffs), "stratum", "left")  # at most strata + 1 rows
+    cutoffs = written(proven_cutoffs(good, risk=risk, alpha=alpha))  # a row for each language with a proven cutoff
+    out = base.join(F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_ROWS else cutoffs, "stratum", "left")
     fine = F.lit(True)
     for rule, (feature, _) in RULES.items():
         fine &= F.coalesce(feature() <= F.col(rule), F.lit(True))
