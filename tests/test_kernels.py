@@ -33,13 +33,13 @@ def test_suppression_keeps_no_overlap_and_is_idempotent():
 @pytest.mark.parametrize(
     "lives, options, want",
     [
-        ([(1, "5", 40, 0, 941, 1), (2, "5", 20, 935, 1152, 1)], {}, {2: 1}),
-        ([(1, "5", 40, 0, 941, 1), (2, "5", 20, 935, 1152, 1)], {"overlap": 0}, {}),
-        ([(1, "5", 40, 0, 1152, 1), (2, "5", 20, 0, 1152, 1)], {}, {}),
-        ([(1, "2", 30, 0, 500, 0), (2, "2", 25, 600, 1152, 1)], {}, {}),
-        ([(1, "2", 30, 0, 500, 0), (2, "2", 25, 600, 1152, None)], {}, {2: 1}),
-        ([(1, "5", 40, 0, 400, None), (2, "5", 30, 800, 1152, None), (3, "5", 20, 200, 600, None)], {}, {2: 1}),
-        ([(1, "5", 40, 0, 500, None), (2, "5", 2, 600, 1152, None)], {"least": 5}, {}),
+        ([(3, "21", 12, 100, 260, 0), (8, "21", 7, 250, 700, 0)], {}, {8: 3}),  # eleven frames together
+        ([(3, "21", 12, 100, 260, 0), (8, "21", 7, 250, 700, 0)], {"overlap": 10}, {}),
+        ([(3, "21", 12, 100, 260, 0), (8, "21", 7, 120, 240, 0)], {}, {}),
+        ([(3, "6", 12, 0, 90, 0), (8, "6", 9, 120, 200, 1)], {}, {}),
+        ([(3, "6", 12, 0, 90, None), (8, "6", 9, 120, 200, 1), (9, "6", 8, 300, 350, 0)], {}, {8: 3, 9: 3}),  # the leader's kit alone counts
+        ([(3, "6", 12, 0, 90, 1), (8, "6", 9, 300, 400, 1), (9, "6", 8, 60, 320, 1)], {}, {8: 3}),  # against all that joined
+        ([(3, "6", 12, 0, 90, 1), (8, "6", 4, 300, 400, 1)], {}, {}),
     ],
 )
 def test_tracklet_merge(lives, options, want):
@@ -47,6 +47,11 @@ def test_tracklet_merge(lives, options, want):
     assert assign.merged_tracklets(pdf, **options) == want
 
 
+def test_most_votes_for_all_numbers_lead():
+    pdf = pd.DataFrame([(3, "6", 9, 9, 0, 90, 1), (8, "6", 8, 14, 200, 300, 1)], columns=["tid", "number", "votes", "total", "start", "end", "kit"])
+    assert assign.merged_tracklets(pdf) == {3: 8}
+
+
 def test_homography_from_points_and_lines():
     h = np.array([[40, 3, 100], [2, 35, 60], [0.002, 0.001, 1]])
     to = lambda p: (lambda q: q[:, :2] / q[:, 2:])(np.c_[p, np.ones(len(p))] @ h.T)
@@ -68,6 +73,8 @@ def test_hull_and_two_means():
     x = np.r_[np.random.default_rng(0).normal(0, 1, (20, 3)), np.random.default_rng(1).normal(9, 1, (20, 3))]
     label = court.two_means(x)
     assert len(set(label[:20])) == len(set(label[20:])) == 1 and label[0] != label[-1]
+    assert court.two_means(x[:1]).tolist() == [0] and court.two_means(x[:0]).tolist() == []
+    assert set(court.two_means(np.ones((4, 2))).tolist()) == {0}
 
 
 def test_cover_and_matches():
@@ -118,4 +125,4 @@ def test_every_row_is_in_a_frame_that_is_judged(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r.clip, r.frame) for r in kernel_queries.homography_dlt(spark, sf).select("clip", "frame").collect()}
     orders = [r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().collect()]
-    assert got == {(k % 10, k // 40) for k in orders}
+    assert got == {(k // 4000, k // 4) for k in orders}

@@ -121,28 +121,47 @@ def match_rates(rows: DataFrame, keys: list[str], is_truth: str, order: str, lea
 
 
 def merged_tracklets(lives: pd.DataFrame, overlap: int = 15, least: int = 5) -> dict[int, int]:
-    """tid -> tid it joins. ``lives``: tid, number, votes, start, end, kit (null: undecided), of one clip.
+    """tid -> tid it joins. ``lives``: tid, number (its top one), votes (for that), total (for all numbers; default votes),
+    start, end, kit (null: undecided), of one clip.
 
-    Tracks with enough votes for one number, strongest first, join the first group whose
-    whole span they overlap by at most ``overlap`` frames and whose decided kits agree.
+    Of tracks with enough votes for one number the one with most votes in all leads; another
+    joins the first leader whose span, with all that joined before, it overlaps by at most
+    ``overlap`` frames, unless both kits are decided and differ.
     """
     out: dict[int, int] = {}
-    strong = lives[lives["votes"] >= least]
-    for _, same in strong.groupby("number", sort=True):
-        made: list[dict] = []
-        for r in same.sort_values(["votes", "tid"], ascending=[False, True]).itertuples():
-            for g in made:
-                clash = not pd.isna(r.kit) and any(k != r.kit for k in g["kits"])
-                if min(r.end, g["end"]) - max(r.start, g["start"]) + 1 <= overlap and not clash:
-                    out[r.tid] = g["tid"]
-                    g["start"], g["end"] = min(g["start"], r.start), max(g["end"], r.end)
-                    g["kits"] |= set() if pd.isna(r.kit) else {r.kit}
-                    break
-            else:
-                made.append({"tid": r.tid, "start": r.start, "end": r.end, "kits": set() if pd.isna(r.kit) else {r.kit}})
+    total = lives["total"] if "total" in lives else lives["votes"]
+    able = lives.assign(_total=total)[lives["votes"] >= least].sort_values(["number", "_total", "tid"], ascending=[True, False, True])
+    spans: dict[int, tuple[float, float]] = {}
+    leaders: dict[object, list[tuple[int, object]]] = {}
+    for tid, number, start, end, kit in able[["tid", "number", "start", "end", "kit"]].itertuples(index=False):
+        mine = leaders.setdefault(number, [])
+        fits = (lead for lead, worn in mine if min(end, spans[lead][1]) - max(start, spans[lead][0]) < overlap and (pd.isna(kit) or pd.isna(worn) or kit == worn))
+        lead = next(fits, None)
+        if lead is None:
+            mine.append((tid, kit))
+            spans[tid] = (start, end)
+        else:
+            out[tid] = lead
+            spans[lead] = (min(start, spans[lead][0]), max(end, spans[lead][1]))
     return out
 
 
+def retired_in_order(pairs: DataFrame, clip: str) -> DataFrame:
+    """clip, tid, kept: of each pair (first_name, second_name, first_votes, second_votes) of a clip, in order, the track with fewer
+    votes (the second on a tie) goes, unless one of them went before. The pairs of one clip meet in a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: dict[int, int] = {}
+        for a, b, va, vb in pdf.sort_values(["first_name", "second_name"])[["first_name", "second_name", "first_votes", "second_votes"]].itertuples(index=False):
+            if a not in gone and b not in gone:
+                loser, kept = (a, b) if va < vb else (b, a)
+                gone[loser] = kept
+        return pd.DataFrame({clip: [pdf[clip].iloc[0]] * len(gone), "tid": list(gone), "kept": list(gone.values())})
+
+    kind = pairs.schema[clip].dataType.simpleString()
+    return pairs.groupBy(clip).applyInPandas(run, f"`{clip}` {kind}, tid bigint, kept bigint")
+
+
 def tracklet_merges(lives: DataFrame, clip: str, overlap: int = 15, least: int = 5) -> DataFrame:
     """clip, tid, canonical: merged tracks of every clip."""
 

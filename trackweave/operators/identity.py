@@ -32,48 +32,80 @@ def collapse_spans(found: DataFrame) -> DataFrame:
     return spans.coalesced(both, ["clip", "tid"]).drop("n_spans")
 
 
-def retired(found: DataFrame, total: DataFrame) -> DataFrame:
-    """clip, tid of the weaker track of each duplicate pair (fewer votes; the first on a tie stays)."""
-    strength = lambda side: total.select("clip", F.col("tid").alias(side), F.col("votes").alias(f"_{side}"))
-    pairs = found.where("kind = 'duplicate'").select("clip", "first_name", "second_name").distinct()
-    judged = pairs.join(strength("first_name"), ["clip", "first_name"], "left").join(strength("second_name"), ["clip", "second_name"], "left").na.fill(0)
-    return judged.select("clip", F.when(F.col("_first_name") < F.col("_second_name"), F.col("first_name")).otherwise(F.col("second_name")).alias("tid")).distinct()
+def cut(step: DataFrame) -> DataFrame:
+    """A step of the chain kept in the checkpoint folder, as several later ones read it; without a folder it is kept by the executors."""
+    return step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
 
 
-def resolved(tracks: DataFrame, reads: DataFrame, kit_crops: DataFrame, roster: DataFrame, *, fps: float = 59.94, least: int = 3) -> dict[str, DataFrame]:
-    """identities, overlaps and collapse of every clip.
+def canonical(rows: DataFrame, alias: DataFrame, tid: str = "tid") -> DataFrame:
+    """``rows`` under the track that theirs was merged into."""
+    to = alias.select("clip", F.col("tid").alias(tid), F.col("canonical").alias("_canonical"))
+    return rows.join(to, ["clip", tid], "left").withColumn(tid, F.coalesce("_canonical", tid)).drop("_canonical")
+
+
+def merged_pairs(found: DataFrame, alias: DataFrame, total: DataFrame) -> DataFrame:
+    """clip, first_name, second_name, first_votes, second_votes of the duplicate pairs after the merge, the smaller id first."""
+    pairs = canonical(canonical(found.where("kind = 'duplicate'").select("clip", "first_name", "second_name"), alias, "first_name"), alias, "second_name")
+    pairs = pairs.select("clip", F.least("first_name", "second_name").alias("first_name"), F.greatest("first_name", "second_name").alias("second_name")).where("first_name <> second_name").distinct()
+    strength = lambda side: total.select("clip", F.col("tid").alias(f"{side}_name"), F.col("votes").alias(f"{side}_votes"))
+    return pairs.join(strength("first"), ["clip", "first_name"], "left").join(strength("second"), ["clip", "second_name"], "left").na.fill(0, ["first_votes", "second_votes"])
+
+
+def resolved(tracks: DataFrame, reads: DataFrame, kit_crops: DataFrame, roster: DataFrame, *, fps: float = 59.94, least: int = 3, merge_least: int = 5, merge_overlap: int = 15, most_collapsed: float = 0.5) -> dict[str, DataFrame]:
+    """identities, overlaps, collapse, retired, unvouched and mixed of every clip.
 
     ``reads``: clip, frame, tid, value; ``kit_crops``: clip, frame, tid, cluster;
     ``roster``: club, number, name, of two clubs.
     """
-    found = overlaps(tracks, fps)
+    key = ["clip", "tid"]
+    found = cut(overlaps(tracks, fps))
     collapse = collapse_spans(found)
-    clean = spans.outside(reads.where(F.trim("value").rlike("^[0-9]+$")), collapse, ["clip", "tid"], "frame")
-    number = votes.tally(clean, ["clip", "tid"], "value")
-    kit = votes.leaders(votes.tally(kit_crops, ["clip", "tid"], "cluster"), ["clip", "tid"], "cluster")
-    top = votes.leaders(number, ["clip", "tid"], "value")
-    life = spans.lifetimes(tracks, ["clip", "tid"], "frame").select("clip", "tid", F.col("first_at").alias("start"), F.col("last_at").alias("end"))
-    strong = top.join(life, ["clip", "tid"]).join(kit.select("clip", "tid", F.when(F.col("decisive"), F.col("top_value")).cast("double").alias("kit")), ["clip", "tid"], "left")
-    strong = strong.select("clip", F.col("tid").cast("long").alias("tid"), F.col("top_value").alias("number"), F.col("top_votes").alias("votes"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kit")
-    alias = assign.tracklet_merges(strong, "clip")
-
-    merged = number.join(alias, ["clip", "tid"], "left").withColumn("tid", F.coalesce("canonical", "tid"))
-    merged = merged.groupBy("clip", "tid", "value").agg(F.sum("votes").alias("votes"))
-    total = merged.groupBy("clip", "tid").agg(F.sum("votes").alias("votes"))
-    gone = retired(found, total)
-    share = spans.covered_share(collapse, spans.lifetimes(tracks, ["clip", "tid"], "frame"), ["clip", "tid"])
-    gone = gone.unionByName(share.where("share > 0.5").select("clip", "tid"))
-    mixed = votes.mixed(votes.tally(kit_crops, ["clip", "tid"], "cluster"), ["clip", "tid"], "cluster").select("clip", "tid")
-    live = merged.join(gone.distinct(), ["clip", "tid"], "left_anti").join(mixed, ["clip", "tid"], "left_anti")
-
-    sides = kit.select("clip", "tid", F.col("top_value").alias("cluster"))
-    confirmed = votes.leaders(live, ["clip", "tid"], "value").where("confirmed").join(sides, ["clip", "tid"])
-    clubs = votes.club_of_cluster(confirmed.select("cluster", F.col("top_value").alias("number")), roster)
-    weighed = live.withColumnRenamed("value", "number").join(sides, ["clip", "tid"]).join(F.broadcast(clubs), "cluster")  # two rows
-    named = weighed.join(roster, ["club", "number"])
-    pairs = assign.assigned(named.select("clip", "club", "tid", "number", F.col("votes").cast("double").alias("votes")), ["clip", "club"], "tid", "number", "votes", least)
-    own = pairs.join(roster, ["club", "number"], "left").withColumn("ignored", F.when(~F.col("confirmed"), "tentative"))
-    own = own.select("clip", F.col("tid").cast("long").alias("tid"), "number", "club", "name", "ignored", F.lit(None).cast("long").alias("merged_into"), "votes")
+    clean = spans.outside(reads.where(F.trim("value").rlike("^[0-9]+$")), collapse, key, "frame")
+    number = cut(votes.tally(clean, key, "value"))
+    kit = cut(votes.tally(kit_crops, key, "cluster"))
+    life = cut(spans.lifetimes(tracks, key, "frame").select(*key, "first_at", "last_at"))
+
+    # Merge: votes, lives, collapse spans and duplicate pairs follow their track.
+    top = votes.leaders(number, key, "value")
+    colour = votes.leaders(kit, key, "cluster").select(*key, F.when(F.col("decisive"), F.col("top_value")).cast("double").alias("kit"))
+    strong = top.join(life, key).join(colour, key, "left")
+    columns = {"tid": "tid", "votes": "top_votes", "total": "total_votes", "start": "first_at", "end": "last_at"}
+    strong = strong.select("clip", F.col("top_value").alias("number"), *[F.col(c).cast("long").alias(n) for n, c in columns.items()], "kit")
+    alias = cut(assign.tracklet_merges(strong, "clip", merge_overlap, merge_least))
+    number = cut(canonical(number, alias).groupBy(*key, "value").agg(F.sum("votes").alias("votes")))
+    kit = cut(canonical(kit, alias).groupBy(*key, "cluster").agg(F.sum("votes").alias("votes")))
+    life = canonical(life, alias).groupBy(*key).agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    held = canonical(collapse, alias)
+    total = number.groupBy(*key).agg(F.sum("votes").alias("votes"))
+
+    # Gates: the weaker of duplicate tracks, tracks that are mostly collapsed, tracks in two kits.
+    retired = cut(assign.retired_in_order(merged_pairs(found, alias, total), "clip"))
+    unvouched = cut(spans.covered_share(held, life, key).where(F.col("share") > most_collapsed).select(*key, "share").join(retired, key, "left_anti"))
+    gone = retired.select(*key).unionByName(unvouched.select(*key))
+    standing = number.join(gone, key, "left_anti")
+    colours = votes.leaders(kit, key, "cluster")
+    mixed = cut(votes.mixed(kit, key, "cluster").join(gone, key, "left_anti").select(*key))
+    live = cut(standing.join(mixed, key, "left_anti"))
+
+    # Clubs: by kit cluster, and by number where the kit is open and one club alone has it.
+    sides = colours.select(*key, F.col("top_value").alias("cluster"), F.col("decisive").alias("colour_decisive"))
+    confirmed = votes.leaders(standing, key, "value").where("confirmed").join(sides, key)
+    clubs = cut(votes.club_of_cluster(confirmed.select("cluster", F.col("top_value").alias("number")), roster))
+    tracks_of = live.select(*key).distinct().join(sides, key, "left").join(F.broadcast(clubs), "cluster", "left")  # two rows
+    numbers = votes.leaders(live, key, "value").select(*key, F.col("top_value").alias("number"), F.col("decisive").alias("number_decisive"))
+    placed = votes.club_by_number(tracks_of.select(*key, "club", "colour_decisive"), numbers, roster.join(F.broadcast(clubs.select("club").distinct()), "club", "left_semi"), key)
+
+    named = live.withColumnRenamed("value", "number").join(placed, key).join(roster, ["club", "number"])
+    pairs = cut(assign.assigned(named.select("clip", "club", "tid", "number", F.col("votes").cast("double").alias("votes")), ["clip", "club"], "tid", "number", "votes", least))
+    own = pairs.join(roster, ["club", "number"], "left").withColumn("tid", F.col("tid").cast("long"))
+
+    # Gates on names: the strongest of those who share one, and nobody who reads as two players.
+    own = votes.strongest_per_name(own.join(total.select(*key, F.col("votes").alias("_total")), key, "left"), ["clip", "club", "number"], "_total", "tid")
+    split = votes.split_identities(live.withColumnRenamed("value", "number"), key, "number", roster).select(*key, F.lit(True).alias("_split"))
+    own = own.join(split, key, "left")
+    nameless = F.col("demoted") | F.coalesce("_split", F.lit(False))
+    ignored = F.when(~F.col("demoted") & F.col("_split"), "split-identity").when(~F.col("confirmed"), "tentative")
+    own = own.select("clip", "tid", "number", "club", F.when(~nameless, F.col("name")).alias("name"), ignored.alias("ignored"), F.lit(None).cast("long").alias("merged_into"), "duplicate_of", "votes")
     copies = alias.join(own.withColumnRenamed("tid", "canonical"), ["clip", "canonical"])
-    copies = copies.select("clip", "tid", "number", "club", "name", "ignored", F.col("canonical").alias("merged_into"), "votes")
-    return {"identities": own.unionByName(copies), "overlaps": found, "collapse": collapse}
+    copies = copies.select("clip", "tid", "number", "club", "name", "ignored", F.col("canonical").alias("merged_into"), "duplicate_of", "votes")
+    return {"identities": own.unionByName(copies), "overlaps": found, "collapse": held, "retired": retired, "unvouched": unvouched, "mixed": mixed}

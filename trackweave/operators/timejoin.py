@@ -44,14 +44,15 @@ def key_frames(rows: DataFrame, solves: DataFrame, keys: list[str], at: str, eve
     return keyed.join(solves.withColumnRenamed(at, "_key"), [*keys, "_key"], "left").drop("_key")
 
 
-def windowed(events: DataFrame, start: str, end: str, *, width: int, stride: int | None = None) -> DataFrame:
-    """Events joined to each sliding window that they overlap, with the seconds inside it.
+def windowed(events: DataFrame, start: str, end: str, *, width: int, stride: int | None = None, until: Column | None = None) -> DataFrame:
+    """Events joined to each sliding window that they overlap, with the seconds inside it; windows end by ``until``, if given.
 
     An event finds its windows by arithmetic, so there is no range join.
     """
     stride = stride or max(1, width // 2)
     first = F.greatest(F.lit(0), F.floor((F.col(start) - width) / stride) + 1)
     last = F.ceil(F.col(end) / stride) - 1
+    last = last if until is None else F.least(last, F.floor((until - width) / stride))
     placed = events.where(last >= first).withColumn("window_start", F.explode(F.transform(F.sequence(first.cast("bigint"), last.cast("bigint")), lambda k: k * stride)))
     inside = F.least(F.col(end), F.col("window_start") + width) - F.greatest(F.col(start), F.col("window_start"))
     return placed.withColumn("inside", inside).where("inside > 0")

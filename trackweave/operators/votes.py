@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions import names
+
 
 def tally(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Votes of each key and value."""
@@ -61,12 +63,42 @@ def club_of_cluster(confirmed: DataFrame, roster: DataFrame, margin: int = 2) ->
     return way.select(F.inline(pairs))
 
 
-def club_by_number(tracks: DataFrame, numbers: DataFrame, roster: DataFrame) -> DataFrame:
+def club_by_number(tracks: DataFrame, numbers: DataFrame, roster: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``club`` of tracks whose colour vote is open but whose decisive number one club alone has.
 
-    ``tracks``: tid, club, colour_decisive; ``numbers``: tid, number, number_decisive.
+    ``tracks``: keys (tid), club, colour_decisive; ``numbers``: keys, number, number_decisive.
     """
+    keys = keys or ["tid"]
     owner = roster.groupBy("number").agg(F.count_distinct("club").alias("n"), F.min("club").alias("owner")).where("n = 1").drop("n")
-    joined = tracks.join(numbers, "tid", "left").join(owner, "number", "left")
-    move = ~F.col("colour_decisive") & F.coalesce("number_decisive", F.lit(False)) & F.col("owner").isNotNull()
-    return joined.select("tid", F.when(move, F.col("owner")).otherwise(F.col("club")).alias("club"), move.alias("moved"))
+    joined = tracks.join(numbers, keys, "left").join(owner, "number", "left")
+    move = ~F.coalesce("colour_decisive", F.lit(False)) & F.coalesce("number_decisive", F.lit(False)) & F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("club"))
+    return joined.select(*keys, F.when(move, F.col("owner")).otherwise(F.col("club")).alias("club"), move.alias("moved"))
+
+
+def side_convention(players: DataFrame) -> DataFrame:
+    """club and side (home, away) that keep most players' sides; only where there are exactly two clubs. A tie keeps the clubs' order.
+
+    ``players``: club, side; rows without a club don't vote.
+    """
+    clubs = players.where("club is not null").groupBy("club", "side").count()
+    ends = clubs.agg(F.min("club").alias("a"), F.max("club").alias("b"), F.count_distinct("club").alias("n")).where("n = 2")
+    way = clubs.join(F.broadcast(ends))  # one row
+    fits = (F.col("club") == F.col("a")) == (F.col("side") == "home")
+    votes = way.groupBy("a", "b").agg((F.coalesce(F.sum(F.when(fits, F.col("count")).otherwise(-F.col("count"))), F.lit(0)) >= 0).alias("straight"))
+    pair = lambda c, home: F.struct(F.col(c).alias("club"), F.when(home, "home").otherwise("away").alias("side"))
+    return votes.select(F.inline(F.array(pair("a", F.col("straight")), pair("b", ~F.col("straight")))))
+
+
+def split_identities(counts: DataFrame, keys: list[str], number: str, roster: DataFrame) -> DataFrame:
+    """Keys whose two leading numbers are about as frequent though no roster has both and neither is a clipped reading of the other.
+
+    Gives keys, first_number, second_number. ``counts``: keys, number, votes.
+    """
+    lead = leaders(counts, keys, number).where("not decisive").select(*keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), number))
+    at = lambda r: F.max(F.when(F.col("_rank") == r, F.col(number)))
+    two = counts.withColumn("_rank", rank).where("_rank <= 2").groupBy(*keys).agg(at(1).alias("first_number"), at(2).alias("second_number")).where("second_number is not null").join(lead, keys, "left_semi")
+    has = roster.select("club", F.col("number")).distinct()
+    both = has.toDF("club", "first_number").join(has.toDF("club", "second_number"), "club").select("first_number", "second_number").where("first_number <> second_number").distinct()
+    clipped = names.clipped_reading(F.col("first_number"), F.col("second_number"))
+    return two.join(both, ["first_number", "second_number"], "left_anti").where(~clipped).select(*keys, "first_number", "second_number")

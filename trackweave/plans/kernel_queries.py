@@ -34,14 +34,14 @@ def detection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tracklet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    lives = e.groupBy((F.col("user_id") % 8).alias("clip"), F.col("user_id").alias("tid"), F.floor(F.col("event_id") / 4000).alias("part")).agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("votes"), F.min("event_type").alias("number"))
+    lives = e.groupBy(F.floor(F.col("user_id") / 8).alias("clip"), F.col("user_id").alias("tid"), F.floor(F.col("event_id") / 4000).alias("part")).agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("votes"), F.min("event_type").alias("number"))
     lives = lives.select("clip", (F.col("tid") * 100 + F.col("part")).alias("tid"), "number", "votes", "start", "end", F.when(F.col("tid") % 3 > 0, F.col("tid") % 3).cast("double").alias("kit"))
     return assign.tracklet_merges(lives, "clip", 1, 3)
 
 
 @query()
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("clip"), F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 200).alias("member")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("clip"), F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 200).alias("member")).distinct()
     return assign.covers(edges, "clip", 12)
 
 
@@ -54,7 +54,7 @@ def fusion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def court_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    points = e.select((F.col("user_id") % 16).alias("clip"), "day", "event_id", (F.col("value") % 28).alias("x"), (F.col("event_id") * 7 % 150 / 10).cast("double").alias("y"))
+    points = e.select(F.floor(F.col("user_id") / 10).alias("clip"), "day", "event_id", (F.col("value") % 28).alias("x"), (F.col("event_id") * 7 % 150 / 10).cast("double").alias("y"))
     return stateful.tracked(points.select("clip", F.col("day").alias("frame"), F.col("event_id").alias("point"), "x", "y"))
 
 
@@ -63,19 +63,19 @@ def homography_dlt(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     X, Y = (F.col("l_partkey") % 29).cast("double"), (F.col("l_suppkey") * 7 % 16).cast("double")
     w = 0.002 * X + 0.001 * Y + 1
-    seen = li.select((F.col("l_orderkey") % 10).alias("clip"), F.floor(F.col("l_orderkey") / 40).alias("frame"), X.alias("court_x"), Y.alias("court_y"), ((40 * X + 3 * Y + 100) / w).alias("x"), ((2 * X + 35 * Y + 60) / w).alias("y"))
+    seen = li.select(F.floor(F.col("l_orderkey") / 4000).alias("clip"), F.floor(F.col("l_orderkey") / 4).alias("frame"), X.alias("court_x"), Y.alias("court_y"), ((40 * X + 3 * Y + 100) / w).alias("x"), ((2 * X + 35 * Y + 60) / w).alias("y"))
     return court.calibrated(seen).select("clip", "frame", "solved", "reason", F.round("rms_px", 3).alias("rms_px"))
 
 
 @query()
 def kit_two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of each label in two clusters."""
+    """Vectors of each label in two clusters, clip by clip of 256 ids, so a group does not grow with the table."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         return pdf.assign(cluster=court.two_means(np.stack(pdf["embedding"].to_list()).astype(float)))[["vec_id", "label", "cluster"]]
 
-    return table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(run, "vec_id bigint, label int, cluster int")
+    return table(spark, sf_dir, "embeddings").groupBy("label", F.floor(F.col("vec_id") / 256)).applyInPandas(run, "vec_id bigint, label int, cluster int")
 
 
 @query()
@@ -86,7 +86,7 @@ def smoothed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chained_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type = 'click'").select((F.col("user_id") % 16).alias("clip"), F.col("day").alias("frame"), F.col("value").alias("cx"), F.lit(0.0).alias("cy"))
+    rows = events(spark, sf_dir).where("event_type = 'click'").select(F.floor(F.col("user_id") / 10).alias("clip"), F.col("day").alias("frame"), F.col("value").alias("cx"), F.lit(0.0).alias("cy"))
     return stateful.contacts(rows, "clip", 5.0, 1, 2)
 
 
@@ -96,12 +96,11 @@ def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings),
-w(p, q) AS (VALUES (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)), x AS (SELECT p, q, CASE p WHEN 0 THEN a WHEN 1 THEN b ELSE c END - CASE q WHEN 1 THEN b WHEN 2 THEN c ELSE d END AS s FROM v, w),
+@query("""WITH x AS (SELECT p, q, embedding[p + 1]::DOUBLE - embedding[q + 1]::DOUBLE AS s FROM embeddings, (SELECT unnest(range(12)) AS p) a, (SELECT unnest(range(12)) AS q) b WHERE p < q),
 g AS (SELECT p, q, count(*) FILTER (s > 0) AS n1, count(*) FILTER (s <= 0) AS n0, avg(s) FILTER (s > 0) AS m1, avg(s) FILTER (s <= 0) AS m0, stddev_pop(s) FILTER (s > 0) AS d1, stddev_pop(s) FILTER (s <= 0) AS d0 FROM x GROUP BY p, q)
-SELECT p, q, round(abs(m1 - m0) / ((d1 + d0) / 2) * least(n1, n0)::DOUBLE / (n1 + n0) / 0.5, 5) AS contrast FROM g WHERE n1 >= 2 AND n0 >= 2""")
+SELECT CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q, round(abs(m1 - m0) / ((d1 + d0) / 2) * least(n1, n0)::DOUBLE / (n1 + n0) / 0.5, 5) AS contrast FROM g WHERE n1 >= 2 AND n0 >= 2""")
 def contrast_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [(p, q) for p in range(4) for q in range(p + 1, 4)]
+    pairs = [(p, q) for p in range(12) for q in range(p + 1, 12)]
     cells = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), (F.col("embedding")[p].cast("double") - F.col("embedding")[q].cast("double")).alias("s")) for p, q in pairs]))
     x = table(spark, sf_dir, "embeddings").select(cells.alias("c")).select("c.*")
     up, down = F.when(F.col("s") > 0, F.col("s")), F.when(F.col("s") <= 0, F.col("s"))

@@ -118,14 +118,17 @@ def stats_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id").distinct().join(stats, "user_id", "left").na.fill(0)
 
 
-@query(f"""WITH {EVENTS_SQL}, o AS (SELECT min(s) AS t0 FROM e), x AS (SELECT event_type, s - t0 AS a, s - t0 + 5400 AS b FROM e, o WHERE event_type IN ('purchase', 'click')), w AS (SELECT unnest(range(0, 30 * 86400, {6 * HOUR})) AS ws)
+@query(f"""WITH {EVENTS_SQL}, o AS (SELECT min(s) AS t0 FROM e), x AS (SELECT event_type, s - t0 AS a, s - t0 + 5400 AS b FROM e, o WHERE event_type IN ('purchase', 'click')), w AS (SELECT unnest(range(0, (SELECT max(b) FROM x) - {12 * HOUR} + 1, {6 * HOUR})) AS ws)
 SELECT event_type, ws AS window_start, sum(least(b, ws + {12 * HOUR}) - greatest(a, ws)) AS seconds, count(*) AS contacts FROM x JOIN w ON b > ws AND a < ws + {12 * HOUR} GROUP BY event_type, ws""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    t0 = e.agg(F.min("s").alias("t0"))
-    x = e.where(F.col("event_type").isin("purchase", "click")).crossJoin(F.broadcast(t0))  # one row
-    placed = timejoin.windowed(x.select("event_type", (F.col("s") - F.col("t0")).alias("a"), (F.col("s") - F.col("t0") + 5400).alias("b")), "a", "b", width=12 * HOUR)
-    return placed.where(F.col("window_start") < 30 * 86400).groupBy("event_type", "window_start").agg(F.sum("inside").alias("seconds"), F.count("*").alias("contacts"))
+    kinds = F.col("event_type").isin("purchase", "click")
+    ends = e.agg(F.min("s").alias("t0"), F.max(F.when(kinds, F.col("s"))).alias("last"))
+    x = e.where(kinds).crossJoin(F.broadcast(ends))  # one row
+    since = F.col("s") - F.col("t0")
+    x = x.select("event_type", since.alias("a"), (since + 5400).alias("b"), (F.col("last") - F.col("t0") + 5400).alias("until"))
+    placed = timejoin.windowed(x, "a", "b", width=12 * HOUR, until=F.col("until"))
+    return placed.groupBy("event_type", "window_start").agg(F.sum("inside").alias("seconds"), F.count("*").alias("contacts"))
 
 
 @query(f"WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM e WHERE us <= epoch_us(TIMESTAMP '2024-01-20')) SELECT user_id, event_id, k FROM r WHERE k <= 24")

@@ -147,12 +147,42 @@ def stat_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", "l_linestatus", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p90"))], F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS tid, l_returnflag AS number, count(*) AS votes FROM lineitem GROUP BY ALL), n AS (SELECT tid, count(*) AS numbers, max(votes) AS top, sum(votes) AS total, string_agg(number, ',' ORDER BY number) AS held FROM c GROUP BY tid)
-SELECT tid, numbers, held, numbers >= 2 AND top * 2 < total AS split_identity FROM n""")
+_NUMBERS = "c AS (SELECT l_suppkey AS tid, CASE l_partkey % 5 WHEN 4 THEN '21' ELSE (l_partkey % 5)::VARCHAR END AS number, count(*) AS votes FROM lineitem GROUP BY ALL)"
+_TWO = f"""{_NUMBERS}, k AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY votes DESC, number) AS k, sum(votes) OVER (PARTITION BY tid) AS total FROM c),
+two AS (SELECT tid, max(number) FILTER (k = 1) AS a, max(number) FILTER (k = 2) AS b, max(votes) FILTER (k = 1) - coalesce(max(votes) FILTER (k = 2), 0) >= greatest(2, 0.2 * max(total)) AS decisive FROM k GROUP BY tid),
+r AS (SELECT DISTINCT s_suppkey % 2 AS club, (s_suppkey % 4)::VARCHAR AS number FROM supplier)"""
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Votes for numbers by track, and a roster."""
+    number = F.when(F.col("l_partkey") % 5 == 4, "21").otherwise((F.col("l_partkey") % 5).cast("string"))
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tid"), number.alias("number"))
+    roster = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 2).alias("club"), (F.col("s_suppkey") % 4).cast("string").alias("number")).distinct()
+    return votes.tally(reads, ["tid"], "number"), roster
+
+
+@query(f"""WITH {_TWO} SELECT tid, a AS first_number, b AS second_number FROM two WHERE b IS NOT NULL AND NOT decisive AND NOT EXISTS (SELECT 1 FROM r x JOIN r y ON x.club = y.club WHERE x.number = a AND y.number = b)
+AND NOT CASE WHEN length(a) <= length(b) THEN starts_with(b, a) OR ends_with(b, a) ELSE starts_with(a, b) OR ends_with(a, b) END""")
 def split_identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = votes.tally(line_boxes(spark, sf_dir).select(F.col("l_suppkey").alias("tid"), F.col("l_returnflag").alias("number")), ["tid"], "number")
-    n = c.groupBy("tid").agg(F.count("*").alias("numbers"), F.max("votes").alias("top"), F.sum("votes").alias("total"), F.array_join(F.array_sort(F.collect_set("number")), ",").alias("held"))
-    return n.select("tid", "numbers", "held", ((F.col("numbers") >= 2) & (F.col("top") * 2 < F.col("total"))).alias("split_identity"))
+    counts, roster = _numbers(spark, sf_dir)
+    return votes.split_identities(counts, ["tid"], "number", roster)
+
+
+@query(f"""WITH {_TWO}, o AS (SELECT number, min(club) AS owner FROM r GROUP BY number HAVING count(DISTINCT club) = 1), t AS (SELECT tid, tid % 3 AS club, tid % 4 = 0 AS open FROM two)
+SELECT tid, CASE WHEN open AND decisive AND owner IS NOT NULL AND owner <> club THEN owner ELSE club END AS club, coalesce(open AND decisive AND owner IS NOT NULL AND owner <> club, false) AS moved FROM t JOIN two USING (tid) LEFT JOIN o ON o.number = a""")
+def club_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, roster = _numbers(spark, sf_dir)
+    lead = votes.leaders(counts, ["tid"], "number").select("tid", F.col("top_value").alias("number"), F.col("decisive").alias("number_decisive"))
+    tracks = lead.select("tid", (F.col("tid") % 3).alias("club"), (F.col("tid") % 4 != 0).alias("colour_decisive"))
+    return votes.club_by_number(tracks, lead, roster)
+
+
+@query("""WITH p AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'east' ELSE 'west' END AS club, CASE WHEN (c_custkey + c_nationkey) % 3 = 0 THEN 'home' ELSE 'away' END AS side FROM customer), v AS (SELECT sum(CASE WHEN (club = 'east') = (side = 'home') THEN 1 ELSE -1 END) >= 0 AS straight FROM p)
+SELECT 'east' AS club, CASE WHEN straight THEN 'home' ELSE 'away' END AS side FROM v UNION ALL SELECT 'west', CASE WHEN straight THEN 'away' ELSE 'home' END FROM v""")
+def side_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    club = F.when(F.col("c_nationkey") % 2 == 0, "east").otherwise("west")
+    side = F.when((F.col("c_custkey") + F.col("c_nationkey")) % 3 == 0, "home").otherwise("away")
+    return votes.side_convention(table(spark, sf_dir, "customer").select(club.alias("club"), side.alias("side")))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, event_id FROM events) SELECT event_type, event_id, value, k FROM r WHERE k <= 12""")
