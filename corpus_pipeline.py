@@ -32,8 +32,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is less likely than ``LEAST_SCORE``, go."""
-    judged = language_id.identify(docs, language_id.learned(docs), keep=COLUMNS[1:])
+    """Documents without a letter, or whose language is less likely than ``LEAST_SCORE``, go; without any labelled language only the former."""
+    model = language_id.learned(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    judged = language_id.identify(docs, model, keep=COLUMNS[1:])
     return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
