@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -31,11 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediates, ``spark.checkpoint.dir``."""
+    """The shared folder for intermediates: ``spark.checkpoint.dir``, or one of this machine where it is unset and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found
+    return f"file://{tempfile.gettempdir()}/trackweave-scratch"
 
 
 def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
