@@ -48,9 +48,9 @@ def entry(key: Column, sign: Column, third: int, width: Column) -> Column:
     return F.struct(cell.cast("long").alias("c"), sign.cast("long").alias("n"), key.alias("k"), F.xxhash64(key, F.lit(99)).alias("h"))
 
 
-def entries(signed: Column, width: Column) -> Column:
+def entries(pairs: Column, width: Column) -> Column:
     """Entries of all thirds, for an array of (key, sign)."""
-    return F.flatten(F.transform(signed, lambda x: F.array(*[entry(x["k"], x["n"], third, width) for third in range(3)])))
+    return F.flatten(F.transform(pairs, lambda x: F.array(*[entry(x["k"], x["n"], third, width) for third in range(3)])))
 
 
 def summed(cells: Column) -> Column:
@@ -68,9 +68,14 @@ def summed(cells: Column) -> Column:
     return F.filter(let(F.sort_array(cells), runs), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
-def table(keys: Column, width: Column) -> Column:
-    """The lookup table of a digest set."""
-    return summed(entries(F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(1).cast("long").alias("n"))), width))
+def signed(keys: str, sign: int) -> Column:
+    """(key, sign) of every digest of a column."""
+    return F.transform(F.col(keys), lambda k: F.struct(k.alias("k"), F.lit(sign).cast("long").alias("n")))
+
+
+def table(keys: str, width: Column) -> Column:
+    """The lookup table of a column's digest set."""
+    return summed(entries(signed(keys, 1), width))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -109,14 +114,13 @@ def compared(pairs: DataFrame, other: str, out: str, width: Column) -> DataFrame
     for factor in (1, 4):
         larger = F.ceil((F.size("keys") + F.size(f"{other}_keys")) * F.lit(0.6 * factor)).cast("int") + 8 * factor
         pairs = pairs.withColumn("_width", F.when(F.col(missing).isNull(), larger))
-        for keys, name in (("keys", "_a"), (f"{other}_keys", "_b")):
-            pairs = pairs.withColumn(name, F.when(F.col("_width").isNotNull(), table(F.col(keys), F.col("_width"))))
-        pairs = pairs.withColumn("_cells", F.when(F.col("_width").isNotNull(), minus(F.col("_a"), F.col("_b"))))
+        difference = summed(entries(F.concat(signed("keys", 1), signed(f"{other}_keys", -1)), F.col("_width")))  # cells are sums, so one pass subtracts
+        pairs = pairs.withColumn("_cells", F.when(F.col("_width").isNotNull(), difference))
         pairs = pairs.withColumn("_state", F.when(F.col("_width").isNotNull(), peeled(F.col("_cells"), F.col("_width"))))
         pairs = pairs.withColumn(missing, F.coalesce(missing, one_sided(F.col("_state"))))
     exact = F.size(F.array_except("keys", f"{other}_keys"))
     share = shared_share(F.size("keys"), F.size(f"{other}_keys"), F.coalesce(missing, exact))
-    return pairs.withColumn(out, share).drop("_cells", "_state", "_width", "_a", "_b", missing, f"{other}_keys")
+    return pairs.withColumn(out, share).drop("_cells", "_state", "_width", missing, f"{other}_keys")
 
 
 def one_sided(state: Column) -> Column:
@@ -172,7 +176,7 @@ def fingerprints(docs: DataFrame, *, cells: int = 24, unit: int = 96, rows_a_buc
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("_next.text"), F.lit(1), half))
     both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "keys", F.col("_next.keys").alias("next_keys"), edited.alias("edited"))
     both = both.withColumn("edited_keys", digests(F.col("edited"), unit)).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    tables = both.select("*", *[table(F.col(k), width).alias(k.replace("keys", "table")) for k in ("keys", "edited_keys", "next_keys")])
+    tables = both.select("*", *[table(k, width).alias(k.replace("keys", "table")) for k in ("keys", "edited_keys", "next_keys")])
     out = tables.select("doc_id", "n_chars", "edited_sha256", written_table(F.col("table")).alias("fingerprint"), written_table(F.col("edited_table")).alias("edited_fingerprint"), "keys", "table", "edited_keys", "edited_table", "next_keys", "next_table")
     out = compared(compared(out, "edited", "near_edited", width), "next", "near_next", width)
     return out.drop("keys", "table", "edited_table", "next_table")
