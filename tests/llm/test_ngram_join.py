@@ -97,3 +97,35 @@ def test_contraction_finds_components(spark):
             p, q = sorted((find(a), find(b)))
             root[q] = p
     assert got == {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("block", [4, 40, 1000])
+def test_large_families_lose_no_link(spark, block):
+    """Near copies of one text, chains of neighbours, and unlike texts that share an opening, in families far over a block."""
+    rng = random.Random(block)
+    word = lambda: f"w{rng.randrange(5000)}"
+    opening, base = [word() for _ in range(12)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(w)
+    link = opening + [word() for _ in range(48)]
+    for _ in range(60):
+        link = link[1:] + [word()]
+        texts.append(list(link))
+    texts += [opening + [word() for _ in range(rng.randrange(2, 20))] for _ in range(120)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, block=block).collect()}
+    want = brute_components(rows, 4, 85, 100)
+    assert got == want
+    assert 1 < len({c for _, c in want.values()}) < len(want) - 100
+
+
+def test_known_components_are_not_searched_again():
+    s = np.arange(50, dtype=np.uint64)
+    links = t_occurrence_links([s, s, s, s + np.uint64(1)], np.zeros(4, dtype=int), 85, 100, [5, 5, None, None])
+    assert len(links) == 2 and (0, 1) not in links

@@ -75,6 +75,22 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key with fewer rows is never hot; at most ``MOST_HOT`` keys are.
+HOT_ROWS, MOST_HOT = 256, 100_000
+
+
+def joined_hot(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``many`` to ``one``, which has each key of ``many`` once with ``n``, its number of rows there.
+
+    Keys with a large part of all rows are broadcast, and no more than ``MOST_HOT`` can be
+    that large; so no task gets all rows of a hot key. Both frames are read twice.
+    """
+    least = max(HOT_ROWS, many.count() // MOST_HOT + 1)
+    hot = one.where(F.col("n") >= least)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") < least), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 _KEPT: dict[str, object] = {}
 
 

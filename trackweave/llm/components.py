@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import dropped, written
+from trackweave.llm.common import dropped, joined_hot, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     roots = maps[-1].toDF("node", "root")
     for hooks in reversed(maps[:-1]):
         roots = hooks.join(roots.withColumnRenamed("node", "hook"), "hook", "left").select("node", F.coalesce("root", "hook").alias("root"))
-    smallest = roots.groupBy("root").agg(F.min("node").alias("low"))
-    out = written(roots.join(smallest, "root").select("node", F.col("low").alias("root")))
-    dropped(*maps)
+    roots = written(roots)
+    smallest = written(roots.groupBy("root").agg(F.min("node").alias("low"), F.count("*").alias("n")))
+    out = written(joined_hot(roots, smallest, "root").select("node", F.col("low").alias("root")))
+    dropped(roots, smallest, *maps)
     return out

@@ -10,12 +10,17 @@ equal are one class; what follows works on one document a class.
    shingles, directly or by others, are one family (connected components; each shingle's
    list gives edges to its smallest document only, so a list of m documents gives m edges,
    not m * m).
-3. Each family is searched where its documents meet, in pairs of blocks when it is large:
-   inverted lists over the block's shingles, and for each query the DivideSkip split of
-   its lists: the short ones are merged on a heap, and what survives is looked up in the
-   long ones by binary search until it reaches the needed overlap or cannot. A candidate
-   that is already in the query's component is not looked at again.
-4. The links found make the classes' components.
+3. A family is searched where its documents meet: inverted lists over the shingles there,
+   and for each query the DivideSkip split of its lists: the short ones are merged on a
+   heap, and what survives is looked up in the long ones by binary search until it reaches
+   the needed overlap or cannot. A candidate that is already in the query's component is
+   not looked at again.
+4. The documents of a family of more than ``block`` meet the smallest document of each
+   of their prefix shingles first, which makes one component of most near copies in linear
+   work. What is left are pairs across components. Documents meet again for these, by family
+   or by prefix shingle, whichever sends fewer texts; only a group's documents outside its
+   largest component are dealt to the blocks of all others.
+5. The links found make the classes' components.
 
 Two words differ when their bytes do after A-Z are lower-cased; sets compare 64-bit
 shingle hashes. Null, empty and blank texts have the empty set and link with nothing; a
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import BROADCAST_ROWS, HashCache, cells_batch, dropped, groups, summed_cells, window_hashes, word_hashes, written
+from trackweave.llm.common import BROADCAST_ROWS, HashCache, cells_batch, dropped, groups, joined_hot, summed_cells, window_hashes, word_hashes, written
 from trackweave.llm.components import connected_components
 
 
@@ -116,10 +121,11 @@ class _Forest:
         self.members[b] = []
 
 
-def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, known: list | None = None) -> list[tuple[int, int]]:
     """Links that join all linked sets of a block, a spanning forest of them.
 
-    ``sides``: 0 meets 0, 1 meets 2; so a pair of blocks compares across only.
+    ``sides``: 0 meets 0, 1 meets 2; so a pair of blocks compares across only. ``known``:
+    the component each set is in already, if any; sets of one component are not compared.
     """
     sizes = [len(s) for s in sets]
     values = np.concatenate(sets)
@@ -133,6 +139,10 @@ def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den:
     by_owner = np.argsort(owners[shared], kind="stable")
     mine = np.split(list_of[shared][by_owner], np.cumsum(np.bincount(owners[shared], minlength=len(sets)))[:-1])
     forest, links = _Forest(len(sets)), []
+    first: dict = {}
+    for x, component in enumerate(known or []):
+        if component is not None:
+            forest.join(first.setdefault(component, x), x)
     for x, lists in enumerate(mine):
         nx = sizes[x]
         # The least overlap for the smallest partner; a larger one needs more.
@@ -178,6 +188,29 @@ def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den:
     return links
 
 
+def open_groups(members: DataFrame, block: int, *also: str) -> DataFrame:
+    """Groups of members(g, doc_id, comp) with documents of several components: g, n, main (its largest component), others (documents outside that), cost (texts sent)."""
+    each = members.groupBy("g", "comp", *also).agg(F.count("*").alias("n"))
+    found = each.groupBy("g", *also).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    found = found.select("g", *also, "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("others"))
+    mains, rest = F.ceil(F.col("n") / block - F.col("others") / block), F.ceil(F.col("others") / block)
+    return found.withColumn("cost", F.when(F.col("n") <= block, F.col("n")).otherwise((F.col("n") - F.col("others")) * rest + F.col("others") * (mains + rest)))
+
+
+def meeting_places(members: DataFrame, block: int) -> DataFrame:
+    """place, doc_id, side, comp for members joined to their open group."""
+    mains, rest = F.ceil((F.col("n") - F.col("others")) / block), F.ceil(F.col("others") / block)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    spot = lambda kind, i, j, side: F.struct(F.xxhash64("g", F.lit(kind), i, j).alias("place"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("comp") == F.col("main"), mains).otherwise(rest))
+    members = members.withColumn("mine", mine)
+    across = F.transform(upto(mains), lambda j: spot("main", j, F.col("mine"), 2))
+    among = F.transform(upto(rest), lambda i: spot("rest", F.least("mine", i), F.greatest("mine", i), F.when(i == F.col("mine"), 0).when(F.col("mine") < i, 1).otherwise(2)))
+    one = F.array(spot("all", F.lit(0).cast("long"), F.lit(0).cast("long"), 0))
+    spots = F.when(F.col("n") <= block, one).when(F.col("comp") == F.col("main"), F.transform(upto(rest), lambda i: spot("main", F.col("mine"), i, 1))).otherwise(F.concat(across, among))
+    return members.select("doc_id", "comp", F.explode(spots).alias("s")).select("s.place", "doc_id", "s.side", "comp")
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, sketch_bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets link when ``den * intersection >= num * union``.
 
@@ -187,7 +220,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     docs = docs.select("doc_id", "text")
     bits = sketch_bits or min(24, max(16, ceil(log2(docs.select("doc_id").count() + 1)) + 5))
     sized = written(prefixes(docs, count_ranks(docs.select("text"), k, bits), k, num, den))
-    classes = written(sized.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    classes = written(sized.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     # Classes a little wider than the threshold's factor, so rounding cannot part a link.
     size_class = F.floor(F.log("n_shingles") / F.lit(max(log(den / num), 1e-3) * (1 + 1e-6))).cast("int")
     # The smaller of a linked pair overlaps by 2t/(1+t) of its size, so in the next class a shorter prefix is enough.
@@ -195,16 +228,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     roles = F.array(F.struct(size_class.alias("class"), F.col("prefix")), F.struct((size_class + 1).alias("class"), F.slice("prefix", 1, F.greatest(shorter, F.lit(1))).alias("prefix")))
     entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.inline(roles))
     entries = entries.select("doc_id", F.col("class").cast("short"), F.explode("prefix").alias("shingle")).select("doc_id", "class", F.xxhash64("shingle", "class").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
+    hubs = written(entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far"))
     near = entries.join(hubs, "key").where("doc_id <> hub").select(F.struct("doc_id", "class").alias("a"), F.struct(F.col("hub").alias("doc_id"), "class").alias("b")).distinct()
+    near = written(near)
     families = connected_components(near)
-
-    counted = families.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    placed = families.join(counted, "root").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    met = placed.select(F.col("node.doc_id").alias("doc_id"), "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    met = written(met.select("doc_id", F.xxhash64("root", low, high).alias("place"), side.cast("int").alias("side")))
+    counted = written(families.groupBy("root").agg(F.count("*").alias("n")))
+    placed = written(joined_hot(families, counted, "root"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +242,46 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
             table = pa.Table.from_batches(held)
             ids, sides = table["doc_id"].to_pylist(), table["side"].to_numpy()
             sets = [shingles(t.as_py(), k, cache) for t in table["text"]]
-            links = t_occurrence_links(sets, sides, num, den)
+            links = t_occurrence_links(sets, sides, num, den, table["comp"].to_pylist())
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in side], table.schema.field("doc_id").type) for side in zip(*links)], names=["a", "b"])
 
-    few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met  # beyond that the texts are shuffled to it
-    spots = docs.where("doc_id is not null").join(few, "doc_id").select("place", "doc_id", "side", "text")
-    spots = spots.repartition("place").sortWithinPartitions("place", "doc_id")
-    links = spots.mapInArrow(search, f"a {kind}, b {kind}")
-    roots = connected_components(links)
-
-    class_root = classes.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("component_id"))
+    def links_at(met: DataFrame) -> DataFrame:
+        few = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met  # beyond that the texts are shuffled to it
+        spots = docs.where("doc_id is not null").join(few, "doc_id").select("place", "doc_id", "side", "comp", "text")
+        return spots.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(search, f"a {kind}, b {kind}")
+
+    met = placed.where(F.col("n") <= block).select(F.xxhash64("root").alias("place"), "node.doc_id", F.lit(0).alias("side"))
+    large = placed.where(F.col("n") > block).select("node", "root")
+    any_large = not large.isEmpty()
+    if any_large:
+        stars = written(near.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+        rays = written(stars.groupBy("b").agg(F.count("*").alias("n")))
+        parts = F.ceil(F.col("n") / block)
+        ends = joined_hot(stars, rays, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), parts)).alias("place"), "a.doc_id", F.lit(2).alias("side"))
+        hearts = rays.select("b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(F.xxhash64("b", "part").alias("place"), "b.doc_id", F.lit(1).alias("side"))
+        met = met.unionByName(ends).unionByName(hearts)
+    met = written(met.withColumn("comp", F.lit(None).cast(kind)))
+    roots = connected_components(links_at(met))
+    if any_large:
+        inside = large.select("node.doc_id", "node.class", "root")
+        held = entries.join(inside, ["doc_id", "class"]).join(hubs.select("key"), "key", "left_semi").join(roots.toDF("doc_id", "comp"), "doc_id", "left")
+        held = written(held.select(F.col("key").alias("g"), "doc_id", F.coalesce("comp", "doc_id").alias("comp"), F.xxhash64("root").alias("family")))
+        whole = written(held.select(F.col("family").alias("g"), "doc_id", "comp").distinct())
+        by_family, by_key = written(open_groups(whole, block)), written(open_groups(held, block, "family"))
+        costs = by_key.groupBy(F.col("family").alias("g")).agg(F.sum("cost").alias("by_key"))
+        dearer = written(by_family.join(costs, "g", "left").where(F.coalesce("by_key", F.lit(0)) < F.col("cost")).select("g"))
+        again = meeting_places(joined_hot(whole, by_family.join(dearer, "g", "left_anti"), "g"), block)
+        at_keys = joined_hot(held.drop("family"), by_key.join(dearer.toDF("family"), "family", "left_semi").drop("family"), "g")
+        met_again = written(again.unionByName(meeting_places(at_keys, block)))
+        earlier = roots
+        roots = connected_components(links_at(met_again).unionByName(earlier.toDF("a", "b")))
+        dropped(stars, rays, held, whole, by_family, by_key, dearer, met_again, earlier)
+
+    class_root = classes.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("digest", "n", F.coalesce("root", "doc_id").alias("component_id"))
     class_root = written(class_root)
-    out = sized.select("doc_id", "n_shingles", "digest").join(class_root, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    dropped(families, met, roots, classes)
-    return out
+    named = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    rows = sized.select("doc_id", "n_shingles", "digest")
+    out = joined_hot(rows.where(named), class_root, "digest").select("doc_id", "n_shingles", "component_id")
+    dropped(hubs, near, families, counted, placed, met, roots, classes)
+    return out.unionByName(rows.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
