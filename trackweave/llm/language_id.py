@@ -72,7 +72,7 @@ class WordCells(dict):
         """Take in the words of a batch of texts that are new."""
         if len(self) >= WORD_CACHE:
             self.clear()
-        new = list(set(chain.from_iterable(texts)) - self.keys())
+        new = [w for w in set(chain.from_iterable(texts)) if w not in self]
         cells, n = gram_cells(new)
         self.update(zip(new, np.split(cells, np.cumsum(n)[:-1])))
 
@@ -104,7 +104,7 @@ class WordScores(dict):
         """Take in the words of a batch of texts that are new."""
         if len(self) >= WORD_CACHE:
             self.clear()
-        new = list(set(chain.from_iterable(texts)) - self.keys())
+        new = [w for w in set(chain.from_iterable(texts)) if w not in self]
         if not new:
             return
         used = len(self)
@@ -153,10 +153,12 @@ def training_sample(train: DataFrame, rows: int) -> list:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for words in chain.from_iterable(list(map(letter_runs, portion)) for portion in portions(batch.column(1))):
-                _CELLS.learn([words])
-                ids, n = np.unique(np.concatenate(list(map(_CELLS.__getitem__, words))), return_counts=True) if words else (np.empty(0), np.empty(0))
-                found.append((ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
+            for portion in portions(batch.column(1)):
+                texts = list(map(letter_runs, portion))
+                _CELLS.learn(texts)
+                for words in texts:
+                    ids, n = np.unique(np.concatenate(list(map(_CELLS.__getitem__, words))), return_counts=True) if words else (np.empty(0), np.empty(0))
+                    found.append((ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), batch.column(2)], names=["lang", "cells", "counts", "back"])
 
     return chosen.mapInArrow(features, "lang string, cells binary, counts binary, back boolean").collect()
