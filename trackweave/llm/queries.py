@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trackweave.llm import language_id, quality_classifier
 from trackweave.llm.bpe import encode_decode
 from trackweave.llm.common import read_table
+from trackweave.llm.fill_middle import fill_in_middle
 from trackweave.llm.fingerprints import fingerprints
 from trackweave.llm.ngram_join import jaccard_components
 from trackweave.llm.oracles import ORACLE_SQL
@@ -18,6 +19,7 @@ from trackweave.llm.quality_rules import quality_rules
 from trackweave.llm.substring_dedup import substring_dedup
 from trackweave.llm.suffix_dedup import suffix_dedup
 from trackweave.llm.token_counts import token_counts
+from trackweave.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> Path:
@@ -69,8 +71,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), width=13).drop("kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(read_table(spark, sf_dir, "documents")).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup, op11_whitening, op12_fill_middle)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
