@@ -18,6 +18,7 @@ from trackweave.llm.packing import pack
 from trackweave.llm.quality_rules import quality_rules
 from trackweave.llm.substring_dedup import substring_dedup
 from trackweave.llm.suffix_dedup import suffix_dedup
+from trackweave.llm.superminhash import near_duplicates
 from trackweave.llm.token_counts import token_counts
 from trackweave.llm.whitening import whiten
 
@@ -79,8 +80,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(read_table(spark, sf_dir, "documents")).drop("output")
 
 
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup, op11_whitening, op12_fill_middle)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_join, op4_token_counts, op5_byte_bpe, op6_suffix_dedup, op7_fingerprints, op8_quality_rules, op9_packing, op10_substring_dedup, op11_whitening, op12_fill_middle, op13_superminhash)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
