@@ -95,3 +95,33 @@ def test_sides_follow_most_players(spark):
     got = {r.club: r.side for r in votes.side_convention(spark.createDataFrame(rows, "club string, side string")).collect()}
     assert got == {"east": "away", "west": "home"}
     assert votes.side_convention(spark.createDataFrame(rows[:3], "club string, side string")).count() == 0
+
+
+def test_clusters_are_numbered_anew_in_every_clip(spark):
+    """Clip 1, the same clip with its clusters swapped, and one whose clusters say nothing: in one table or each alone."""
+
+    def rows(clip, swap, open_kit=False):
+        tracks, reads, kit = [], [], []
+        for tid, frames, x, numbers, clusters in BASE:
+            for i, f in enumerate(frames):
+                tracks.append((clip, f, tid, float(x), 0.0, x + 8.0, 20.0))
+                if i % 10 == 0:
+                    reads.append((clip, f, tid, numbers[0]))
+                    kit.append((clip, f, tid, tid % 2 if open_kit else clusters[0] ^ swap))
+        return tracks, reads, kit
+
+    def named(clips):
+        parts = [rows(*c) for c in clips]
+        tracks, reads, kit = ([r for p in parts for r in p[i]] for i in range(3))
+        out = identity.resolved(
+            spark.createDataFrame(tracks, "clip long, frame int, tid long, x1 double, y1 double, x2 double, y2 double"),
+            spark.createDataFrame(reads, "clip long, frame int, tid long, value string"),
+            spark.createDataFrame(kit, "clip long, frame int, tid long, cluster int"),
+            spark.createDataFrame(ROSTER, "club string, number string, name string"),
+        )
+        return {(r.clip, r.tid): (r.club, r.number, r.name) for r in out["identities"].collect()}
+
+    want = {1: ("home", "4", "A"), 2: ("home", "7", "B"), 3: ("away", "9", "C"), 4: ("away", "11", "D")}
+    every = named([(1, 0), (2, 1), (3, 0), (4, 0, True)])
+    assert every == {(c, t): v for c in (1, 2, 3) for t, v in want.items()}
+    assert named([(2, 1)]) == {(2, t): v for t, v in want.items()}

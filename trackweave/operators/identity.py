@@ -52,10 +52,11 @@ def merged_pairs(found: DataFrame, alias: DataFrame, total: DataFrame) -> DataFr
 
 
 def resolved(tracks: DataFrame, reads: DataFrame, kit_crops: DataFrame, roster: DataFrame, *, fps: float = 59.94, least: int = 3, merge_least: int = 5, merge_overlap: int = 15, most_collapsed: float = 0.5) -> dict[str, DataFrame]:
-    """identities, overlaps, collapse, retired, unvouched and mixed of every clip.
+    """identities, overlaps, collapse, retired, unvouched, mixed and clubs (clip, cluster, club) of every clip.
 
-    ``reads``: clip, frame, tid, value; ``kit_crops``: clip, frame, tid, cluster;
-    ``roster``: club, number, name, of two clubs.
+    ``reads``: clip, frame, tid, value; ``kit_crops``: clip, frame, tid, cluster, where each
+    clip numbers its clusters by itself; ``roster``: club, number, name, of two clubs. A clip
+    whose clusters can't be told apart by their numbers has no clubs and names no track.
     """
     key = ["clip", "tid"]
     found = cut(overlaps(tracks, fps))
@@ -87,13 +88,14 @@ def resolved(tracks: DataFrame, reads: DataFrame, kit_crops: DataFrame, roster:
     mixed = cut(votes.mixed(kit, key, "cluster").join(gone, key, "left_anti").select(*key))
     live = cut(standing.join(mixed, key, "left_anti"))
 
-    # Clubs: by kit cluster, and by number where the kit is open and one club alone has it.
+    # Clubs, clip by clip: by kit cluster, and by number where the kit is open and one club alone has it.
     sides = colours.select(*key, F.col("top_value").alias("cluster"), F.col("decisive").alias("colour_decisive"))
     confirmed = votes.leaders(standing, key, "value").where("confirmed").join(sides, key)
-    clubs = cut(votes.club_of_cluster(confirmed.select("cluster", F.col("top_value").alias("number")), roster))
-    tracks_of = live.select(*key).distinct().join(sides, key, "left").join(F.broadcast(clubs), "cluster", "left")  # two rows
+    clubs = cut(votes.club_of_cluster(confirmed.select("clip", "cluster", F.col("top_value").alias("number")), roster, keys=["clip"]))
+    tracks_of = live.select(*key).distinct().join(sides, key, "left").join(clubs, ["clip", "cluster"], "left")
     numbers = votes.leaders(live, key, "value").select(*key, F.col("top_value").alias("number"), F.col("decisive").alias("number_decisive"))
-    placed = votes.club_by_number(tracks_of.select(*key, "club", "colour_decisive"), numbers, roster.join(F.broadcast(clubs.select("club").distinct()), "club", "left_semi"), key)
+    mapped = numbers.join(clubs, "clip", "left_semi")  # where clusters have no club, no track is moved to one
+    placed = votes.club_by_number(tracks_of.select(*key, "club", "colour_decisive"), mapped, roster, key)
 
     named = live.withColumnRenamed("value", "number").join(placed, key).join(roster, ["club", "number"])
     pairs = cut(assign.assigned(named.select("clip", "club", "tid", "number", F.col("votes").cast("double").alias("votes")), ["clip", "club"], "tid", "number", "votes", least))
@@ -108,4 +110,4 @@ def resolved(tracks: DataFrame, reads: DataFrame, kit_crops: DataFrame, roster:
     own = own.select("clip", "tid", "number", "club", F.when(~nameless, F.col("name")).alias("name"), ignored.alias("ignored"), F.lit(None).cast("long").alias("merged_into"), "duplicate_of", "votes")
     copies = alias.join(own.withColumnRenamed("tid", "canonical"), ["clip", "canonical"])
     copies = copies.select("clip", "tid", "number", "club", "name", "ignored", F.col("canonical").alias("merged_into"), "duplicate_of", "votes")
-    return {"identities": own.unionByName(copies), "overlaps": found, "collapse": held, "retired": retired, "unvouched": unvouched, "mixed": mixed}
+    return {"identities": own.unionByName(copies), "overlaps": found, "collapse": held, "retired": retired, "unvouched": unvouched, "mixed": mixed, "clubs": clubs}

@@ -47,20 +47,22 @@ def mixed(votes: DataFrame, keys: list[str], value: str, least: int = 15) -> Dat
     return found.where((F.col("total_votes") >= least) & ~F.col("decisive")).select(*keys, "total_votes")
 
 
-def club_of_cluster(confirmed: DataFrame, roster: DataFrame, margin: int = 2) -> DataFrame:
-    """cluster -> club for two clusters (0, 1) and the two clubs of a roster, from confirmed numbers.
+def club_of_cluster(confirmed: DataFrame, roster: DataFrame, margin: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """keys, cluster -> club for two clusters (0, 1) and the two clubs of a roster, from confirmed numbers.
 
-    ``confirmed``: cluster, number; ``roster``: club, number. Each way round counts the
-    numbers that it puts into their club; with a lead under ``margin`` there is no mapping.
+    ``confirmed``: keys, cluster, number; ``roster``: club, number. Clusters are numbered anew for every
+    key, a clip say, so each is mapped by itself. Each way round counts the numbers that it puts into
+    their club; with a lead under ``margin`` there is no mapping.
     """
+    keys = keys or []
     clubs = roster.select(F.min("club").alias("low"), F.max("club").alias("high"))
     hits = confirmed.join(roster.select("club", "number").distinct(), "number").crossJoin(F.broadcast(clubs))  # one row
     straight = F.sum(((F.col("cluster") == 0) == (F.col("club") == F.col("low"))).cast("int"))
     crossed = F.sum(((F.col("cluster") == 0) == (F.col("club") == F.col("high"))).cast("int"))
-    way = hits.groupBy("low", "high").agg(straight.alias("straight"), crossed.alias("crossed")).where(F.abs(F.col("straight") - F.col("crossed")) >= margin)
+    way = hits.groupBy(*keys, "low", "high").agg(straight.alias("straight"), crossed.alias("crossed")).where(F.abs(F.col("straight") - F.col("crossed")) >= margin)
     keep = F.col("straight") >= F.col("crossed")
     pairs = F.array(F.struct(F.lit(0).alias("cluster"), F.when(keep, F.col("low")).otherwise(F.col("high")).alias("club")), F.struct(F.lit(1).alias("cluster"), F.when(keep, F.col("high")).otherwise(F.col("low")).alias("club")))
-    return way.select(F.inline(pairs))
+    return way.select(*keys, F.inline(pairs))
 
 
 def club_by_number(tracks: DataFrame, numbers: DataFrame, roster: DataFrame, keys: list[str] | None = None) -> DataFrame:
