@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from trackweave.llm.components import connected_components
-from trackweave.llm.ngram_join import jaccard_components, t_occurrence_links
+from trackweave.llm.ngram_join import SPARE, jaccard_components, most_different, part_keys, size_class, t_occurrence_links
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -129,3 +129,27 @@ def test_known_components_are_not_searched_again():
     s = np.arange(50, dtype=np.uint64)
     links = t_occurrence_links([s, s, s, s + np.uint64(1)], np.zeros(4, dtype=int), 85, 100, [5, 5, None, None])
     assert len(links) == 2 and (0, 1) not in links
+
+
+@pytest.mark.parametrize("num, den", [(85, 100), (4, 5), (19, 20), (1, 2)])
+def test_linked_sets_share_a_key(num, den):
+    """Random pairs on and just over the threshold, of all sizes: a key in common in the larger one's class."""
+    rng = np.random.default_rng(num)
+    gappy = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 80) if rng.random() < 0.8 else rng.integers(80, 900))
+        m = int(rng.integers(-(-num * n // den), n + 1))
+        shared = -(-num * (n + m) // (num + den))
+        if shared > m:
+            continue
+        pool = np.unique(rng.integers(0, 2**64, n + m - shared, dtype=np.uint64))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:n]), np.sort(pool[n - shared :])
+        if np.array_equal(x, y):
+            continue
+        c = size_class(n, num, den)
+        assert size_class(m, num, den) in (c, c - 1)
+        a, b = part_keys(x, c, num, den), part_keys(y, c, num, den)
+        assert len(np.intersect1d(a, b))
+        gappy += len(a) > most_different(c, num, den) + 2 - SPARE - 1
+    assert gappy > 10

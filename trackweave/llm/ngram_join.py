@@ -3,24 +3,18 @@
 A document is the set of hashes of its distinct word shingles. Documents whose sets are
 equal are one class; what follows works on one document a class.
 
-1. A fixed-size sketch of shingle counts over the whole table orders all shingles, rare
-   ones first. By the prefix principle two linked sets share a shingle of both prefixes.
-2. Linked sets differ in size by the threshold's factor at most, so each document stands
-   in the size class it falls into and in the next. Documents of a class that share prefix
-   shingles, directly or by others, are one family (connected components; each shingle's
-   list gives edges to its smallest document only, so a list of m documents gives m edges,
-   not m * m).
-3. A family is searched where its documents meet: inverted lists over the shingles there,
-   and for each query the DivideSkip split of its lists: the short ones are merged on a
-   heap, and what survives is looked up in the long ones by binary search until it reaches
-   the needed overlap or cannot. A candidate that is already in the query's component is
-   not looked at again.
-4. The documents of a family of more than ``block`` meet the smallest document of each
-   of their prefix shingles first, which makes one component of most near copies in linear
-   work. What is left are pairs across components. Documents meet again for these, by family
-   or by prefix shingle, whichever sends fewer texts; only a group's documents outside its
-   largest component are dealt to the blocks of all others.
-5. The links found make the classes' components.
+1. Linked sets differ in size by the threshold's factor at most, so each document stands
+   in the size class it falls into and in the next. Two linked sets of a class have at most d
+   elements that only one of them has. All hashes are dealt to d + 2 parts, so two parts at
+   least hold the same elements in both; the hash of all that a document has in a part is a
+   key. A key stands for about five shingles, so unlike texts seldom share one. Documents with
+   several empty parts have their rarest shingles (the prefix principle) as keys too.
+2. Documents that share keys meet (``meeting``), each group of equal sets as one.
+3. Where they meet, they are searched by inverted lists over the shingles there: for each
+   query the DivideSkip split of its lists, the short ones merged on a heap, and what survives
+   is looked up in the long ones by binary search until it reaches the needed overlap or
+   cannot. A candidate that is already in the query's component is not looked at again.
+4. The links found make the classes' components.
 
 Two words differ when their bytes do after A-Z are lower-cased; sets compare 64-bit
 shingle hashes. Null, empty and blank texts have the empty set and link with nothing; a
@@ -34,7 +28,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil, log, log2
+from math import exp, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -42,51 +36,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import HashCache, cells_batch, dropped, summed_cells, written
+from trackweave.llm.common import HashCache, dropped, mixed, portions, written
 from trackweave.llm.meeting import Forest, components_by_meeting, named_components, needed, shingles
 
 
-def count_ranks(docs: DataFrame, k: int, bits: int) -> bytes:
-    """One byte for each of ``2**bits`` cells: how frequent the shingles that fall into it are, on a log scale."""
+_SET, _PREFIX = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
+_NONE = np.empty(0, dtype=np.uint64)
+#: Parts that may be empty in a document before its prefix is used as well.
+SPARE = 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cache, mask = np.zeros(1 << bits, dtype=np.uint32), HashCache(), np.uint64((1 << bits) - 1)
-        for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py(), k, cache)
-                np.add.at(cells, (s & mask).astype(np.int64), 1)
-        yield cells_batch(cells)
 
-    total = summed_cells(docs.mapInArrow(count, "part int, counts binary"), 1 << bits)
-    return np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()
+def size_class(n: int, num: int, den: int) -> int:
+    """Linked sets are of one class or of neighbours; classes are a little wider than the threshold's factor, so rounding cannot part a link."""
+    return int(log(n) / (max(log(den / num), 1e-3) * (1 + 1e-6)))
+
+
+def most_different(c: int, num: int, den: int) -> int:
+    """Most elements that only one of two linked sets has, if the larger is of class ``c``."""
+    largest = int(exp((c + 1) * max(log(den / num), 1e-3) * (1 + 1e-6)) * (1 + 1e-9))
+    return 2 * largest * (den - num) // (den + num)
+
 
+def part_keys(s: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
+    """The keys by which a set (sorted hashes) meets those it may link with, as one of class ``c``.
 
-def prefixes(docs: DataFrame, ranks: bytes, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), prefix: the rarest shingles that any linked set must meet."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    Hashes are dealt to one part more than linked sets can differ by, and ``SPARE`` more; so two linked
+    sets have ``SPARE + 1`` parts in common at least, and a key is the hash of all that a set has in a part. Parts
+    without an element give no key. If more than ``SPARE`` parts are empty, the common ones may all
+    be; both sets are like that then, and their rarest elements (by hash) are keys too.
+    """
+    differ = most_different(c, num, den)
+    if not differ:
+        return np.empty(0, dtype=np.uint64)  # only equal sets link
+    parts = differ + 1 + SPARE
+    of = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash, so a part is a stretch of the set
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    keys = mixed(np.add.reduceat(mixed(s ^ _SET), starts) ^ (of[starts] << np.uint64(16)) ^ np.uint64(c))
+    if parts - len(starts) <= SPARE:
+        return keys
+    return np.r_[keys, mixed(mixed(s[: len(s) - needed(len(s), num, den) + 1] ^ _PREFIX) ^ np.uint64(c))]
+
+
+def keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty), class, keys of that class, keys of the next one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, cache = np.frombuffer(shared.value, dtype=np.uint8), HashCache()
-        mask = np.uint64(len(rank) - 1)
+        cache = HashCache()
         for batch in batches:
-            sizes, digests, heads = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k, cache)
-                n = len(s)
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                take = n - needed(n, num, den) + 1 if n else 0
-                order = np.lexsort((s, rank[(s & mask).astype(np.int64)]))[:take]
-                heads.append(s[order].view(np.int64))
-            flat = pa.array(np.concatenate(heads) if heads else [], pa.int64())
-            offsets = pa.array(np.r_[0, np.cumsum([len(h) for h in heads])], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "n_shingles", "digest", "prefix"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, prefix array<bigint>")
+            at = 0
+            for texts in portions(batch.column(1), 1 << 20):
+                sizes, digests, classes, own, following = [], [], [], [], []
+                for text in texts:
+                    s = shingles(text, k, cache)
+                    sizes.append(len(s))
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    classes.append(size_class(len(s), num, den) if len(s) else 0)
+                    for into, c in ((own, classes[-1]), (following, classes[-1] + 1)):
+                        into.append(part_keys(s, c, num, den) if len(s) else _NONE)
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lst])], pa.int32()), pa.array(np.concatenate(lst).view(np.int64))) for lst in (own, following)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(classes, pa.int16()), *lists],
+                    names=["doc_id", "n_shingles", "digest", "class", "own", "following"],
+                )
+                at += len(texts)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, class smallint, own array<bigint>, following array<bigint>")
 
 
 def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, known: list | None = None) -> list[tuple[int, int]]:
@@ -156,23 +171,13 @@ def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den:
     return links
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, sketch_bits: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link when ``den * intersection >= num * union``.
-
-    ``block``: documents of a family that meet in one place; ``sketch_bits``: log2 of the
-    count cells (default by table size, 16 to 24, so what is broadcast stays under 16 MB).
-    """
+def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; sets link when ``den * intersection >= num * union``. ``block``: documents that meet in one place."""
     docs = docs.select("doc_id", "text")
-    bits = sketch_bits or min(24, max(16, ceil(log2(docs.select("doc_id").count() + 1)) + 5))
-    sized = written(prefixes(docs, count_ranks(docs.select("text"), k, bits), k, num, den))
+    sized = written(keyed(docs, k, num, den))
     classes = written(sized.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    # Classes a little wider than the threshold's factor, so rounding cannot part a link.
-    size_class = F.floor(F.log("n_shingles") / F.lit(max(log(den / num), 1e-3) * (1 + 1e-6))).cast("int")
-    # The smaller of a linked pair overlaps by 2t/(1+t) of its size, so in the next class a shorter prefix is enough.
-    shorter = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(2 * num / (num + den)) - 1e-6) + 1).cast("int")
-    roles = F.array(F.struct(size_class.alias("class"), F.col("prefix")), F.struct((size_class + 1).alias("class"), F.slice("prefix", 1, F.greatest(shorter, F.lit(1))).alias("prefix")))
-    entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.inline(roles))
-    entries = entries.select("doc_id", F.col("class").cast("short"), F.explode("prefix").alias("shingle")).select("doc_id", "class", F.xxhash64("shingle", "class").alias("key"))
+    roles = F.array(F.struct("class", F.col("own").alias("keys")), F.struct((F.col("class") + 1).cast("short").alias("class"), F.col("following").alias("keys")))
+    entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.inline(roles)).select("doc_id", "class", F.explode("keys").alias("key"))
     roots = components_by_meeting(docs, entries, lambda sets, sides, known: t_occurrence_links(sets, sides, num, den, known), k=k, block=block)
     out = named_components(sized, classes, roots)
     dropped(roots, classes)
