@@ -47,32 +47,34 @@ class Seeds:
     nxt: int = 1
     last: dict[int, list[float]] = field(default_factory=dict)
 
-    def step(self, f: pd.DataFrame) -> pd.DataFrame:
-        """A frame's rows with ``tid`` and ``event``, and a row for each track that its fresh boxes leave without one."""
-        fresh = f["held"].isna().to_numpy()
-        boxes = f[BOX].to_numpy(float)
-        if not fresh.any():
-            tids = f["held"].astype("int64").tolist()
-            self.last = dict(zip(tids, boxes.tolist()))
-            self.nxt = max(self.nxt, *[t + 1 for t in tids])
-            return f.assign(tid=tids, event="held")
+    def step(self, boxes: np.ndarray, held: list[int | None]) -> tuple[list[tuple[int, int, str]], list[tuple[int, list[float]]]]:
+        """(place, tid, event) of a frame's rows, and the tracks that its fresh boxes leave without one, with their last box."""
+        fresh = [i for i, t in enumerate(held) if t is None]
+        if not fresh:
+            self.last = {t: boxes[i].tolist() for i, t in enumerate(held)}
+            self.nxt = max(self.nxt, *[t + 1 for t in held])
+            return [(i, t, "held") for i, t in enumerate(held)], []
         names = sorted(self.last)
         took = stitched(np.array([self.last[t] for t in names]).reshape(-1, 4), boxes[fresh], self.overlap, self.reach)
-        tids = [None if k is None else names[k] for k in took]
-        events = ["kept" if t is not None else "born" for t in tids]
-        lost = sorted(set(names) - set(tids))
-        for i, t in enumerate(tids):
-            if t is None:
-                tids[i], self.nxt = self.nxt, self.nxt + 1
-        gone = pd.DataFrame([[f["clip"].iloc[0], f["frame"].iloc[0], None, *self.last[t], None, t, "lost"] for t in lost], columns=[*f.columns, "tid", "event"])
-        self.last = dict(zip(tids, boxes[fresh].tolist()))
-        seen = f[fresh].assign(tid=tids, event=events)
-        return pd.concat([seen, gone.astype({"clip": f["clip"].dtype, "frame": f["frame"].dtype})]) if lost else seen
+        out = []
+        for i, k in zip(fresh, took):
+            out.append((i, self.nxt, "born") if k is None else (i, names[k], "kept"))
+            self.nxt += k is None
+        left = [(t, self.last[t]) for t in sorted(set(names) - {t for _, t, _ in out})]
+        self.last = {t: boxes[i].tolist() for i, t, _ in out}
+        return out, left
 
     def frames(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [self.step(f) for _, f in pdf.sort_values(["frame", "box"]).groupby("frame", sort=True)]
-        out = pd.concat(parts)[_COLUMNS]
-        return out.assign(box=out["box"].astype("Int64"))
+        pdf = pdf.sort_values(["frame", "box"])
+        frame, boxes, number = pdf["frame"].to_numpy(), pdf[BOX].to_numpy(float), pdf["box"].tolist()
+        held = [None if pd.isna(t) else int(t) for t in pdf["held"]]
+        rows, starts = [], np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(frame)]):
+            seen, lost = self.step(boxes[a:b], held[a:b])
+            rows += [(frame[a], number[a + i], *boxes[a + i], t, event) for i, t, event in seen]
+            rows += [(frame[a], None, *corners, t, "lost") for t, corners in lost]
+        out = pd.DataFrame(rows, columns=_COLUMNS[1:]).astype({"box": "Int64"})
+        return out.assign(clip=pdf["clip"].iloc[0])[_COLUMNS]
 
 
 _COLUMNS = ["clip", "frame", "box", *BOX, "tid", "event"]
