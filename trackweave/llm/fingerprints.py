@@ -2,15 +2,18 @@
 
 A paragraph is a line, cut every ``unit`` characters; its digest is a 64-bit hash. Each
 distinct digest goes into one cell of each third of the table; a cell has the number of
-its digests, their XOR and the XOR of their check hashes. The fingerprint is the table
-of ``cells`` cells, written sparsely.
-
-Two versions are compared by subtracting their tables cell by cell and peeling: a cell
-with one digest (its check hash tells) gives up that digest, which leaves its other
-cells, and so on. If cells remain, tables with cells for the largest possible difference
-are tried, then larger ones; should even these not come apart, the digest sets themselves
-are compared. What one side alone has gives the likeness, shared over all paragraphs
-(1 when both have none).
+its digests, their XOR and the XOR of their check hashes. A third has a power of two of
+cells, at least twice as many as there are digests and at least ``least``; only filled cells
+are kept. The fingerprint is that table with its width.
+
+Two versions are compared by their fingerprints: the wider table is folded to the width of
+the other, the tables are subtracted cell by cell, and the difference is peeled: a cell with one
+digest (its check hash tells) gives up that digest, which leaves its other cells, and so on.
+If cells remain, as when one version is very much longer, a larger table of each version,
+sized for all digests of both, is built and subtracted, then a still larger one. Should even
+these not come apart, the digest sets themselves are compared. What one side alone has
+gives the likeness, shared over all paragraphs (1 when both have none); the ``level`` columns tell
+which table it came from: 1 the fingerprints, 2 and 3 the larger ones, 0 the sets.
 
 Null texts are empty. Rows with the same id follow each other in the order of their texts;
 rows with a null id come first and the last row is followed by the first with an id.
@@ -42,9 +45,14 @@ def digests(text: Column, unit: int) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
+def width_for(count: Column, times: int, least: int) -> Column:
+    """Cells of a third: the power of two from ``times`` as many as ``count`` and from ``least`` on."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(count * times, F.lit(least)).cast("double")))).cast("long")
+
+
 def entry(key: Column, sign: Column, third: int, width: Column) -> Column:
-    """What ``key`` adds to its cell in one third of a table of three times ``width`` cells."""
-    cell = F.lit(third) * width + F.pmod(F.xxhash64(key, F.lit(third), width), width)
+    """What ``key`` adds to its cell in one third of a table; a cell's number is its place in the third times three plus the third."""
+    cell = F.lit(third) + 3 * F.pmod(F.xxhash64(key, F.lit(third)), width)
     return F.struct(cell.cast("long").alias("c"), sign.cast("long").alias("n"), key.alias("k"), F.xxhash64(key, F.lit(99)).alias("h"))
 
 
@@ -53,6 +61,12 @@ def entries(pairs: Column, width: Column) -> Column:
     return F.flatten(F.transform(pairs, lambda x: F.array(*[entry(x["k"], x["n"], third, width) for third in range(3)])))
 
 
+def folded(cells: Column, width: Column, sign: int = 1) -> Column:
+    """The cells of a table (``sign`` -1: taken away) where they stand in one of no greater ``width``; cells that meet are not yet added up."""
+    place = lambda c: c % 3 + 3 * (F.floor(c / 3) % width)
+    return F.transform(cells, lambda x: F.struct(place(x["c"]).cast("long").alias("c"), (sign * x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))
+
+
 def summed(cells: Column) -> Column:
     """Cells added up by number, in order, without the empty ones."""
 
@@ -78,9 +92,9 @@ def table(keys: str, width: Column) -> Column:
     return summed(entries(signed(keys, 1), width))
 
 
-def minus(a: Column, b: Column) -> Column:
-    """Cells of one table less those of another."""
-    return summed(F.concat(a, F.transform(b, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))))
+def minus(a: Column, b: Column, width: Column) -> Column:
+    """Cells of one table less those of another, both folded to ``width``."""
+    return summed(F.concat(folded(a, width), folded(b, width, -1)))
 
 
 def peeled(cells: Column, width: Column) -> Column:
@@ -102,25 +116,28 @@ def shared_share(own: Column, other: Column, missing: Column) -> Column:
     return F.when(own + other == 0, F.lit(1.0)).otherwise((own - missing) / (other + missing))
 
 
-def compared(pairs: DataFrame, other: str, out: str, width: Column) -> DataFrame:
-    """``pairs`` with the likeness ``out`` of (keys, table) to (``other``_keys, ``other``_table).
+def compared(pairs: DataFrame, other: str) -> DataFrame:
+    """``pairs`` with near_``other``, the likeness of (keys, table, width) to (``other``_keys, ``other``_table, ``other``_width), and its level.
 
-    One step of the comparison is one projection, so the plan stays shallow; a larger table
-    is built only for rows whose smaller ones did not come apart.
+    One step of the comparison is one projection, so the plan stays shallow; larger tables
+    are built only for rows whose smaller ones did not come apart.
     """
-    missing = f"_missing_{other}"
-    pairs = pairs.withColumn("_cells", minus(F.col("table"), F.col(f"{other}_table")))
-    pairs = pairs.withColumn("_state", peeled(F.col("_cells"), width)).withColumn(missing, one_sided(F.col("_state")))
-    for factor in (1, 4):
-        larger = F.ceil((F.size("keys") + F.size(f"{other}_keys")) * F.lit(0.6 * factor)).cast("int") + 8 * factor
-        pairs = pairs.withColumn("_width", F.when(F.col(missing).isNull(), larger))
-        difference = summed(entries(F.concat(signed("keys", 1), signed(f"{other}_keys", -1)), F.col("_width")))  # cells are sums, so one pass subtracts
-        pairs = pairs.withColumn("_cells", F.when(F.col("_width").isNotNull(), difference))
-        pairs = pairs.withColumn("_state", F.when(F.col("_width").isNotNull(), peeled(F.col("_cells"), F.col("_width"))))
-        pairs = pairs.withColumn(missing, F.coalesce(missing, one_sided(F.col("_state"))))
+    missing, level = f"_missing_{other}", f"{other}_level"
+    pairs = pairs.withColumn("_width", F.least("width", f"{other}_width"))
+    pairs = pairs.withColumn("_cells", minus(F.col("table"), F.col(f"{other}_table"), F.col("_width")))
+    pairs = pairs.withColumn("_state", peeled(F.col("_cells"), F.col("_width"))).withColumn(missing, one_sided(F.col("_state")))
+    pairs = pairs.withColumn(level, F.when(F.col(missing).isNotNull(), 1))
+    for number, times in ((2, 2), (3, 16)):
+        pairs = pairs.withColumn("_width", F.when(F.col(missing).isNull(), width_for(F.size("keys") + F.size(f"{other}_keys"), times, 64 * times)))
+        open_ = F.col("_width").isNotNull()
+        larger = [F.when(open_, table(k, F.col("_width"))).alias(f"_{k}") for k in ("keys", f"{other}_keys")]
+        pairs = pairs.select("*", *larger).withColumn("_cells", F.when(open_, minus(F.col("_keys"), F.col(f"_{other}_keys"), F.col("_width")))).drop("_keys", f"_{other}_keys")
+        pairs = pairs.withColumn("_state", F.when(open_, peeled(F.col("_cells"), F.col("_width"))))
+        pairs = pairs.withColumn(missing, F.coalesce(missing, one_sided(F.col("_state")))).withColumn(level, F.coalesce(level, F.when(F.col(missing).isNotNull(), number)))
     exact = F.size(F.array_except("keys", f"{other}_keys"))
     share = shared_share(F.size("keys"), F.size(f"{other}_keys"), F.coalesce(missing, exact))
-    return pairs.withColumn(out, share).drop("_cells", "_state", "_width", missing, f"{other}_keys")
+    pairs = pairs.withColumn(f"near_{other}", share).withColumn(level, F.coalesce(level, F.lit(0)))
+    return pairs.drop("_cells", "_state", "_width", missing, f"{other}_keys", f"{other}_table", f"{other}_width")
 
 
 def one_sided(state: Column) -> Column:
@@ -128,10 +145,11 @@ def one_sided(state: Column) -> Column:
     return F.when(F.size(state["left"]) == 0, F.size(F.filter(state["found"], lambda x: x["n"] > 0)))
 
 
-def written_table(cells: Column) -> Column:
-    """A table as text: base 64 of (cell, count, XOR, low half of the check XOR) of its filled cells."""
-    part = lambda x: F.concat(F.lpad(F.hex(x["c"]), 4, "0"), F.lpad(F.hex(x["n"]), 8, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.right(F.lpad(F.hex(x["h"]), 16, "0"), F.lit(8)))
-    return F.base64(F.unhex(F.array_join(F.transform(cells, part), "")))
+def written_table(cells: Column, width: Column) -> Column:
+    """A table as text: base 64 of its width and (cell, count, XOR, low half of the check XOR) of its filled cells, 8 hex digits each and 16 for the XOR."""
+    eight = lambda v: F.lpad(F.hex(v), 8, "0")
+    part = lambda x: F.concat(eight(x["c"]), eight(x["n"]), F.lpad(F.hex(x["k"]), 16, "0"), F.right(F.lpad(F.hex(x["h"]), 16, "0"), F.lit(8)))
+    return F.base64(F.unhex(F.concat(eight(width), F.array_join(F.transform(cells, part), ""))))
 
 
 def bucket_of(doc_id: Column, bounds: list, kind: str) -> Column:
@@ -166,9 +184,8 @@ def with_next(docs: DataFrame, columns: list[str], rows_a_bucket: int) -> DataFr
     return out.withColumn("_next", following).where("_ghost = 0").drop("_ghost", "_bucket")
 
 
-def fingerprints(docs: DataFrame, *, cells: int = 24, unit: int = 96, rows_a_bucket: int = 20_000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    width = F.lit(cells // 3)
+def fingerprints(docs: DataFrame, *, least: int = 64, unit: int = 96, rows_a_bucket: int = 20_000) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_level, next_level of every row."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("keys", digests(F.col("text"), unit))
     own = F.struct(F.col("text").alias("text"), F.col("keys").alias("keys"))
     both = with_next(base, ["text", "keys"], rows_a_bucket).withColumn("_next", F.coalesce("_next", own))
@@ -176,7 +193,9 @@ def fingerprints(docs: DataFrame, *, cells: int = 24, unit: int = 96, rows_a_buc
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("_next.text"), F.lit(1), half))
     both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "keys", F.col("_next.keys").alias("next_keys"), edited.alias("edited"))
     both = both.withColumn("edited_keys", digests(F.col("edited"), unit)).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    tables = both.select("*", *[table(k, width).alias(k.replace("keys", "table")) for k in ("keys", "edited_keys", "next_keys")])
-    out = tables.select("doc_id", "n_chars", "edited_sha256", written_table(F.col("table")).alias("fingerprint"), written_table(F.col("edited_table")).alias("edited_fingerprint"), "keys", "table", "edited_keys", "edited_table", "next_keys", "next_table")
-    out = compared(compared(out, "edited", "near_edited", width), "next", "near_next", width)
-    return out.drop("keys", "table", "edited_table", "next_table")
+    names = {"keys": "", "edited_keys": "edited_", "next_keys": "next_"}
+    both = both.select("*", *[width_for(F.size(k), 2, least).alias(f"{p}width") for k, p in names.items()])
+    both = both.select("*", *[table(k, F.col(f"{p}width")).alias(f"{p}table") for k, p in names.items()])
+    written = [written_table(F.col(f"{p}table"), F.col(f"{p}width")).alias(f"{p}fingerprint") for p in ("", "edited_")]
+    out = compared(compared(both.select("*", *written), "edited"), "next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_level", "next_level")
