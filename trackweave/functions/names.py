@@ -43,6 +43,48 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 60, F.concat(F.floor(seconds).cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h"), F.lpad(F.floor((seconds % 3600) / 60).cast("string"), 2, "0"), F.lit("m")))
 
 
+def padded_clock(seconds: Column, rounded: bool = False) -> Column:
+    """``mm:ss``; the seconds of the minute cut off, or rounded (then up to 60)."""
+    part = seconds - F.floor(seconds / 60) * 60
+    return F.format_string("%02d:%02d", F.floor(seconds / 60).cast("int"), (F.floor(part + 0.5) if rounded else F.floor(part)).cast("int"))
+
+
+def tenths_clock(seconds: Column) -> Column:
+    """``m:ss.s``, as a player's timeline shows it."""
+    return F.format_string("%d:%04.1f", F.floor(seconds / 60).cast("int"), (seconds - F.floor(seconds / 60) * 60).cast("double"))
+
+
+def eta_text(seconds: Column) -> Column:
+    """Seconds under 90, minutes under 5400, else hours with a tenth; a dash for what is unknown or negative."""
+    known = seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0)
+    text = F.when(seconds < 90, F.format_string("%.0fs", seconds)).when(seconds < 5400, F.format_string("%.0fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+    return F.when(known, text).otherwise(F.lit("-"))
+
+
+def stamp(seconds: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch seconds as text, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), pattern)
+
+
+def iso(seconds: Column) -> Column:
+    """Epoch seconds in ISO 8601 with milliseconds, UTC where the session is."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def top_counts(values: Column, k: int) -> Column:
+    """The ``k`` most frequent values of an array with their counts; the one that comes first on a tie."""
+    distinct = F.array_distinct(values)
+    counted = F.transform(distinct, lambda v, i: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), i.alias("i"), v.alias("v")))
+    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda c: F.struct(c["v"].alias("value"), (-c["n"]).alias("count")))
+
+
+def inverted(mapping: Column) -> Column:
+    """A map the other way round; of keys with one value the largest counts."""
+    pairs = F.array_sort(F.transform(F.map_entries(mapping), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
+    last = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["v"] != p["v"], F.lit(True)))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["v"], p["k"])))
+
+
 def original_name(file_name: Column) -> Column:
     """An exported image's name without the export's hash and extension."""
     return F.regexp_replace(F.regexp_replace(file_name, r"\.rf\.[^.]*", ""), r"(\.jpg|_jpg)+$", "")

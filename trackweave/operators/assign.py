@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -222,3 +223,43 @@ def without_conflicts(rows: DataFrame, keys: list[str], name: str, strength: str
         return pdf[~gone]
 
     return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
+def refined_cover(reach: dict[int, int], sharp: dict[int, float], want: int, places: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(key, chosen, members reached) of a greedy cover whose keys give way to sharper ones.
+
+    ``reach``: what a key reaches as a bitmap over ``places`` (key -> bit), itself included. Each chosen key is replaced by
+    the sharpest of the keys that it reaches and that reach all it does (the smallest on a tie); equal ones are one.
+    """
+    chosen, seen = [], 0
+    while len(chosen) < want:
+        best = max(sorted(reach), key=lambda k: (reach[k] & ~seen).bit_count(), default=None)
+        if best is None or not reach[best] & ~seen:
+            break
+        chosen.append(best)
+        seen |= reach[best]
+    out: dict[int, int] = {}
+    for c in chosen:
+        pool = [k for k in sorted(reach) if reach[c] >> places[k] & 1 and reach[k] & reach[c] == reach[c]]
+        out.setdefault(max(pool, key=lambda k: sharp[k], default=c), c)
+    return [(k, out[k], reach[k].bit_count()) for k in sorted(out)]
+
+
+def refined_covers(edges: DataFrame, sharpness: DataFrame, clip: str, want: int) -> DataFrame:
+    """clip, key, chosen, reached. ``edges``: clip, key, member, links that go both ways; ``sharpness``: clip, key, sharp, every candidate once.
+
+    A clip's candidates, a few dozen frames, meet in a task as bitmaps.
+    """
+    both = edges.select(clip, "key", "member").unionByName(edges.select(clip, F.col("member").alias("key"), F.col("key").alias("member")))
+    near = both.join(sharpness.select(clip, F.col("key").alias("member")), [clip, "member"], "left_semi").groupBy(clip, "key").agg(F.collect_set("member").alias("members"))
+    rows = sharpness.select(clip, "key", "sharp").join(near, [clip, "key"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = sorted(int(k) for k in pdf["key"])
+        places = {k: i for i, k in enumerate(keys)}
+        reach = {int(k): 1 << places[int(k)] | sum(1 << places[int(m)] for m in (set(ms) - {k} if ms is not None else ())) for k, ms in zip(pdf["key"], pdf["members"])}
+        found = refined_cover(reach, dict(zip(map(int, pdf["key"]), pdf["sharp"])), want, places)
+        return pd.DataFrame({clip: [pdf[clip].iloc[0]] * len(found), "key": [f[0] for f in found], "chosen": [f[1] for f in found], "reached": [f[2] for f in found]})
+
+    kind = edges.schema[clip].dataType.simpleString()
+    return rows.groupBy(clip).applyInPandas(run, f"`{clip}` {kind}, key bigint, chosen bigint, reached bigint")

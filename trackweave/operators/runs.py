@@ -50,6 +50,23 @@ def applied(rows: DataFrame, updates: DataFrame, keys: list[str], value: str, lo
     return out.withColumn(value, F.when(F.col(locked), F.col(value)).otherwise(F.coalesce("_new", value))).drop("_new")
 
 
+def applied_identities(players: DataFrame, identities: DataFrame, sides: DataFrame) -> DataFrame:
+    """``players`` (clip, tid, number, name, identity, side) under new identities, and ``moved``: whether the side changed.
+
+    What a person decided (identity human or ignored) stays, as do players without an identity or a number. All others take
+    the number, and the name or none: a number that no roster has must not keep an old name. The ``sides`` (clip, club,
+    side) of the clubs win over the colour's.
+    """
+    new = identities.where("number is not null").select("clip", "tid", F.col("number").alias("_number"), F.col("name").alias("_name"), F.col("club").alias("_club"))
+    to = sides.select("clip", F.col("club").alias("_club"), F.col("side").alias("_side"))
+    rows = players.join(new, ["clip", "tid"], "left").join(to, ["clip", "_club"], "left")
+    open_ = F.col("_number").isNotNull() & ~F.coalesce(F.col("identity").isin("human", "ignored"), F.lit(False))
+    rows = rows.withColumn("_open", open_).withColumn("moved", F.coalesce(F.col("_open") & (F.col("_side") != F.col("side")), F.lit(False)))
+    take = lambda c, value: F.when(F.col("_open"), value).otherwise(F.col(c)).alias(c)
+    new_values = {"number": F.col("_number"), "name": F.col("_name"), "identity": F.lit("jersey-ocr"), "side": F.coalesce("_side", "side")}
+    return rows.select(*[take(c, new_values[c]) if c in new_values else F.col(c) for c in players.columns], "moved")
+
+
 def unarchived(finished: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
     """Finished runs that the archive does not have yet, to append."""
     return finished.dropDuplicates(keys).join(archive.select(*keys), keys, "left_anti")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, points: DataFrame, keys: list[str], at: str, query_id: str, point_id: str, tolerance: float, *, later_wins: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, keys: list[str], at: str, query_id: str, point_id: str, tolerance: float, *, later_wins: bool = True, offset: float = 0) -> DataFrame:
     """Each query with its nearest point of the same key, null beyond ``tolerance``.
 
     One sort of queries and points together: the last point before and the first after come
     from two running windows, so no pairs are made. On a tie the later point wins, or the
-    earlier. Points at one time: the largest ``point_id``.
+    earlier. Points at one time: the largest ``point_id``. ``offset``: the points' time at the queries' 0.
     """
-    q = queries.select(*keys, F.col(at).alias("_t"), F.col(query_id).alias("_q"), F.lit(None).cast(points.schema[point_id].dataType).alias("_p"))
+    q = queries.select(*keys, (F.col(at) + offset).alias("_t"), F.col(query_id).alias("_q"), F.lit(None).cast(points.schema[point_id].dataType).alias("_p"))
     p = points.select(*keys, F.col(at).alias("_t"), F.lit(None).cast(queries.schema[query_id].dataType).alias("_q"), F.col(point_id).alias("_p"))
     both = q.unionByName(p)
     row = F.when(F.col("_p").isNotNull(), F.struct("_t", "_p"))
@@ -26,15 +26,18 @@ def nearest(queries: DataFrame, points: DataFrame, keys: list[str], at: str, que
     best = F.when(pick_after, F.col("_a")).otherwise(F.col("_b"))
     near = found.withColumn("_best", best).withColumn("_d", F.abs(F.col("_best._t") - F.col("_t")))
     ok = F.col("_d") <= tolerance
-    return near.select(*keys, F.col("_q").alias(query_id), F.col("_t").alias(at), F.when(ok, F.col("_best._p")).alias(f"near_{point_id}"), F.when(ok, F.col("_d")).alias("distance"))
+    return near.select(*keys, F.col("_q").alias(query_id), (F.col("_t") - offset).alias(at), F.when(ok, F.col("_best._p")).alias(f"near_{point_id}"), F.when(ok, F.col("_d")).alias("distance"))
 
 
-def forward_filled(rows: DataFrame, keys: list[str], at: str, values: list[str], step: int = 1) -> DataFrame:
-    """A row for every step of each key's range; ``values`` held until the next row that has them."""
+def forward_filled(rows: DataFrame, keys: list[str], at: str, values: list[str], step: int = 1, every: int | None = None) -> DataFrame:
+    """A row for every step of each key's range; ``values`` held until the next row that has them.
+
+    ``every``: steps between samples; at 1 every step has been looked at, so one without a row is empty and holds nothing.
+    """
     spine = rows.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step).cast(rows.schema[at].dataType))).alias(at))
     w = Window.partitionBy(*keys).orderBy(at)
     sampled = rows.select(*keys, at, F.struct(*values).alias("_v"))
-    held = F.last("_v", ignorenulls=True).over(w)
+    held = F.col("_v") if every == 1 else F.last("_v", ignorenulls=True).over(w)
     return spine.join(sampled, [*keys, at], "left").withColumn("_h", held).select(*keys, at, *[F.col(f"_h.{v}").alias(v) for v in values], F.col("_v").isNotNull().alias("sampled"))
 
 

@@ -103,3 +103,37 @@ def append_missing(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 def replace(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
+
+
+def backup_once(spark: SparkSession, path: str, backup: str) -> bool:
+    """Copy the table at ``path`` to ``backup`` if nothing is there yet; whether it did."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(backup)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return False
+    spark.read.parquet(path).write.parquet(backup)
+    return True
+
+
+def with_provenance(source: Column, note: str) -> Column:
+    """A source text with ``note`` appended, once."""
+    return F.when(F.contains(F.coalesce(source, F.lit("")), F.lit(note)), source).otherwise(F.concat(F.coalesce(source, F.lit("")), F.lit(" \u00b7 "), F.lit(note)))
+
+
+def sidecar_videos(spark: SparkSession, path: str, suffix: str = "_tracks") -> DataFrame:
+    """stem, video of the tracks sidecars under ``path``: which clip a route ran on."""
+    d = documents(spark, path, TRACKS)
+    return d.select(F.regexp_replace("clip", f"{suffix}$", "").alias("stem"), "video").where("video is not null")
+
+
+def cached_vectors(spark: SparkSession, path: str, words: list[str] | None = None) -> DataFrame | None:
+    """frame, det, vector of a vector cache in Parquet; None if there is none, or if it was made with other ``words``.
+
+    Columns frame, det, vector and, for scores of words, words (array).
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.parquet(path)
+    if words is not None and not rows.where(~F.col("words").eqNullSafe(F.array(*map(F.lit, words)))).isEmpty():
+        return None
+    return rows.select("frame", "det", "vector")
