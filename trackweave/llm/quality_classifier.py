@@ -85,6 +85,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list:
     return chosen.mapInArrow(features, "grade int, cells binary").collect()
 
 
+def losses(s: np.ndarray, y: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Weighted negative log-likelihood of each row's grade under its score."""
+    above = np.c_[np.ones(len(s)), sigmoid(s[:, None] - cuts), np.zeros(len(s))]
+    i = np.arange(len(s))
+    return -weight * np.log(np.maximum(above[i, y] - above[i, y + 1], 1e-9))
+
+
+def slopes(s: np.ndarray, y: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's loss: the slope in its score, and in each threshold."""
+    above = np.c_[np.ones(len(s)), sigmoid(s[:, None] - cuts), np.zeros(len(s))]
+    i = np.arange(len(s))
+    p = np.maximum(above[i, y] - above[i, y + 1], 1e-9)
+    d = above * (1 - above)  # slope of each tail in the score
+    tail = np.zeros((len(s), GRADES + 1))
+    np.add.at(tail, (i, y), weight * d[i, y] / p)
+    np.add.at(tail, (i, y + 1), -weight * d[i, y + 1] / p)
+    return -weight * (d[i, y] - d[i, y + 1]) / p, tail[:, 1:GRADES]
+
+
 def fitted(sample: list, *, epochs: int = 30, batch: int = 64, alpha: float = 0.3, l1: float = 0.5, l2: float = 0.05, rare: int = 3) -> OrdinalModel:
     cells = [np.frombuffer(r["cells"], dtype="<i4") for r in sample]
     grades = np.array([r["grade"] for r in sample], dtype=int)
@@ -106,16 +125,8 @@ def fitted(sample: list, *, epochs: int = 30, batch: int = 64, alpha: float = 0.
             distinct, inverse = np.unique(ids, return_inverse=True)
             s = scores(rows, values, model.weights(distinct)[inverse], len(part))[:, 0]
             cuts = np.r_[low, low + np.cumsum(np.exp(gap))]
-            above = np.c_[np.ones(len(part)), sigmoid(s[:, None] - cuts), np.zeros(len(part))]
-            y = grades[part]
-            i = np.arange(len(part))
-            p = np.maximum(above[i, y] - above[i, y + 1], 1e-9)
-            d = above * (1 - above)  # slope of each tail in the score
-            g = -weight[part] * (d[i, y] - d[i, y + 1]) / p
-            tail = np.zeros((len(part), GRADES + 1))
-            np.add.at(tail, (i, y), weight[part] * d[i, y] / p)
-            np.add.at(tail, (i, y + 1), -weight[part] * d[i, y + 1] / p)
-            by_cut = tail[:, 1:GRADES].mean(axis=0)
+            g, by_row = slopes(s, grades[part], weight[part], cuts)
+            by_cut = by_row.mean(axis=0)
             low -= 0.05 * by_cut.sum()
             for j in range(len(gap)):
                 gap[j] -= 0.05 * by_cut[j + 1 :].sum() * np.exp(gap[j])
