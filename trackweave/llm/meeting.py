@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import BROADCAST_ROWS, HashCache, dropped, groups, joined_hot, window_hashes, word_hashes, written
+from trackweave.llm.common import BROADCAST_ROWS, HASHED, HashCache, dropped, groups, joined_hot, window_hashes, word_hashes, written
 from trackweave.llm.components import connected_components
 
 #: Finds the links of a place: sets, sides (0 meets 0, 1 meets 2), known components -> pairs of places in the list.
@@ -89,9 +89,11 @@ def components_by_meeting(docs: DataFrame, entries: DataFrame, found: Links, *,
     document, where a document is another node in each class; ``found`` looks for the links
     among the ``k``-word shingle sets of a place.
     """
-    hubs = written(entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far"))
-    near = entries.join(hubs, "key").where("doc_id <> hub").select(F.struct("doc_id", "class").alias("a"), F.struct(F.col("hub").alias("doc_id"), "class").alias("b")).distinct()
-    near = written(near)
+    # One shuffle of all entries serves both the keys' smallest documents and the join with them; keys of one document end here.
+    dealt = entries.repartition("key")
+    hubs = dealt.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
+    shared = written(dealt.join(hubs.hint(HASHED), "key").select("key", "doc_id", "class", "hub"))
+    near = written(shared.where("doc_id <> hub").select(F.struct("doc_id", "class").alias("a"), F.struct(F.col("hub").alias("doc_id"), "class").alias("b")).distinct())
     families = connected_components(near)
     counted = written(families.groupBy("root").agg(F.count("*").alias("n")))
     placed = written(joined_hot(families, counted, "root"))
@@ -126,7 +128,7 @@ def components_by_meeting(docs: DataFrame, entries: DataFrame, found: Links, *,
     roots = connected_components(links_at(met))
     if any_large:
         inside = large.select("node.doc_id", "node.class", "root")
-        held = entries.join(inside, ["doc_id", "class"]).join(hubs.select("key"), "key", "left_semi").join(roots.toDF("doc_id", "comp"), "doc_id", "left")
+        held = shared.join(inside, ["doc_id", "class"]).join(roots.toDF("doc_id", "comp"), "doc_id", "left")
         held = written(held.select(F.col("key").alias("g"), "doc_id", F.coalesce("comp", "doc_id").alias("comp"), F.xxhash64("root").alias("family")))
         whole = written(held.select(F.col("family").alias("g"), "doc_id", "comp").distinct())
         by_family, by_key = written(open_groups(whole, block)), written(open_groups(held, block, "family"))
@@ -138,7 +140,7 @@ def components_by_meeting(docs: DataFrame, entries: DataFrame, found: Links, *,
         earlier = roots
         roots = connected_components(links_at(met_again).unionByName(earlier.toDF("a", "b")))
         dropped(stars, rays, held, whole, by_family, by_key, dearer, met_again, earlier)
-    dropped(hubs, near, families, counted, placed, met)
+    dropped(shared, near, families, counted, placed, met)
     return roots
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import HashCache, dropped, mixed, portions, written
+from trackweave.llm.common import HASHED, HashCache, dropped, mixed, portions, written
 from trackweave.llm.meeting import Forest, components_by_meeting, named_components, shingles
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     docs = docs.select("doc_id", "text")
     sized = written(banded(docs, k, bands, rows))
     classes = written(sized.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    entries = sized.join(classes, ["digest", "doc_id"], "left_semi").select("doc_id", F.lit(0).cast("short").alias("class"), F.explode("keys").alias("key"))
+    entries = sized.join(classes.hint(HASHED), ["digest", "doc_id"], "left_semi").select("doc_id", F.lit(0).cast("short").alias("class"), F.explode("keys").alias("key"))
     roots = components_by_meeting(docs, entries, lambda sets, sides, known: verified_links(sets, sides, num, den, bands * rows, sigmas, known), k=k, block=block)
     out = named_components(sized, classes, roots)
     dropped(roots, classes)
