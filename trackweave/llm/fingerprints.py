@@ -77,7 +77,12 @@ def summed(cells: Column) -> Column:
 
     def runs(e: Column) -> Column:
         first_of_run = F.filter(F.when(F.size(e) > 0, F.sequence(F.lit(0), F.size(e) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.when(i == 0, True).otherwise(F.get(e, i)["c"] != F.get(e, i - 1)["c"]))
-        return let(first_of_run, lambda s: F.transform(s, lambda at, j: total(F.slice(e, at + 1, F.coalesce(F.get(s, j + 1), F.size(e)) - at))))
+
+        def cell(at: Column, end: Column) -> Column:
+            """Most cells have one entry, which is their sum."""
+            return F.when(end - at == 1, F.get(e, at)).otherwise(total(F.slice(e, at + 1, end - at)))
+
+        return let(first_of_run, lambda s: F.transform(s, lambda at, j: cell(at, F.coalesce(F.get(s, j + 1), F.size(e)))))
 
     return F.filter(let(F.sort_array(cells), runs), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
@@ -101,12 +106,23 @@ def peeled(cells: Column, width: Column) -> Column:
     """(cells left, signed digests recovered) after peeling a difference."""
     none = F.array().cast("array<struct<k:bigint,n:bigint>>")
 
+    def alone(x: Column) -> Column:
+        return (F.abs(x["n"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit(99)))
+
+    def given(left: Column, sign: int) -> Column:
+        """The distinct digests of one side that cells give up."""
+        keys = F.array_distinct(F.transform(F.filter(left, lambda x: (x["n"] == sign) & alone(x)), lambda x: x["k"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(sign).cast("long").alias("n")))
+
+    def without(left: Column, found: Column) -> Column:
+        """A cell that gives up its digest is empty then; the others lose those digests that they have a part of."""
+        rest = F.filter(left, lambda x: ~alone(x))
+        gone = entries(F.transform(found, lambda x: F.struct(x["k"].alias("k"), (-x["n"]).alias("n"))), width)
+        return let(rest, lambda r: F.when(F.size(r) == 0, r).otherwise(let(F.transform(r, lambda x: x["c"]), lambda cs: summed(F.concat(r, F.filter(gone, lambda x: F.array_contains(cs, x["c"])))))))
+
     def peel(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["left"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit(99)))), lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(
-            summed(F.concat(state["left"], entries(F.transform(p, lambda x: F.struct(x["k"].alias("k"), (-x["n"]).alias("n"))), width))).alias("left"),
-            F.concat(state["found"], p).alias("found"),
-        )))
+        pure = F.when(F.size(state["left"]) == 0, none).otherwise(F.concat(given(state["left"], 1), given(state["left"], -1)))
+        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(without(state["left"], p).alias("left"), F.concat(state["found"], p).alias("found"))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("left"), none.alias("found")), peel)
 
