@@ -191,3 +191,23 @@ def test_clicks_of_many_frames_meet_on_the_hub(spark):
     assert {r["verdict"] for r in thin} == {"thin"}
     few = registration.fused_calibration(df.where("name in ('circle_s', 'circle_n')"), registrations, points, lines).collect()
     assert {r["verdict"] for r in few} == {"undetermined"}
+
+
+def test_overlap_of_a_frame_by_sampling(spark):
+    rng = np.random.default_rng(12)
+    quads, want = [], {}
+    xs, ys = np.meshgrid((np.arange(300) + 0.5) / 300 * 60, (np.arange(200) + 0.5) / 200 * 40)
+    for i in range(60):
+        turn, middle, size = rng.uniform(0, 6.28), rng.uniform(-10, 60, 2), rng.uniform(5, 60, 2)
+        corners = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * size / 2
+        quad = corners @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]]) + middle
+        inside = np.ones(xs.shape, bool)
+        for p, q in zip(quad, np.roll(quad, -1, axis=0)):
+            inside &= (q[0] - p[0]) * (ys - p[1]) - (q[1] - p[1]) * (xs - p[0]) >= 0
+        quads.append((i, [tuple(map(float, p)) for p in (quad if i % 6 else quad[::-1])]))
+        want[i] = inside.mean() if i % 6 else 0.0
+    quads += [(100, None), (101, []), (102, [(0.0, 0.0), (5.0, 5.0)]), (103, [(0.0, 0.0), (60.0, 0.0), (0.0, 40.0)]), (104, [(float("nan"), 0.0)] * 4)]
+    want |= {100: 0.0, 101: 0.0, 102: 0.0, 103: 0.5, 104: 0.0}
+    got = {r["i"]: r["overlap"] for r in planes.rectangle_overlap(spark.createDataFrame(quads, "i int, quad array<struct<x:double,y:double>>"), "quad", 60.0, 40.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.01 for i in want)
+    assert sum(0.02 < v < 0.98 for v in want.values()) > 15

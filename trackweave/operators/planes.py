@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def line_through(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -18,37 +23,54 @@ def line_distance(line: Column, x: Column, y: Column) -> Column:
     return F.abs(line["a"] * x + line["b"] * y + line["c"])
 
 
-def clipped(polygon: Column, a: float, b: float, c: float) -> Column:
-    """The part of a convex polygon (array of x, y) where a * x + b * y + c >= 0, corner by corner."""
-    side = lambda p: a * p["x"] + b * p["y"] + c
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-
-    def kept(p: Column, i: Column) -> Column:
-        q = F.element_at(polygon, ((i + 1) % F.size(polygon) + 1).cast("int"))
-        t = side(p) / (side(p) - side(q))
-        cut = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
-        own = F.when(side(p) >= 0, F.array(point(p["x"], p["y"]))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-        return F.when((side(p) >= 0) != (side(q) >= 0), F.concat(own, F.array(cut))).otherwise(own)
+def clipped(polygons: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
+    """The part of each convex polygon (n x m x 2) where a * x + b * y + c >= 0, as n x (m + 1) x 2.
 
-    return F.flatten(F.transform(polygon, kept))
+    Places that a polygon doesn't need repeat its first corner, which changes no area; one with nothing left is a point.
+    """
+    n, m, _ = polygons.shape
+    after = np.roll(polygons, -1, axis=1)
+    here, there = (p[..., 0] * a + p[..., 1] * b + c for p in (polygons, after))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = polygons + (here / (here - there))[..., None] * (after - polygons)
+    corners = np.stack([polygons, cut], axis=2).reshape(n, 2 * m, 2)
+    keep = np.stack([here >= 0, (here >= 0) != (there >= 0)], axis=2).reshape(n, 2 * m)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : m + 1]
+    out, kept = np.take_along_axis(corners, order[..., None], axis=1), np.take_along_axis(keep, order, axis=1)
+    return np.where(kept[..., None], out, np.where(kept[:, :1, None], out[:, :1], 0.0))
 
 
-def area(polygon: Column) -> Column:
-    """Signed area of a polygon; negative when its corners turn the other way (a mirrored projection)."""
-    cross = lambda p, i: p["x"] * F.element_at(polygon, ((i + 1) % F.size(polygon) + 1).cast("int"))["y"] - p["y"] * F.element_at(polygon, ((i + 1) % F.size(polygon) + 1).cast("int"))["x"]
-    return F.aggregate(F.transform(polygon, cross), F.lit(0.0), lambda s, v: s + v) / 2
+def areas(polygons: np.ndarray) -> np.ndarray:
+    """Signed area of each polygon; negative when its corners turn the other way (a mirrored projection)."""
+    after = np.roll(polygons, -1, axis=1)
+    return (polygons[..., 0] * after[..., 1] - polygons[..., 1] * after[..., 0]).sum(axis=1) / 2
 
 
 def rectangle_overlap(frames: DataFrame, polygon: str, width: float, height: float) -> DataFrame:
-    """``overlap``: the share of a width x height frame that a convex quadrilateral covers, 0 for a mirrored one.
+    """``overlap``: the share of a width x height frame that a convex polygon (array of x, y) covers; 0 for a mirrored one, for fewer
+    than three corners and for none. A polygon that isn't convex may come out open.
 
-    One half plane is clipped in each projection, so the plan stays shallow.
+    All polygons of a batch with as many corners are clipped at once, one half plane after the other.
     """
-    out = frames.withColumn("_p", F.col(polygon))
-    for a, b, c in ((1.0, 0.0, 0.0), (-1.0, 0.0, width), (0.0, 1.0, 0.0), (0.0, -1.0, height)):
-        out = out.withColumn("_p", clipped(F.col("_p"), a, b, c))
-    inside = F.when((area(F.col(polygon)) <= 0) | (F.size("_p") < 3), F.lit(0.0)).otherwise(F.abs(area(F.col("_p"))) / (width * height))
-    return out.withColumn("overlap", inside).drop("_p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(polygon))
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            corners = column.flatten()
+            values = np.stack([corners.field(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in map(corners.type.get_field_index, ("x", "y"))], axis=1) if len(corners) else np.empty((0, 2))
+            starts, share = np.cumsum(sizes) - sizes, np.zeros(batch.num_rows)
+            for size in np.unique(sizes[sizes > 2]):
+                rows = np.flatnonzero(sizes == size)
+                whole = values[starts[rows][:, None] + np.arange(size)]
+                left = whole
+                for plane in ((1.0, 0.0, 0.0), (-1.0, 0.0, width), (0.0, 1.0, 0.0), (0.0, -1.0, height)):
+                    left = clipped(left, *plane)
+                found = np.abs(areas(left)) / (width * height)
+                share[rows] = np.where((areas(whole) > 0) & np.isfinite(found), found, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], names=[*batch.schema.names, "overlap"])
+
+    return frames.mapInArrow(run, T.StructType([*frames.schema.fields, T.StructField("overlap", T.DoubleType())]))
 
 
 def corner_disagreement(a: Column, b: Column) -> Column:
