@@ -1,7 +1,10 @@
 import hashlib
+import random
 
+import pyarrow as pa
 from test_suffix_dedup import repeated_id_rows
 
+from trackweave.llm.common import word_units
 from trackweave.llm.substring_dedup import repeated_spans, substring_dedup
 
 
@@ -71,3 +74,21 @@ def test_rows_with_one_id_are_judged_each_by_itself(spark):
         want.append((i, len(split), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(split) if k not in gone)).hexdigest()))
     got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_words_are_hashed_by_column_as_by_themselves():
+    """Slices, nulls, blanks, words around the length of a block and of ``LONG_WORD``, and white space that only Unicode knows."""
+    rng = random.Random(5)
+    some = [None, "", " ", "a", "é ü\x1c\x1f z q", "\t\n\x0b\x0c\r w", "12345678 123456789", *["x" * n for n in (7, 8, 9, 255, 256, 257, 600)]]
+    texts = [" ".join(str(rng.choice(some) or "") for _ in range(rng.randrange(4))) if rng.random() < 0.7 else None for _ in range(400)]
+    for size in (1, 50, 1 << 22):
+        found = list(word_units(pa.array(["left out", *texts], pa.string())[1:], size))
+        assert len(found) == len(texts)
+        told = {}
+        for text, units in zip(texts, found):
+            words = (text or "").encode().split()
+            assert len(words) == len(units)
+            for word, unit in zip(words, units.tolist()):
+                assert told.setdefault(word, unit) == unit
+        assert len(set(told.values())) == len(told)
+    assert list(word_units(pa.array([], pa.string()))) == []

@@ -116,6 +116,68 @@ def word_hashes(words: list[bytes], cache: HashCache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Which bytes are ASCII white space.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+#: Words up to so many bytes are hashed together, eight bytes at a time; longer ones each by itself.
+LONG_WORD = 256
+
+
+def binary_texts(texts: pa.Array) -> pa.Array:
+    """The texts' UTF-8 bytes, those of a null empty."""
+    return texts.fill_null("").cast(pa.large_binary())
+
+
+def word_units(texts: pa.Array, size: int = 1 << 22) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words (runs of bytes other than ASCII white space), without a Python object a word.
+
+    Texts are taken together in stretches of about ``size`` bytes of the column, a longer text by itself. Words of up to
+    eight bytes never share a hash with others of their length.
+    """
+    column = binary_texts(texts)
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+    at = 0
+    while at < len(column):
+        last = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        bounds = offsets[at : last + 1] - offsets[at]
+        starts, hashes = _hashed_words(data[offsets[at] : offsets[last]], bounds)
+        cuts = np.searchsorted(starts, bounds)
+        yield from (hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+        at = last
+
+
+def _hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all words of ``data``; none crosses one of the ``bounds``."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    word = ~_SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    eight = np.ndarray(n + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    hashes = sizes.astype(np.uint64) * _ODD[0]
+    rows = np.flatnonzero(sizes <= LONG_WORD)
+    done = 0
+    while len(rows):
+        left = np.minimum(sizes[rows] - done, 8).astype(np.uint64)
+        part = eight[starts[rows] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        hashes[rows] = mixed(hashes[rows] ^ part)
+        done += 8
+        rows = rows[sizes[rows] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return starts, hashes
+
+
 def portions(texts: pa.Array, chars: int = 1 << 22) -> Iterator[list[str | None]]:
     """The texts of a batch in lists of about ``chars`` characters, so long texts are not all taken apart at once."""
     held, size = [], 0

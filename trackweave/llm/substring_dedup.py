@@ -32,28 +32,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.anchors import distinct_rows, exact_copies, repeated_anchors, repeated_ids, window_anchors, with_version, without
-from trackweave.llm.common import HASHED, HashCache, dropped, longer, mixed, raw_hashes, window_hashes, word_hashes, written
+from trackweave.llm.common import HASHED, binary_texts, dropped, longer, mixed, raw_hashes, window_hashes, word_units, written
 
 ANCHOR_WORDS = 5
 #: End of a span that takes all of its document.
 WHOLE = 2**31 - 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def anchors_of(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     k = min(ANCHOR_WORDS, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
         for batch in batches:
-            found = []
-            for text in batch.column(2):
-                units = word_hashes(words_of(text.as_py()), cache)
-                found.append(np.unique(window_anchors(window_hashes(units, k), width - k + 1)))
+            found = [np.unique(window_anchors(window_hashes(units, k), width - k + 1)) for units in word_units(batch.column(2))]
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values), *[batch.column(c).take(pa.array(owner)) for c in (0, 1)]], names=["anchor", "doc_id", "version"])
@@ -67,11 +59,9 @@ def occurrences(docs: DataFrame, repeated: DataFrame, width: int, hash_bits: int
     k = min(ANCHOR_WORDS, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
         for batch in batches:
             edges, froms, tos, places, owner = [], [], [], [], []
-            for i, (text, anchors) in enumerate(zip(batch.column(2), batch.column(3))):
-                units = word_hashes(words_of(text.as_py()), cache)
+            for i, (units, anchors) in enumerate(zip(word_units(batch.column(2)), batch.column(3))):
                 wanted = np.unique(anchors.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 of_window = window_anchors(window_hashes(units, k), width - k + 1)
                 at = np.flatnonzero(np.isin(of_window, wanted))
@@ -113,8 +103,8 @@ def span_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places, counts, found = [], [], [], []
-            for i, (text, stretches) in enumerate(zip(batch.column(2), batch.column(3))):
-                words = words_of(text.as_py())
+            for i, (text, stretches) in enumerate(zip(binary_texts(batch.column(2)), batch.column(3))):
+                words = text.as_py().split()
                 for s in stretches.as_py():
                     rows.append(i)
                     places.append(s["at"])
@@ -203,17 +193,19 @@ def without_spans(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, shas, kept = [], [], [], []
-            for text, parts in zip(batch.column(1), batch.column(2)):
-                words = words_of(text.as_py())
-                stay = np.ones(len(words), dtype=bool)
-                for part in (parts.as_py() or ()) if len(words) >= width else ():
-                    stay[part["start"] : part["end"]] = False
-                left = b" ".join([words[i] for i in np.flatnonzero(stay)])
+            for text, parts in zip(binary_texts(batch.column(1)), batch.column(2)):
+                words = text.as_py().split()
+                stay, at = [], 0
+                for start, end in sorted((p["start"], p["end"]) for p in (parts.as_py() or ()) if len(words) >= width):
+                    stay += words[at:start]
+                    at = max(at, end)
+                stay += words[at:]
+                left = b" ".join(stay)
                 sizes.append(len(words))
-                gone.append(len(words) - int(stay.sum()))
+                gone.append(len(words) - len(stay))
                 shas.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                kept.append(left)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     several = repeated_ids(docs)
     listed = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
