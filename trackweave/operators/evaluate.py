@@ -78,6 +78,19 @@ def threshold_sweep(rows: DataFrame, feature: str, good: Column, cuts: DataFrame
     return joined.groupBy("cut").agg(F.sum(F.when(keep, F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(~keep, F.col("n") - F.col("g")).otherwise(0)).alias("bad_dropped"), F.sum(F.when(~keep, F.col("g")).otherwise(0)).alias("good_lost"))
 
 
+def feature_sweep(rows: DataFrame, features: dict[str, tuple[float, float]], good: Column, steps: int = 4) -> DataFrame:
+    """feature, cut, kept, bad_dropped, good_lost: what a threshold on each feature would keep and cost, at ``steps`` even cuts of its range.
+
+    A null feature reaches no cut; a row whose ``good`` is null is neither good nor bad. All cuts are counted in one pass
+    without a row for each of them, and only their counts leave the tasks.
+    """
+    cuts = [(f, low + (high - low) * i / max(1, steps - 1)) for f, (low, high) in features.items() for i in range(steps)]
+    reach = [F.coalesce(F.col(f) >= cut, F.lit(False)) for f, cut in cuts]
+    counts = rows.agg(*[F.struct(F.count_if(r).alias("kept"), F.count_if(~r & ~good).alias("bad_dropped"), F.count_if(~r & good).alias("good_lost")).alias(f"c{i}") for i, r in enumerate(reach)])
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(float(cut)).alias("cut"), *[F.col(f"c{i}.{k}").alias(k) for k in ("kept", "bad_dropped", "good_lost")]) for i, (f, cut) in enumerate(cuts)]
+    return counts.select(F.inline(F.array(*cells)))
+
+
 def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column]:
     """Precision and recall, 0 where nothing was found or there was nothing to find."""
     return F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
