@@ -108,10 +108,10 @@ def matched_counts(found: np.ndarray, truth: np.ndarray, least: float = 0.5) ->
 
 
 def match_rates(rows: DataFrame, keys: list[str], is_truth: str, order: str, least: float = 0.5) -> DataFrame:
-    """tp, fp and fn of each image: detections in order against the truth boxes."""
+    """tp, fp and fn of each image: detections in order against the truth boxes, those at one place of the order by box."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.iloc[np.lexsort(pdf[BOX].to_numpy(float).T[::-1])].sort_values(order, kind="stable")
         t = pdf[is_truth].to_numpy(bool)
         tp, fp, fn = matched_counts(pdf.loc[~t, BOX].to_numpy(float), pdf.loc[t, BOX].to_numpy(float), least)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "tp": [tp], "fp": [fp], "fn": [fn]})
@@ -200,12 +200,12 @@ def covers(edges: DataFrame, clip: str, want: int) -> DataFrame:
 def without_conflicts(rows: DataFrame, keys: list[str], name: str, strength: str, least: float = 0.95, drop_both: bool = False) -> DataFrame:
     """Fused labels of a frame without those that sit on one another.
 
-    Pairs in name order; a pair with a dropped label is skipped; of a pair the weaker goes
+    Pairs in name order, of one name the stronger first, then by box; a pair with a dropped label is skipped; of a pair the weaker goes
     (the second on a tie), or both.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(name, kind="stable")
+        pdf = pdf.iloc[np.lexsort((*pdf[BOX].to_numpy(float).T[::-1], -pdf[strength].to_numpy(float)))].sort_values(name, kind="stable")
         b, s = pdf[BOX].to_numpy(float), pdf[strength].to_numpy(float)
         low, high = np.maximum(b[:, None, :2], b[None, :, :2]), np.minimum(b[:, None, 2:], b[None, :, 2:])
         inter = np.clip(high - low, 0, None).prod(axis=2)

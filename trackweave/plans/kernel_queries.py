@@ -1,4 +1,4 @@
-"""Queries over order-dependent and numeric kernels; SQL has no form for these, tests hold them against brute force."""
+"""Queries over order-dependent and numeric kernels: SQL by recursion where it can go row by row, tests against brute force for the others."""
 
 from __future__ import annotations
 
@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators import assign, court
-from trackweave.plans.inputs import events, line_boxes
+from trackweave.plans.inputs import BOXES_SQL, events, line_boxes
 from trackweave.plans.registry import query, table
 from trackweave.streaming import stateful
 
 
-@query()
+def _inter(a: str, b: str) -> str:
+    return f"(greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0))"
+
+
+def _size(a: str) -> str:
+    return f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1))"
+
+
+def _iou(a: str, b: str) -> str:
+    return f"({_inter(a, b)} / ({_size(a)} + {_size(b)} - {_inter(a, b)}))"
+
+
+@query(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY l_extendedprice DESC, tid) AS i FROM b),
+s AS (SELECT frame, i, tid, x1, y1, x2, y2, l_extendedprice, true AS kept, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS held FROM o WHERE i = 1
+ UNION ALL SELECT o.frame, o.i, o.tid, o.x1, o.y1, o.x2, o.y2, o.l_extendedprice, k.kept, CASE WHEN k.kept THEN list_append(s.held, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) ELSE s.held END FROM s JOIN o ON o.frame = s.frame AND o.i = s.i + 1, LATERAL (SELECT NOT EXISTS (SELECT 1 FROM (SELECT unnest(s.held) AS t) WHERE {_iou("o", "t")} > 0.5) AS kept) k)
+SELECT frame, tid, x1, y1, x2, y2, l_extendedprice FROM s WHERE kept""")
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = line_boxes(spark, sf_dir).select("frame", "tid", "x1", "y1", "x2", "y2", "l_extendedprice")
     return assign.suppressed(boxes, ["frame"], "l_extendedprice", "tid", 0.5)
@@ -25,7 +40,12 @@ def roster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.assigned(v, ["club"], "tid", "number", "votes", 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY tid, x1, y1, x2, y2) AS i FROM b),
+p AS (SELECT d.frame, d.i, t.i AS j, {_iou("d", "t")} AS iou FROM o d JOIN o t ON d.frame = t.frame AND d.tid % 2 = 1 AND t.tid % 2 = 0 WHERE {_iou("d", "t")} >= 0.5),
+c AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY i) AS k FROM (SELECT frame, i, list(j ORDER BY iou DESC, j) AS js FROM p GROUP BY frame, i)),
+r AS (SELECT frame, k, [js[1]] AS taken FROM c WHERE k = 1 UNION ALL SELECT c.frame, c.k, list_concat(r.taken, list_filter(c.js, lambda j: NOT list_contains(r.taken, j))[1:1]) FROM r JOIN c ON c.frame = r.frame AND c.k = r.k + 1),
+n AS (SELECT frame, max(len(taken)) AS tp FROM r GROUP BY frame), g AS (SELECT frame, count(*) FILTER (tid % 2 = 1) AS found, count(*) FILTER (tid % 2 = 0) AS truth FROM b GROUP BY frame)
+SELECT frame, coalesce(tp, 0) AS tp, found - coalesce(tp, 0) AS fp, truth - coalesce(tp, 0) AS fn FROM g LEFT JOIN n USING (frame)""")
 def detection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = line_boxes(spark, sf_dir).select("frame", "tid", "x1", "y1", "x2", "y2", (F.col("tid") % 2 == 0).alias("truth"))
     return assign.match_rates(boxes, ["frame"], "truth", "tid", 0.5)
@@ -39,13 +59,21 @@ def tracklet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.tracklet_merges(lives, "clip", 1, 3)
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT l_orderkey // 1000 AS clip, l_suppkey AS key, list(DISTINCT l_partkey % 200) AS members FROM lineitem GROUP BY ALL),
+s AS (SELECT DISTINCT clip, NULL::BIGINT AS key, 0::BIGINT AS rank, []::BIGINT[] AS seen FROM k
+ UNION ALL SELECT clip, key, rank + 1, list_concat(seen, news) FROM (SELECT s.clip, k.key, s.rank, s.seen, list_filter(k.members, lambda m: NOT list_contains(s.seen, m)) AS news FROM s JOIN k ON k.clip = s.clip WHERE s.rank < 12) WHERE len(news) > 0 QUALIFY row_number() OVER (PARTITION BY clip ORDER BY len(news) DESC, key) = 1)
+SELECT clip, key, rank FROM s WHERE rank > 0""")
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("clip"), F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 200).alias("member")).distinct()
     return assign.covers(edges, "clip", 12)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY tid, l_quantity DESC, x1, y1, x2, y2) AS i FROM b),
+p AS (SELECT c.frame, c.i, d.i AS j, c.l_quantity < d.l_quantity AS weaker, row_number() OVER (PARTITION BY c.frame ORDER BY c.i, d.i) AS k FROM o c JOIN o d ON c.frame = d.frame AND c.i < d.i WHERE {_inter("c", "d")} / least({_size("c")}, {_size("d")}) >= 0.8),
+r AS (SELECT frame, k, [CASE WHEN weaker THEN i ELSE j END] AS gone FROM p WHERE k = 1
+ UNION ALL SELECT p.frame, p.k, CASE WHEN list_contains(r.gone, p.i) OR list_contains(r.gone, p.j) THEN r.gone ELSE list_append(r.gone, CASE WHEN p.weaker THEN p.i ELSE p.j END) END FROM r JOIN p ON p.frame = r.frame AND p.k = r.k + 1),
+n AS (SELECT frame, arg_max(gone, k) AS gone FROM r GROUP BY frame)
+SELECT frame, tid, x1, y1, x2, y2, l_quantity FROM o LEFT JOIN n USING (frame) WHERE NOT coalesce(list_contains(gone, i), false)""")
 def fusion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = line_boxes(spark, sf_dir).select("frame", "tid", "x1", "y1", "x2", "y2", "l_quantity")
     return assign.without_conflicts(boxes, ["frame"], "tid", "l_quantity", 0.8)
