@@ -66,3 +66,15 @@ def test_lifecycle_and_carry_over(spark):
     new = spark.createDataFrame([(1, "P1"), (2, "P2")], "id int, name string")
     old = spark.createDataFrame([(1, "Ann")], "id int, name string")
     assert sorted(map(tuple, runs.carried_over(new, old, ["id"], ["name"]).collect())) == [(1, "Ann"), (2, "P2")]
+
+
+def test_decimals_are_rounded_by_a_double_s_exact_value(spark):
+    import random
+
+    rng = random.Random(5)
+    hours = [3.55, 1.65, 2.25, 1.75, 0.05, 123456.85, *(rng.randrange(150, 9999) / 100 for _ in range(300))]
+    seconds = [x * 3600 for x in hours] + [12780.0, 0.5, 1.5, 88.5, 89.5, 150.0, 210.0, 5399.0, 2.5 * 60 * 3, 1e17, float("inf")]
+    rows = spark.createDataFrame(list(enumerate(seconds)), "i int, s double").select("i", names.eta_text(F.col("s")).alias("e"), names.tenths_clock(F.when(F.col("s") < 1e9, F.col("s"))).alias("t")).orderBy("i").collect()
+    eta = lambda s: f"{s:.0f}s" if s < 90 else f"{s / 60:.0f}m" if s < 5400 else f"{s / 3600:.1f}h" if s < 1e99 else "Infinityh"
+    assert [r.e for r in rows] == [eta(s) for s in seconds]
+    assert [r.t for r in rows[:-2]] == [f"{int(s // 60)}:{s - s // 60 * 60:04.1f}" for s in seconds[:-2]]

@@ -49,15 +49,35 @@ def padded_clock(seconds: Column, rounded: bool = False) -> Column:
     return F.format_string("%02d:%02d", F.floor(seconds / 60).cast("int"), (F.floor(part + 0.5) if rounded else F.floor(part)).cast("int"))
 
 
+def tenths(x: Column) -> Column:
+    """Number of tenths nearest to a double, the even one half-way, judged by its exact value as C's %.1f does.
+
+    Spark's format_string rounds the shortest decimal half up: 3.55, just under it as a double, becomes 3.6. Here
+    x * 20 - (2 * low + 1) is added up from parts without a rounding error near 0.
+    """
+    low = F.floor(x * 10)
+    middle = (2 * low + 1).cast("double")
+    side = (x * 16 - middle) + x * 4
+    return F.when((side > 0) | ((side == 0) & (low % 2 != 0)), low + 1).otherwise(low)
+
+
+def one_decimal(x: Column) -> Column:
+    """A number not below 0 as text with one decimal."""
+    text = F.concat(F.floor(tenths(x) / 10).cast("string"), F.lit("."), (tenths(x) % 10).cast("string"))
+    return F.when(x < 1e14, text).otherwise(F.format_string("%.1f", x))  # beyond, tenths are no doubles
+
+
 def tenths_clock(seconds: Column) -> Column:
     """``m:ss.s``, as a player's timeline shows it."""
-    return F.format_string("%d:%04.1f", F.floor(seconds / 60).cast("int"), (seconds - F.floor(seconds / 60) * 60).cast("double"))
+    part = (seconds - F.floor(seconds / 60) * 60).cast("double")
+    return F.concat(F.floor(seconds / 60).cast("int").cast("string"), F.lit(":"), F.lpad(one_decimal(part), 4, "0"))
 
 
 def eta_text(seconds: Column) -> Column:
     """Seconds under 90, minutes under 5400, else hours with a tenth; a dash for what is unknown or negative."""
     known = seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0)
-    text = F.when(seconds < 90, F.format_string("%.0fs", seconds)).when(seconds < 5400, F.format_string("%.0fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+    whole = lambda x: F.rint(x).cast("bigint").cast("string")
+    text = F.when(seconds < 90, F.concat(whole(seconds), F.lit("s"))).when(seconds < 5400, F.concat(whole(seconds / 60), F.lit("m"))).otherwise(F.concat(one_decimal(seconds / 3600), F.lit("h")))
     return F.when(known, text).otherwise(F.lit("-"))
 
 
