@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -207,3 +208,24 @@ def test_frames_are_calibrated_by_batches_as_one_by_one(spark):
         assert (got[f].reason, got[f].solved) == (reason, h is not None)
         assert np.isnan(error) and np.isnan(got[f].rms_px) or abs(error - got[f].rms_px) < 1e-6
         assert h is None or np.allclose(np.array(got[f].h).reshape(3, 3), h, rtol=1e-5, atol=1e-6)
+
+
+def test_tracker_ranks_only_pairs_inside_the_gate():
+    rng = np.random.default_rng(9)
+    tracker, live, nxt = stateful.CourtTracker(), {}, 1
+    for _ in range(40):
+        points = rng.uniform(0, 12, (25, 2))
+        pairs = sorted((float(np.hypot(s[0] + s[2] - p[0], s[1] + s[3] - p[1])), i, t) for t, s in tracker.live.items() for i, p in enumerate(points))
+        want, used = {}, set()
+        for d, i, t in pairs:
+            if d <= tracker.gate and i not in want and t not in used:
+                want[i] = t
+                used.add(t)
+        first = tracker.nxt
+        got = tracker.step(points)
+        assert {i: t for i, t in enumerate(got) if t < first} == want
+    began = time.perf_counter()
+    wide = stateful.CourtTracker()
+    for _ in range(6):
+        wide.step(rng.uniform(0, 2000, (400, 2)))
+    assert time.perf_counter() - began < 4, "two thousand tracks and 400 points a frame"

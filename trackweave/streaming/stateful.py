@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackweave.operators.tasks import spread
+
 
 @dataclass
 class CourtTracker:
@@ -23,11 +25,13 @@ class CourtTracker:
     def step(self, points: np.ndarray) -> list[int]:
         """Track ids of one frame's points."""
         ids = [0] * len(points)
-        pairs = sorted((float(np.hypot(s[0] + s[2] - p[0], s[1] + s[3] - p[1])), i, t) for t, s in self.live.items() for i, p in enumerate(points))
+        tids = np.array(sorted(self.live), dtype=np.int64)
+        ahead = np.array([[s[0] + s[2], s[1] + s[3]] for s in map(self.live.get, tids.tolist())]).reshape(-1, 2)
+        far = np.hypot(ahead[None, :, 0] - points[:, None, 0], ahead[None, :, 1] - points[:, None, 1])
+        at, of = np.nonzero(far <= self.gate)  # by point, then track: pairs beyond the gate never count
+        order = np.argsort(far[at, of], kind="stable")
         taken: set[int] = set()
-        for d, i, t in pairs:
-            if d > self.gate:
-                break
+        for i, t in zip(at[order].tolist(), tids[of[order]].tolist()):
             if ids[i] or t in taken:
                 continue
             ids[i] = t
@@ -46,10 +50,11 @@ class CourtTracker:
         return ids
 
     def frames(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, f in pdf.sort_values(["frame", "point"]).groupby("frame", sort=True):
-            parts.append(f.assign(tid=self.step(f[["x", "y"]].to_numpy(float))))
-        return pd.concat(parts) if parts else pdf.assign(tid=pd.Series(dtype="int64"))
+        pdf = pdf.dropna(subset=["frame"]).sort_values(["frame", "point"])
+        frame, points = pdf["frame"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
+        starts = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]][: len(frame)]).tolist()
+        tids = [t for a, b in zip(starts, [*starts[1:], len(frame)]) for t in self.step(points[a:b])]
+        return pdf.assign(tid=np.array(tids, dtype="int64"))
 
 
 TRACKED = "clip {kind}, frame bigint, point bigint, x double, y double, tid bigint"
@@ -59,7 +64,7 @@ _COLUMNS = ["clip", "frame", "point", "x", "y", "tid"]
 def tracked(points: DataFrame) -> DataFrame:
     """clip, frame, point, x, y with ``tid``, each clip by itself in frame order."""
     schema = TRACKED.format(kind=points.schema["clip"].dataType.simpleString())
-    return points.groupBy("clip").applyInPandas(lambda pdf: CourtTracker().frames(pdf)[_COLUMNS], schema)
+    return spread(points, "clip").groupBy("clip").applyInPandas(lambda pdf: CourtTracker().frames(pdf)[_COLUMNS], schema)
 
 
 def tracked_stream(points: DataFrame) -> DataFrame:
@@ -134,4 +139,4 @@ def contacts(rows: DataFrame, clip: str, reach: float, silence: int, least: int)
         out = chained_contacts(pdf, reach, silence, least)
         return out.assign(**{clip: pdf[clip].iloc[0]})[[clip, "start", "end"]]
 
-    return rows.groupBy(clip).applyInPandas(run, f"`{clip}` {rows.schema[clip].dataType.simpleString()}, start bigint, end bigint")
+    return spread(rows, clip).groupBy(clip).applyInPandas(run, f"`{clip}` {rows.schema[clip].dataType.simpleString()}, start bigint, end bigint")
