@@ -276,3 +276,46 @@ def test_a_batch_written_twice_or_left_unfinished_changes_nothing(spark, tmp_pat
 @pytest.mark.parametrize("operator, schema", [(stitching.reseeded, SEED_SCHEMA), (shots.shots, FLAGS), (heartbeat.pulses, UPDATES), (lambda d: pictures.picture_changes(d, cells=4), PICTURES)])
 def test_empty_tables(spark, operator, schema):
     assert operator(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_seeds_without_a_choice_and_with_one_take_what_the_assignment_takes(monkeypatch):
+    from trackweave.operators.assign import best_assignment, iou_matrix
+
+    rng = np.random.default_rng(8)
+    asked = []
+    monkeypatch.setattr(stitching, "best_assignment", lambda w: asked.append(w.shape) or best_assignment(w))
+    for k in range(300):
+        at = rng.uniform(0, 4000 if k % 2 else 150, (6, 2))
+        tracks, boxes = np.c_[at, at + 100], np.c_[at, at + 100][rng.permutation(6)[: k % 6 + 1]] + rng.integers(-60, 60)
+        over = iou_matrix(tracks, boxes)
+        want = {j: i for i, j in best_assignment(over) if over[i, j] >= 0.2}
+        got = stitching.stitched(tracks, boxes, reach=0.0)
+        assert got == [want.get(j) for j in range(len(boxes))]
+    assert sum(s[0] > 1 for s in asked) < 500, "frames without a choice need no assignment"
+
+
+def test_single_rows_take_their_greatest_weight():
+    from trackweave.operators.assign import best_assignment
+
+    assert best_assignment(np.array([[1.0, 3.0, 3.0]])) == [(0, 1)] and best_assignment(np.array([[1.0], [3.0]])) == [(1, 0)]
+    assert best_assignment(np.empty((1, 0))) == [] and best_assignment(np.empty((0, 0))) == []
+
+
+def test_small_tables_are_assigned_as_large_ones(monkeypatch):
+    from trackweave.operators import assign
+
+    rng = np.random.default_rng(10)
+    tables = [np.round(rng.uniform(-3, 3, rng.integers(1, 9, 2)), rng.integers(0, 4)) for _ in range(300)]
+    small = [assign.best_assignment(w) for w in tables]
+    monkeypatch.setattr(assign, "SMALL", -1)
+    assert small == [assign.best_assignment(w) for w in tables]
+
+
+def test_few_and_many_boxes_overlap_alike(monkeypatch):
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        a, b = (np.c_[p, p + rng.integers(0, 9, p.shape)].astype(float) for p in (rng.integers(0, 20, (6, 2)), rng.integers(0, 20, (7, 2))))
+        few = stitching._overlaps(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(stitching, "SMALL", 0)
+            assert few == stitching._overlaps(a, b)

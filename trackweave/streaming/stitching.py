@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trackweave.operators.assign import BOX, best_assignment, iou_matrix
+from trackweave.operators.assign import BOX, SMALL, best_assignment, iou_matrix
+from trackweave.operators.tasks import spread
 
 
 def stitched(tracks: np.ndarray, boxes: np.ndarray, overlap: float = 0.2, reach: float = 250.0) -> list[int | None]:
@@ -23,21 +24,44 @@ def stitched(tracks: np.ndarray, boxes: np.ndarray, overlap: float = 0.2, reach:
     out: list[int | None] = [None] * len(boxes)
     if not len(tracks) or not len(boxes):
         return out
-    over = iou_matrix(tracks, boxes)
-    for i, j in best_assignment(over):
-        if over[i, j] >= overlap:
+    met = _overlaps(tracks, boxes)
+    alone = len({i for i, _ in met}) == len(met) == len({j for _, j in met})  # nothing overlaps two others: there is but one choice
+    if not alone or overlap <= 0:
+        over = iou_matrix(tracks, boxes)
+        met = {(i, j): over[i, j] for i, j in best_assignment(over)}
+    for (i, j), o in met.items():
+        if o >= overlap:
             out[j] = i
-    left = [i for i in range(len(tracks)) if i not in out]
+    took = set(out)
+    left = [i for i in range(len(tracks)) if i not in took]
     free = [j for j in range(len(boxes)) if out[j] is None]
     if left and free:
         middle = lambda b: (b[:, :2] + b[:, 2:]) / 2
-        far = np.linalg.norm(middle(tracks[left])[:, None] - middle(boxes[free])[None], axis=2)
+        gap = middle(tracks[left])[:, None] - middle(boxes[free])[None]
+        far = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2)
         for i, j in best_assignment(-far):
             if far[i, j] <= reach:
                 out[free[j]] = left[i]
     return out
 
 
+def _overlaps(tracks: np.ndarray, boxes: np.ndarray) -> dict[tuple[int, int], float]:
+    """The pairs of ``iou_matrix`` that are not 0, with their value; by plain numbers for the few boxes of a frame."""
+    if len(tracks) * len(boxes) > SMALL:
+        over = iou_matrix(tracks, boxes)
+        return {(i, j): over[i, j] for i, j in np.argwhere(over).tolist()}
+    out, sized = {}, [(j, *b, max(b[2] - b[0], 0.0) * max(b[3] - b[1], 0.0)) for j, b in enumerate(boxes.tolist())]
+    for i, (p, q, r, s) in enumerate(tracks.tolist()):
+        mine = max(r - p, 0.0) * max(s - q, 0.0)
+        for j, x1, y1, x2, y2, size in sized:
+            if x1 < r and p < x2 and y1 < s and q < y2:
+                inter = (min(r, x2) - max(p, x1)) * (min(s, y2) - max(q, y1))
+                union = mine + size - inter
+                if inter > 0 and union > 0:
+                    out[i, j] = inter / union
+    return out
+
+
 @dataclass
 class Seeds:
     """The boxes of the last frame by track, and the next new id."""
@@ -90,7 +114,7 @@ def reseeded(boxes: DataFrame, *, overlap: float = 0.2, reach: float = 250.0) ->
     without ``box``, in the frame that left it).
     """
     shape = SHAPE.format(kind=boxes.schema["clip"].dataType.simpleString())
-    return boxes.groupBy("clip").applyInPandas(lambda pdf: Seeds(overlap, reach).frames(pdf[["clip", "frame", "box", *BOX, "held"]]), shape)
+    return spread(boxes, "clip").groupBy("clip").applyInPandas(lambda pdf: Seeds(overlap, reach).frames(pdf[["clip", "frame", "box", *BOX, "held"]]), shape)
 
 
 def reseeded_stream(boxes: DataFrame, *, overlap: float = 0.2, reach: float = 250.0) -> DataFrame:
