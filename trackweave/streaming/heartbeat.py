@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackweave.operators.tasks import spread
+
 ENDS = ("done", "failed")
 US = 1_000_000
 _FIELDS = ["us", "kind", "done", "total"]
@@ -90,7 +92,7 @@ def pulses(updates: DataFrame, *, every: float = 1.0, quiet: float = 90.0, stale
         pulse = Pulse(*waits)
         return _table(pdf["job"].iloc[0], pulse.rows(pdf) + pulse.until(int(pdf["end"].iloc[0])))
 
-    return rows.groupBy("job").applyInPandas(run, _shape(updates))
+    return spread(rows, "job").groupBy("job").applyInPandas(run, _shape(updates))
 
 
 def pulses_stream(updates: DataFrame, *, every: float = 1.0, quiet: float = 90.0, stale: float = 1800.0, delay: str = "0 seconds") -> DataFrame:
