@@ -211,3 +211,15 @@ def test_overlap_of_a_frame_by_sampling(spark):
     got = {r["i"]: r["overlap"] for r in planes.rectangle_overlap(spark.createDataFrame(quads, "i int, quad array<struct<x:double,y:double>>"), "quad", 60.0, 40.0).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.01 for i in want)
     assert sum(0.02 < v < 0.98 for v in want.values()) > 15
+
+
+def test_clips_are_dealt_to_all_tasks(spark):
+    from trackweave.operators import registration
+    from trackweave.streaming import heartbeat
+
+    clicks = spark.createDataFrame([(c, "point", "a", 0, 1.0, 1.0, None, None, 0) for c in range(40)], "clip long, kind string, name string, frame long, x1 double, y1 double, x2 double, y2 double, hops int")
+    updates = spark.createDataFrame([(j, "running", 1, 2) for j in range(40)], "job long, state string, done long, total long").selectExpr("*", "timestamp_seconds(job) as at")
+    for out in (registration.fused_solve(clicks, {"a": (0.0, 0.0)}, {}), heartbeat.pulses(updates)):
+        assert out.count() == 40
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, "few bytes and much work: adaptive execution must not put the tasks together"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions.courts import on_landmarks
 from trackweave.operators.court import hull_area, homography
+from trackweave.operators.tasks import spread
 
 #: Subsets of four that are tried at most; if there are no more of them, all are.
 DRAWS = 512
@@ -118,12 +119,12 @@ def robust_calibrated(landmarks: DataFrame, keys: list[str] | None = None, **gua
     """keys, solved, reason, landmarks, inliers, rms_px, h (row-major, court to image) of every frame.
 
     ``landmarks``: keys (clip, frame), court_x, court_y, x, y. A frame's landmarks are at most those of the court,
-    so they are listed map-side and solved by batches of frames.
+    so they are listed by Spark and solved by batches of frames.
     """
     keys = keys or ["clip", "frame"]
     cells = ["court_x", "court_y", "x", "y"]
     known = landmarks.where(" and ".join(f"{c} is not null" for c in cells))
-    listed = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in cells]))).alias("marks"))
+    listed = spread(known, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in cells]))).alias("marks"))
     kinds = {f.name: f.dataType.simpleString() for f in landmarks.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

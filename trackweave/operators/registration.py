@@ -12,6 +12,7 @@ from trackweave.functions.courts import Point
 from trackweave.operators.calibration import projected
 from trackweave.operators.court import homography, hull_area
 from trackweave.operators.identity import cut
+from trackweave.operators.tasks import spread
 
 
 def chained(links: DataFrame, *, width: int = 4096, clip: str = "clip", frame: str = "frame", least_inliers: int = 25, least_overlap: float = 0.3) -> DataFrame:
@@ -62,7 +63,7 @@ def _prefixes(rows: DataFrame, clip: str, width: int) -> DataFrame:
         return pd.DataFrame({clip: [pdf[clip].iloc[0]], "_at": [pdf["_block"].iloc[0]], "_kind": [last], "_m": [None if m is None else m.ravel().tolist()]})
 
     if many:
-        blocks = blocked.groupBy(clip, "_block").applyInPandas(whole, f"`{clip}` {kind}, _at bigint, _kind string, _m array<double>")
+        blocks = spread(blocked, clip, "_block").groupBy(clip, "_block").applyInPandas(whole, f"`{clip}` {kind}, _at bigint, _kind string, _m array<double>")
         entered = _prefixes(blocks, clip, width).select(clip, (F.col("_at") + 1).alias("_block"), F.col("_out").alias("_in"))
         blocked = blocked.join(entered, [clip, "_block"], "left")
     else:
@@ -75,7 +76,7 @@ def _prefixes(rows: DataFrame, clip: str, width: int) -> DataFrame:
         found = _fold(pdf["_kind"].to_numpy(), pdf["_m"].tolist(), state)
         return pdf[[clip, "_at"]].assign(_out=[None if m is None else m.ravel().tolist() for _, m in found])
 
-    return blocked.groupBy(clip, "_block").applyInPandas(inside, f"`{clip}` {kind}, _at bigint, _out array<double>")
+    return spread(blocked, clip, "_block").groupBy(clip, "_block").applyInPandas(inside, f"`{clip}` {kind}, _at bigint, _out array<double>")
 
 
 def hubs(clicks: DataFrame, clip: str = "clip", frame: str = "frame") -> DataFrame:
@@ -154,7 +155,7 @@ def fused_solve(merged: DataFrame, points: dict[str, Point], lines: dict[str, tu
         return pdf[[clip, "kind", "name", "frame", "hops"]].assign(residual=residual, again=residual > rms, h=[None if h is None else h.ravel().tolist()] * len(pdf), rms_px=error, coverage=spread, verdict=verdict)
 
     kinds = {f.name: f.dataType.simpleString() for f in merged.schema}
-    return merged.groupBy(clip).applyInPandas(run, f"`{clip}` {kinds[clip]}, kind string, name string, frame {kinds['frame']}, hops int, residual double, again boolean, h array<double>, rms_px double, coverage double, verdict string")
+    return spread(merged, clip).groupBy(clip).applyInPandas(run, f"`{clip}` {kinds[clip]}, kind string, name string, frame {kinds['frame']}, hops int, residual double, again boolean, h array<double>, rms_px double, coverage double, verdict string")
 
 
 def fused_calibration(clicks: DataFrame, links: DataFrame, points: dict[str, Point], lines: dict[str, tuple[Point, Point]], *, hub: DataFrame | None = None, least_inliers: int = 25) -> DataFrame:
