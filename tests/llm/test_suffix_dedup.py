@@ -166,3 +166,18 @@ def test_no_task_holds_a_group_that_grows(spark, awkward, monkeypatch):
     # Of a window that 300 rows have only the first of each batch is sent on.
     assert runs.where("hot and text is not null").groupBy("text").count().agg({"count": "max"}).first()[0] <= 10
     assert result(suffix_dedup(docs)) == brute(rows)
+
+
+def test_judged_windows_of_a_hot_anchor_go_as_one_run(spark, monkeypatch):
+    rng = random.Random(23)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, f"{rng.random()}" * 3 + line * 4 + f"{rng.random()}" * 3) for i in range(60)]
+    monkeypatch.setattr(module, "HOT_PLACES", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    distinct = module.distinct_rows(docs, module.repeated_ids(docs))
+    repeated = module.repeated_anchors(module.anchors_of(distinct, 100), within=True, hot=20)
+    runs = module.runs_of(distinct, repeated, 100).where("hot")
+    # The first row keeps a line's windows singly and has the rest as runs; others have theirs as few runs, not one a window.
+    assert runs.where("text is null").groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 12
+    assert runs.where("text is null").agg({"windows": "sum"}).first()[0] > 60 * 300
+    assert result(suffix_dedup(docs)) == brute(rows)

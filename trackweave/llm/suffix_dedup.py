@@ -148,7 +148,7 @@ def neighbours(at: np.ndarray, of_window: np.ndarray) -> Iterator[tuple[int, int
 
 
 def without_copies(found: list[tuple], ids: list, versions: list) -> Iterator[tuple]:
-    """The runs of a batch, those whose text starts earlier in the batch without their text.
+    """The runs of a batch, those whose text starts earlier in the batch without their text and, where one follows another, as one.
 
     ``found``: (row, anchor, start, windows, text, hot), by row and start. Rows with the same id don't come before each other.
     """
@@ -156,14 +156,25 @@ def without_copies(found: list[tuple], ids: list, versions: list) -> Iterator[tu
     for r in found:
         low[r[4]] = min(ids[r[0]], low.get(r[4], ids[r[0]]))
     own: set[tuple] = set()
+    held: tuple | None = None
     for r in found:
         here = (r[4], versions[r[0]])
         if ids[r[0]] > low[r[4]] or here in own:
+            if held and held[0] == r[0] and held[2] + held[3] == r[2] and held[5] == r[5]:
+                held = (*held[:3], held[3] + r[3], *held[4:])
+                continue
+            if held:
+                yield held
             # It is judged already, so it is dealt by its place.
-            yield (r[0], xxhash.xxh3_64_intdigest(f"{ids[r[0]]} {r[2]}"), *r[2:4], None, r[5])
+            held = (r[0], xxhash.xxh3_64_intdigest(f"{ids[r[0]]} {r[2]}"), *r[2:4], None, r[5])
         else:
             own.add(here)
+            if held:
+                yield held
+                held = None
             yield r
+    if held:
+        yield held
 
 
 def runs_of(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
