@@ -229,3 +229,18 @@ def test_tracker_ranks_only_pairs_inside_the_gate():
     for _ in range(6):
         wide.step(rng.uniform(0, 2000, (400, 2)))
     assert time.perf_counter() - began < 4, "two thousand tracks and 400 points a frame"
+
+
+def test_groups_of_few_rows_go_to_python_by_batches(spark):
+    rng = np.random.default_rng(5)
+    columns = ["clip", "tid", "number", "votes", "total", "start", "end", "kit"]
+    rows = [(c, t, str(int(rng.integers(3))), int(rng.integers(3, 9)), int(rng.integers(9, 12)), s := int(rng.integers(80)), s + int(rng.integers(5, 40)), [None, 0.0, 1.0][int(rng.integers(3))]) for c in range(300) for t in range(1, 7)]
+    df = spark.createDataFrame(rows, "clip long, tid long, number string, votes long, total long, start long, end long, kit double")
+    out = assign.tracklet_merges(df, "clip")
+    want = {(c, t, to) for c, part in pd.DataFrame(rows, columns=columns).groupby("clip") for t, to in assign.merged_tracklets(part).items()}
+    assert want and {tuple(r) for r in out.collect()} == want
+    votes = spark.createDataFrame([(c, t, n, float(1 + (c + t * n) % 4)) for c in range(50) for t in range(1, 4) for n in (1, 2, 3)], "clip long, tid long, number long, votes double")
+    pairs = assign.assigned(votes, ["clip"], "tid", "number", "votes", 3)
+    assert pairs.groupBy("clip", "tid").count().where("count > 1").count() == pairs.groupBy("clip", "number").count().where("count > 1").count() == 0
+    for made in (out, pairs):  # no pandas frame for each of the groups, which are as many as there are clips
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
