@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.tasks import spread
+
 
 def ranked(rows: DataFrame, order: list[Column], limit: int, keys: list[str] | None = None) -> DataFrame:
     """The first ``limit`` rows of each key in order, with their rank; without keys those of the whole table, found by a top-k sort."""
@@ -140,13 +142,19 @@ def wobble(samples: DataFrame, keys: list[str], order: str, solved: str, matrix:
     return out.withColumn("suspect", F.coalesce(F.col("wobble") > limit, F.lit(False))).drop("_here", "_before", "_after")
 
 
-def segment_report(labels: DataFrame, spine: DataFrame, clip: str, frame: str, tid: str, club: str, *, full: int = 10) -> DataFrame:
+def segment_report(labels: DataFrame, spine: DataFrame, clip: str, frame: str, tid: str, club: str, *, full: int = 10, count: int = 0) -> DataFrame:
     """Per clip over all frames of ``spine`` (frames without a label count): frames, labels, doubles (labels beyond the first of
     a track in a frame), the share of frames with ``full`` labels or more, the mean, proxy (mean / ``full``), short frames,
-    frames with five of each of two clubs, and verdict (no doubles and every frame full)."""
+    frames with five of each of two clubs, and verdict (no doubles and every frame full).
+
+    Labels and spine are dealt by frame, in one shuffle each, and everything up to the frame's counts is done there; with
+    ``count``, about how many labels there are, no task has more of them in its tables as there are more.
+    """
+    labels = spread(labels.select(clip, frame, club, tid), clip, frame, count=count)
+    spine = spread(spine.select(clip, frame), clip, frame, count=count)
     per_club = labels.groupBy(clip, frame, club).agg(F.count("*").alias("_n"), F.count_distinct(tid).alias("_t"))
     per_frame = per_club.groupBy(clip, frame).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") - F.col("_t")).alias("doubles"), F.sort_array(F.collect_list("_n")).alias("clubs"))
-    all_frames = spine.select(clip, frame).distinct().join(per_frame, [clip, frame], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    all_frames = spine.distinct().join(per_frame, [clip, frame], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     five = F.count_if(F.col("clubs") == F.array(F.lit(5).cast("bigint"), F.lit(5).cast("bigint")))
     out = all_frames.groupBy(clip).agg(
         F.count("*").alias("frames"), F.sum("n").alias("labels"), F.coalesce(F.sum("doubles"), F.lit(0)).alias("doubles"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators import measures
+from trackweave.operators.tasks import spread
 from trackweave.plans.inputs import EVENTS_SQL, SPANS_SQL, events, order_spans
 from trackweave.plans.registry import query, table
 
@@ -160,7 +161,9 @@ r AS (SELECT clip, count(*) AS frames, CAST(sum(n) AS BIGINT) AS labels, CAST(co
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("clip"), F.col("o_orderkey").alias("frame"))
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("frame"), (F.col("l_suppkey") % 7).alias("tid"), F.col("l_returnflag").alias("club"))
-    return measures.segment_report(lines.join(orders, "frame"), orders, "clip", "frame", "tid", "club", full=4)
+    n = table(spark, sf_dir, "lineitem").count()  # from the file's footer
+    labels = spread(lines, "frame", count=n).join(spread(orders, "frame", count=n), "frame")
+    return measures.segment_report(labels, orders, "clip", "frame", "tid", "club", full=4, count=n)
 
 
 @query(f"WITH {_REPORT} SELECT clip, frames, labels, doubles, round(full_share, 6) AS full_share, round(mean, 6) AS mean, short_frames, five_a_side, round(mean / 4, 6) AS proxy, doubles = 0 AND short_frames = 0 AS verdict FROM r")
