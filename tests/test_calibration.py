@@ -157,6 +157,23 @@ def test_chain_equals_a_sequential_fold(spark, width):
     assert {v[0] for v in want.values()} == {"direct", "chained", "failed"}
 
 
+def test_chain_streams_sorted_rows_through_its_blocks(spark):
+    """Batches that part blocks, frames before zero, one long chain over many blocks; no task lists a block or a whole clip's frames."""
+    step = lambda f: [1.0, 0.0, float(f % 7), 0.0, 1.0, float(f % 5), 0.0, 0.0, 1.0]
+    mine = [(f, step(f) if f in (-40, 90) else None, 60, 0.9, None if f == 70 else step(f), 60) for f in range(-50, 130)]
+    want = sequential(mine)
+    links = spark.createDataFrame([(c, *r, "x") for c in ("a", "b") for r in mine], "clip string, frame long, direct array<double>, direct_inliers int, overlap double, step array<double>, step_inliers int, note string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = registration.chained(links, width=16, keep=["note"])
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out.columns == ["clip", "frame", "note", "method", "h"] and len(got) == 360 and {r["note"] for r in got} == {"x"}
+    assert all(r["method"] == want[r["frame"]][0] and (r["h"] is None if r["method"] == "failed" else np.array_equal(np.reshape(r["h"], (3, 3)), want[r["frame"]][1])) for r in got)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_clicks_of_many_frames_meet_on_the_hub(spark):
     """Five frames seen through known cameras; only neighbours are linked, so clicks come along one, two or three links."""
     court = Court()

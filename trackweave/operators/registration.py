@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from trackweave.functions.boxes import inverse, mapped, product
 from trackweave.functions.courts import Point
@@ -15,68 +21,128 @@ from trackweave.operators.identity import cut
 from trackweave.operators.tasks import spread
 
 
-def chained(links: DataFrame, *, width: int = 4096, clip: str = "clip", frame: str = "frame", least_inliers: int = 25, least_overlap: float = 0.3) -> DataFrame:
-    """``links`` with ``method`` (direct, chained, failed) and ``h`` (row-major, reference to frame; null where failed).
+#: What a frame does to the matrix before it: gives its own, takes a product with it, or ends the chain.
+CONST, STEP, NONE = range(3)
+
 
-    ``links``: clip, frame, direct (matrix of the reference to the frame), direct_inliers, overlap, step (matrix
+def chained(links: DataFrame, *, width: int = 4096, clip: str = "clip", frame: str = "frame", least_inliers: int = 25, least_overlap: float = 0.3, keep: list[str] | None = None, count: int = 0) -> DataFrame:
+    """``links`` (its columns ``keep``, all by default) with ``method`` (direct, chained, failed) and ``h`` (row-major, reference to frame; null where failed).
+
+    ``links``: clip, frame (whole numbers), direct (matrix of the reference to the frame), direct_inliers, overlap, step (matrix
     of the frame before to this one), step_inliers; a clip has each frame once. A frame is direct when that match is good enough, else
     chained to the frame before if that one has a matrix; a failure ends the chain until the next direct frame.
 
     Each frame is a function of the matrix before it: a constant (direct), a product (step) or nothing. Such
-    functions compose, so blocks of ``width`` frames are folded each by itself, the blocks' functions in
-    blocks again until one is left a clip, and what enters a block is then applied inside it.
+    functions compose: blocks of ``width`` frame numbers are folded to one function each, the few functions of a clip one after
+    another, and what enters a block is then applied inside it. Both folds of blocks read one shuffle, as sorted rows that
+    stream by, so a task holds neither a block nor a clip. ``count``: about how many links there are (``tasks.spread``).
     """
     ok = lambda h, n: F.col(h).isNotNull() & (F.coalesce(F.col(n), F.lit(0)) >= least_inliers)
     direct = ok("direct", "direct_inliers") & (F.coalesce(F.col("overlap"), F.lit(0.0)) >= least_overlap)
-    kind = F.when(direct, "const").when(ok("step", "step_inliers"), "step").otherwise("none")
+    kind = F.when(direct, CONST).when(ok("step", "step_inliers"), STEP).otherwise(NONE)
     mine = F.when(direct, F.col("direct")).when(ok("step", "step_inliers"), F.col("step"))
-    place = F.row_number().over(Window.partitionBy(clip).orderBy(frame)) - 1
-    rows = links.select(clip, frame, place.cast("long").alias("_at"), kind.alias("_kind"), mine.alias("_m"))
-    found = _prefixes(rows, clip, width).select(clip, "_at", F.col("_out").alias("h"))
-    named = F.when(F.col("h").isNull(), "failed").when(F.col("_kind") == "const", "direct").otherwise("chained")
-    done = rows.join(found, [clip, "_at"]).select(clip, frame, named.alias("method"), "h")
-    return links.join(done, [clip, frame])
-
-
-def _fold(kinds: np.ndarray, mats: list, state: tuple[str, np.ndarray | None]) -> list[tuple[str, np.ndarray | None]]:
-    """Compositions of the functions up to each place, after ``state``: a constant, a product with what entered, or nothing."""
-    out = []
-    for kind, m in zip(kinds, mats):
-        if kind == "step":
-            m = np.asarray(m, dtype=float).reshape(3, 3)
-            state = ("none", None) if state[0] == "none" else (state[0], m @ state[1])
-        else:
-            state = (kind, None if kind == "none" else np.asarray(m, dtype=float).reshape(3, 3))
-        out.append(state)
+    keep = [c for c in (links.columns if keep is None else keep) if c not in (clip, frame)]
+    known = links.select(clip, F.expr(f"`{frame}` div {width}").alias("_block"), frame, kind.cast("int").alias("_kind"), mine.cast("array<double>").alias("_m"), *keep)
+    rows = spread(known, clip, "_block", count=count)
+    order = [clip, "_block", frame]
+    field = {f.name: f for f in rows.schema}
+    blocks = StructType([field[clip], field["_block"], field["_kind"], field["_m"]])
+    plain = rows.select(*order, "_kind", "_m").sortWithinPartitions(*order)
+    found = plain.mapInArrow(partial(_functions, shape=to_arrow_schema(blocks)), blocks)
+    after = spread(found, clip).sortWithinPartitions(clip, "_block").mapInArrow(partial(_after, shape=to_arrow_schema(blocks)), blocks)
+    entered = after.select(clip, "_block", F.lag("_m").over(Window.partitionBy(clip).orderBy("_block")).alias("_in"))
+    whole = rows.join(entered.hint("shuffle_hash"), [clip, "_block"], "left").select(*order, "_kind", "_m", "_in", *keep).sortWithinPartitions(*order)
+    schema = StructType([field[clip], field[frame], *(field[c] for c in keep)]).add("method", StringType()).add("h", ArrayType(DoubleType()))
+    return whole.mapInArrow(partial(_inside, shape=to_arrow_schema(schema)), schema).select(*[c for c in links.columns if c in (clip, frame, *keep)], "method", "h")
+
+
+def _matrices(column: pa.Array) -> np.ndarray:
+    """n x 3 x 3, zero where null."""
+    out, there = np.zeros((len(column), 3, 3)), column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
     return out
 
 
-def _prefixes(rows: DataFrame, clip: str, width: int) -> DataFrame:
-    """clip, _at, _out: the matrix after each place of a clip whose first place is entered with none; ``rows``: clip, _at, _kind, _m."""
-    kind = rows.schema[clip].dataType.simpleString()
-    blocked = rows.withColumn("_block", F.expr(f"_at div {width}"))
-    many = blocked.where("_block > 0").limit(1).count() > 0
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        last, m = _fold(pdf["_kind"].to_numpy(), pdf["_m"].tolist(), ("step", np.eye(3)))[-1]
-        return pd.DataFrame({clip: [pdf[clip].iloc[0]], "_at": [pdf["_block"].iloc[0]], "_kind": [last], "_m": [None if m is None else m.ravel().tolist()]})
-
-    if many:
-        blocks = spread(blocked, clip, "_block").groupBy(clip, "_block").applyInPandas(whole, f"`{clip}` {kind}, _at bigint, _kind string, _m array<double>")
-        entered = _prefixes(blocks, clip, width).select(clip, (F.col("_at") + 1).alias("_block"), F.col("_out").alias("_in"))
-        blocked = blocked.join(entered, [clip, "_block"], "left")
-    else:
-        blocked = blocked.withColumn("_in", F.lit(None).cast("array<double>"))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        first = pdf["_in"].iloc[0]
-        state = ("none", None) if first is None else ("const", np.asarray(first, dtype=float).reshape(3, 3))
-        found = _fold(pdf["_kind"].to_numpy(), pdf["_m"].tolist(), state)
-        return pdf[[clip, "_at"]].assign(_out=[None if m is None else m.ravel().tolist() for _, m in found])
-
-    return spread(blocked, clip, "_block").groupBy(clip, "_block").applyInPandas(inside, f"`{clip}` {kind}, _at bigint, _out array<double>")
+def _listed(m: np.ndarray, there: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(there) * 9].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m[there].ravel()), mask=pa.array(~there))
+
+
+def _scan(kind: np.ndarray, m: np.ndarray, first: np.ndarray, in_kind: np.ndarray, in_m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compositions of the functions up to each row, group by group; ``in_kind`` and ``in_m``: what enters the rows that are ``first``.
+
+    The n-th products after every start are taken together, each from the left as a plain loop would.
+    """
+    base = first | (kind != STEP)
+    at = np.arange(len(kind))
+    start = np.maximum.accumulate(np.where(base, at, 0))
+    head, out = kind.copy(), m.copy()
+    begun = first & (kind == STEP)
+    head[begun] = in_kind
+    out[begun] = m[begun] @ in_m
+    state, far = head[start], at - start
+    rows = np.flatnonzero((far > 0) & (state != NONE))
+    rows = rows[np.argsort(far[rows], kind="stable")]
+    for r in np.split(rows, np.flatnonzero(np.diff(far[rows])) + 1):
+        out[r] = m[r] @ out[r - 1]
+    return state, out
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], keys: int, kind: int, entry: int, enters: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches sorted by their first ``keys`` columns, with whether a row is the first of its group, and the composition up to it.
+
+    ``kind``: the column of kinds, with the matrices after it; a group is entered with an identity of kind ``entry``, or
+    with the constant in column ``enters``, with nothing where that is null.
+    """
+    held: tuple | None = None
+    for b in (b for b in batches if b.num_rows):
+        kinds, m = b.column(kind).to_numpy().astype(int), _matrices(b.column(kind + 1))
+        codes = [b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy() for i in range(keys)]
+        first = np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)]
+        now = tuple(b.column(i)[0].as_py() for i in range(keys))
+        goes_on = held is not None and held[0] == now
+        begun = np.flatnonzero(first & (kinds == STEP))
+        in_kind, in_m = np.full(len(begun), entry), np.tile(np.eye(3), (len(begun), 1, 1))
+        if enters is not None:
+            given = b.column(enters).take(pa.array(begun))
+            in_m, in_kind = _matrices(given), np.where(given.is_valid().to_numpy(zero_copy_only=False), CONST, NONE)
+        if goes_on and kinds[0] == STEP:
+            in_kind[0], in_m[0] = held[1:]
+        state, out = _scan(kinds, m, first, in_kind, in_m)
+        held = (tuple(b.column(i)[-1].as_py() for i in range(keys)), state[-1], out[-1])
+        first[0] = not goes_on
+        yield b, first, state, out
+
+
+def _functions(batches: Iterator[pa.RecordBatch], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """clip, block, kind and matrix of each block's function; batches: clip, block, frame, kind, matrix."""
+
+    def made(b: pa.RecordBatch, rows: np.ndarray, state: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(state[rows].astype(np.int32)), _listed(out[rows], state[rows] != NONE)], schema=shape)
+
+    last: pa.RecordBatch | None = None
+    for b, first, state, out in _streamed(batches, 2, 3, STEP):
+        if last is not None and first[0]:
+            yield last
+        yield made(b, np.flatnonzero(first[1:]), state, out)
+        last = made(b, np.array([len(first) - 1]), state, out)
+    if last is not None:
+        yield last
+
+
+def _after(batches: Iterator[pa.RecordBatch], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The matrix after each block of a clip; batches: clip, block, kind, matrix."""
+    for b, _, state, out in _streamed(batches, 1, 2, NONE):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(state.astype(np.int32)), _listed(out, state == CONST)], schema=shape)
+
+
+def _inside(batches: Iterator[pa.RecordBatch], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """clip, frame, the columns kept, method and matrix; batches: clip, block, frame, kind, matrix, what enters the block, the columns kept."""
+    for b, _, state, out in _streamed(batches, 2, 3, NONE, 5):
+        there = state == CONST
+        method = np.where(~there, "failed", np.where(b.column(3).to_numpy() == CONST, "direct", "chained"))
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([b.column(0), b.column(2), *b.columns[6:], pa.array(method), _listed(out, there)], shape)], schema=shape)
 
 
 def hubs(clicks: DataFrame, clip: str = "clip", frame: str = "frame") -> DataFrame:

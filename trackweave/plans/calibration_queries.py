@@ -66,7 +66,7 @@ def registration_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("l_orderkey div 2000").alias("clip"), (F.col("l_orderkey") % 2000 * 8 + F.col("l_linenumber")).alias("frame"), h.alias("direct"), (F.col("l_partkey") % 60).alias("direct_inliers"),
         F.when(F.col("l_suppkey") % 10 >= 8, 0.3).otherwise(0.29).alias("overlap"), F.when(F.col("l_partkey") % 13 > 0, h).alias("step"), (F.col("l_suppkey") % 40 + 20).alias("step_inliers"),
     )
-    out = registration.chained(links, width=512)
+    out = registration.chained(links, width=512, keep=[], count=table(spark, sf_dir, "lineitem").count())
     return out.select("clip", "frame", "method", F.col("h")[1].alias("a"), F.col("h")[2].alias("b"), F.col("h")[5].alias("c"))
 
 
