@@ -232,3 +232,22 @@ def test_backups_provenance_and_caches(spark, tmp_path):
     (tmp_path / "out").mkdir()
     (tmp_path / "out" / "seg19_fused_tracks.json").write_text('{"video": "seg_01m10.87s_19s.mp4", "fps": 60, "frames": {}}')
     assert [tuple(r) for r in sidecars.sidecar_videos(spark, str(tmp_path / "out")).collect()] == [("seg19_fused", "seg_01m10.87s_19s.mp4")]
+
+
+def test_no_task_sorts_a_whole_track_to_find_its_runs(spark, monkeypatch):
+    monkeypatch.setattr(paths, "BLOCK", 8)
+    rng = random.Random(4)
+    frames = sorted({f for a in range(-60, 200, 20) for f in range(a, a + rng.randrange(1, 20))} | set(range(60, 110)) | {207, 208, 300})
+    rows = [(t, 3, f, float(f), 1.0) for t in (1, 2) for f in frames]
+    out = paths.with_runs(spark.createDataFrame(rows, PATHS).repartition(4), ["clip", "tid"], "frame")
+    want, run = {}, 0
+    for before, f in zip([None, *frames], frames):
+        run += before is None or f - before > 1
+        want[f] = run
+    got = out.collect()
+    assert len(got) == len(rows) and {(r.clip, r._run) for r in got} == {(c, r) for c in (1, 2) for r in {x._run for x in got if x.clip == c}}
+    for c in (1, 2):
+        mine = {r.frame: r._run for r in got if r.clip == c}
+        assert len({(want[f], r) for f, r in mine.items()}) == len(set(want.values())) == len(set(mine.values()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and "row_number() windowspecdefinition(clip#" in plan  # by clip, track and block

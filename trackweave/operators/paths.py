@@ -16,6 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.tasks import spread
+
+#: Frame numbers of a block in which starts of runs are looked for.
+BLOCK = 4096
+
 
 def smoothing_weights(window: int, degree: int) -> np.ndarray:
     """Row p: weights of a window's samples for the value at its place p."""
@@ -30,10 +35,37 @@ def _table(weights: dict[int, np.ndarray], size: Column, place: Column) -> Colum
     return F.get(F.get(rows, ((size - sizes[0]) / 2).cast("int")), place.cast("int"))
 
 
-def cleaned(positions: DataFrame, keys: list[str], at: str = "frame", *, sigma: float = 3.5, least: float = 0.6 * 0.3048, longest: int = 18, pad: int = 2, window: int = 9, degree: int = 2, shortest: int = 5, places: int = 2) -> DataFrame:
-    """``positions`` (keys, at, x, y) with cleaned x and y, and ``edited``: whether the sample was part of an excursion. One shuffle, by the keys."""
-    track = Window.partitionBy(*keys).orderBy(at)
-    rows = positions.withColumn("_run", F.col(at) - F.row_number().over(track))
+def with_runs(rows: DataFrame, keys: list[str], at: str, count: int = 0) -> DataFrame:
+    """``rows`` with ``_run``, the same for all of a run and for no other of its track; dealt to tasks by run.
+
+    Starts are found in blocks of ``BLOCK`` frame numbers, where the last frame of a block is also seen by the next one; what goes on
+    from the block before has the latest start of the blocks before. So no task sorts a whole track. ``count``: about how many rows there are (``tasks.spread``).
+    """
+    here, then = F.expr(f"`{at}` div {BLOCK}"), F.expr(f"(`{at}` + 1) div {BLOCK}")
+    place = lambda b, seen: F.struct(b.alias("block"), F.lit(seen).alias("seen"))
+    seen = rows.withColumn("_e", F.explode(F.when(here == then, F.array(place(here, False))).otherwise(F.array(place(here, False), place(then, True)))))
+    seen = seen.withColumn("_block", F.col("_e.block")).withColumn("_seen", F.col("_e.seen")).drop("_e")
+
+    def started(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys, "_block").orderBy(at, F.desc("_seen"))
+        new = ~F.col("_seen") & F.coalesce(F.col(at) - F.lag(at).over(w) != 1, F.lit(True))
+        start = F.when(new, F.struct(F.col(at).alias("at"), F.row_number().over(w).alias("n")))
+        latest = F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return spread(found, *keys, "_block", count=count).withColumn("_run", latest)
+
+    last = started(seen.select(*keys, at, "_block", "_seen")).groupBy(*keys, "_block").agg(F.max("_run").alias("_run"))
+    before = F.last("_run", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), before.alias("_before"))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_{i}")) & same
+    named = started(seen).where("not _seen").join(carried.hint("shuffle_hash"), same, "left").withColumn("_run", F.coalesce("_run", "_before"))
+    return spread(named.select(*rows.columns, "_run"), *keys, "_run", count=count)
+
+
+def cleaned(positions: DataFrame, keys: list[str], at: str = "frame", *, sigma: float = 3.5, least: float = 0.6 * 0.3048, longest: int = 18, pad: int = 2, window: int = 9, degree: int = 2, shortest: int = 5, places: int = 2, count: int = 0) -> DataFrame:
+    """``positions`` (keys, at, a whole number, x, y) with cleaned x and y, and ``edited``: whether the sample was part of an excursion; ``count`` as in ``with_runs``."""
+    rows = with_runs(positions, keys, at, count)
     run = Window.partitionBy(*keys, "_run")
     order = run.orderBy(at)
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,8 +103,7 @@ def cleaned(positions: DataFrame, keys: list[str], at: str = "frame", *, sigma:
 
 def wobble(positions: DataFrame, keys: list[str], at: str = "frame", shortest: int = 5) -> DataFrame:
     """keys, run (its first frame), wobble: mean absolute second difference of x and y along each run of ``shortest`` samples or more."""
-    track = Window.partitionBy(*keys).orderBy(at)
-    rows = positions.withColumn("_run", F.col(at) - F.row_number().over(track))
+    rows = with_runs(positions, keys, at)
     order = Window.partitionBy(*keys, "_run").orderBy(at)
     second = lambda c: F.abs(F.col(c) - 2 * F.lag(c).over(order) + F.lag(c, 2).over(order))
     rows = rows.select(*keys, "_run", F.col(at).alias("_at"), ((second("x") + second("y")) / 2).alias("_w"))

@@ -36,7 +36,7 @@ def cleaned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("tid"), F.col("l_orderkey").alias("frame")).agg(F.min(F.col("l_partkey") % 10).alias("p"), F.min("l_linenumber").alias("n"))
     away = F.when((F.col("frame") % 300).between(40, 45), 5).otherwise(0)
     rows = li.select("tid", "frame", (F.col("p") / 50 + F.col("frame") % 2000 * 0.01 + away).alias("x"), (1 + F.col("n") / 20).alias("y"))
-    out = paths.cleaned(rows, ["tid"], places=5)
+    out = paths.cleaned(rows, ["tid"], places=5, count=table(spark, sf_dir, "lineitem").count())
     return out.select("tid", "frame", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "edited")
 
 
