@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions.courts import EIGHTEEN, Court, candidates, landmark_table, on_landmarks
 from trackweave.operators import calibration, planes, registration
+from trackweave.operators.tasks import ROWS_A_TASK
 
 H = np.array([[40, 3, 100], [2, 35, 60], [0.002, 0.001, 1]])
 CORNERS = np.array([[0, 0], [28, 0], [28, 15], [0, 15]], float)
@@ -52,6 +53,37 @@ def test_best_subset_of_a_small_frame_is_found_by_all_subsets():
         assert inside.sum() >= most
 
 
+def test_all_subsets_are_tried_where_the_draws_may_have_missed():
+    """Seven of 24 landmarks are in place; no draw of these frames has four of them."""
+    for seed in (3, 4):
+        rng = np.random.default_rng(seed)
+        p = np.c_[rng.uniform(0, 28, 24), rng.uniform(0, 15, 24)]
+        q, wrong = calibration.projected(H, p), rng.permutation(24)[7:]
+        q[wrong] = rng.uniform(0, 2000, (17, 2))
+        h, inside = calibration.consensus(p, q)
+        assert set(np.flatnonzero(inside)) == set(range(24)) - set(wrong) and np.allclose(h / h[2, 2], H, atol=1e-6)
+
+
+def test_frames_are_solved_as_a_stack():
+    """Each frame has what it has alone, whatever its neighbours are: all false, on a line, without finite numbers."""
+    rng = np.random.default_rng(6)
+    frames = [falsified(rng, 15, share, noise)[:2] for share in (0.1, 0.3, 0.5) for noise in (0.0, 1.0) for _ in range(8)]
+    p, q = (np.stack(side) for side in zip(*frames))
+    q[3], p[5, :, 1], q[9, 2], p[11, 4] = rng.uniform(0, 900, (15, 2)), p[5, :, 0] / 2, np.nan, np.inf
+    h, inliers, error, reason = calibration.robust_frames(p, q, least=9)
+    for i in range(len(p)):
+        alone = calibration.robust_frame(p[i], q[i], least=9)
+        assert (inliers[i], reason[i]) == (alone["inliers"], alone["reason"]) and np.allclose(error[i], alone["rms_px"], equal_nan=True)
+        assert np.isnan(h[i]).all() if alone["h"] is None else np.allclose(h[i] / h[i, 2, 2], alone["h"] / alone["h"][2, 2], atol=1e-6)
+    assert {None, "too few landmarks agree", "small coverage", "undetermined"} == set(reason)
+
+
+def test_more_landmarks_more_tasks(spark):
+    rows = spark.range(40).selectExpr("id div 20 as clip", "id div 10 as frame", "double(id) as court_x", "double(id % 7) as court_y", "double(id) as x", "double(id) as y")
+    out = calibration.robust_calibrated(rows, count=6 * ROWS_A_TASK)
+    assert out.count() == 4 and ", 6)" in out._jdf.queryExecution().toString()
+
+
 def test_guards_refuse():
     rng = np.random.default_rng(4)
     p, q, _ = falsified(rng, 12, 0.25)

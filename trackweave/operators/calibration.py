@@ -7,139 +7,269 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from trackweave.functions.courts import on_landmarks
-from trackweave.operators.court import hull_area, homography
+from trackweave.operators.court import homographies, homography, hull_area
 from trackweave.operators.tasks import spread
 
-#: Subsets of four that are tried at most; if there are no more of them, all are.
+#: Seeded subsets of four that are tried first; if there are no more of them, all are.
 DRAWS = 512
+#: Frames with at most so many subsets have all of them tried where the draws may have missed the best set (43 landmarks; a court has fewer).
+ALL_SUBSETS = 131_072
+#: Chance of a miss below which the draws are enough.
+MISS = 1e-9
+#: Errors that are held at once, for each frame, subset and landmark.
+CELLS = 131_072
 
 
 def projected(h: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Points through one matrix or through a stack of them; infinite where they have no image."""
-    q = np.c_[points, np.ones(len(points))] @ np.swapaxes(h, -1, -2)
+    q = np.concatenate([points, np.ones((*points.shape[:-1], 1))], axis=-1) @ np.swapaxes(h, -1, -2)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = q[..., :2] / q[..., 2:]
     return np.where(np.isfinite(out), out, np.inf)
 
 
-def _centred(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A similarity that brings all points of a stack to the middle of a unit square, and what it makes of them."""
-    low, high = points.min(axis=(0, 1)), points.max(axis=(0, 1))
-    middle, size = (low + high) / 2, max(float((high - low).max()) / 2, 1e-12)
-    return np.array([[1 / size, 0, -middle[0] / size], [0, 1 / size, -middle[1] / size], [0, 0, 1]]), (points - middle) / size
+def _centred(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The middle and half the width of each frame's points, and the points brought to the middle of a unit square (k x n x 2)."""
+    low, high = points.min(axis=1), points.max(axis=1)
+    middle, size = (low + high) / 2, np.maximum((high - low).max(axis=1) / 2, 1e-12)
+    return middle, size, (points - middle[:, None]) / size[:, None, None]
 
 
-def four_point_matrices(points: np.ndarray, images: np.ndarray) -> np.ndarray:
-    """Exact matrices of stacks of four pairs (s x 4 x 2 each), all NaN where they have none."""
-    before, points = _centred(points)
-    after, images = _centred(images)
-    x, y, u, v = points[..., 0], points[..., 1], images[..., 0], images[..., 1]
-    one, zero = np.ones_like(x), np.zeros_like(x)
-    top = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], axis=-1)
-    low = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], axis=-1)
-    a, b = np.concatenate([top, low], axis=1), np.concatenate([u, v], axis=1)
-    good = np.abs(np.linalg.det(a)) > 1e-9
-    out = np.full((len(a), 9), np.nan)
-    out[good, :8], out[good, 8] = np.linalg.solve(a[good], b[good][..., None])[..., 0], 1.0
-    return np.linalg.inv(after) @ out.reshape(-1, 3, 3) @ before
+def _similar(middle: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Matrices that scale by ``size`` and then move to ``middle``."""
+    m = np.zeros((len(size), 3, 3))
+    m[:, 0, 0] = m[:, 1, 1] = size
+    m[:, :2, 2], m[:, 2, 2] = middle, 1
+    return m
+
+
+def four_point_matrices(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact matrices (k x 9 x s, row-major) of four points (x, y) and their images (u, v), each k x 4 x s; all NaN where three points or three images are on a line."""
+    j, k = [1, 2, 0], [2, 0, 1]
+
+    def basis(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the inverse of the first three points' matrix (k x 3 columns x 3 x s) and the fourth point's shares of them, both times twice the triangle's area."""
+        xj, xk, yj, yk = x[:, j], x[:, k], y[:, j], y[:, k]
+        rows = np.stack([yj - yk, xk - xj, xj * yk - xk * yj], axis=1)
+        return rows, rows[:, 0] * x[:, 3:] + rows[:, 1] * y[:, 3:] + rows[:, 2]
+
+    (rows, a), (_, b) = basis(x, y), basis(u, v)
+    # A share is the signed area of the triangle with the fourth point in one corner's place; all three make up the triangle itself.
+    good = np.ones((len(x), x.shape[2]), dtype=bool)
+    for area in (a, b):
+        good &= (np.abs(area).min(axis=1) > 1e-9) & (np.abs(area.sum(axis=1)) > 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight = b / a
+    np.copyto(weight, np.nan, where=~good[:, None])
+    ends = np.stack([weight * u[:, :3], weight * v[:, :3], weight], axis=1)
+    h = ends[:, :, None, 0] * rows[:, None, :, 0]
+    for i in (1, 2):
+        h += ends[:, :, None, i] * rows[:, None, :, i]
+    return h.reshape(len(h), 9, -1)
 
 
 def subsets_of_four(n: int, seed: int = 0) -> np.ndarray:
     """All subsets of four of ``n``, or ``DRAWS`` seeded ones where there are more."""
     if comb(n, 4) <= DRAWS:
-        return np.array(list(combinations(range(n), 4)), dtype=int).reshape(-1, 4)
+        return all_subsets(n)
     rng = np.random.default_rng(seed)
     return np.argsort(rng.random((DRAWS, n)), axis=1)[:, :4]
 
 
-def consensus(points: np.ndarray, images: np.ndarray, tolerance: float = 8.0, rounds: int = 10) -> tuple[np.ndarray | None, np.ndarray]:
-    """Matrix from points to images that most pairs agree on to ``tolerance`` pixels, and which these are.
+def all_subsets(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 4)), dtype=int).reshape(-1, 4)
+
 
-    Every subset of four proposes its exact matrix; the one that most pairs agree with wins (the
-    smaller sum of their errors on a tie). It is fitted again to all that agree until these
-    stay the same. The subsets are seeded, so equal frames give equal matrices.
+def _best_of(picks: np.ndarray, p: np.ndarray, q: np.ndarray, tolerance: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the matrices that ``picks`` propose for each frame (points p, images q, both centred) the one that most pairs agree with, how many do and the sum of their errors; NaN and 0 without any.
+
+    ``room``: three arrays to work in, as fresh ones cost more than what is reckoned in them.
     """
-    none = np.zeros(len(points), dtype=bool)
-    if len(points) < 4:
-        return None, none
-    picks = subsets_of_four(len(points))
-    tried = four_point_matrices(points[picks], images[picks])
-    tried = tried[np.isfinite(tried).all(axis=(1, 2))]
-    if not len(tried):
-        return None, none
-    far = np.hypot(*np.moveaxis(projected(tried, points) - images, -1, 0))
-    agree = far <= tolerance
-    best = np.lexsort((np.where(agree, far, 0).sum(axis=1), -agree.sum(axis=1)))[0]
-    h, inside = tried[best], agree[best]
+    x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
+    h = four_point_matrices(*(c.take(picks.T, axis=1) for c in (x, y, u, v)))
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    size = (len(p), x.shape[1], len(picks))
+    depth, off, low = (r[: np.prod(size)].reshape(size) for r in room)
+    with np.errstate(all="ignore"):
+        np.matmul(np.stack([x, y, one], axis=-1), h[:, 6:], out=depth)
+        np.matmul(np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], axis=-1), h, out=off)
+        np.matmul(np.stack([x, y, one, -v * x, -v * y, -v], axis=-1), h[:, 3:], out=low)
+        for c in (depth, off, low):
+            c *= c
+        off += low
+        off /= depth
+        agree = off <= (tolerance**2)[:, None, None]
+        np.sqrt(off, out=off)
+    np.copyto(off, 0.0, where=~agree)
+    count = agree.sum(axis=1, dtype=np.int32)
+    most = count.max(axis=1)
+    error = np.where(count == most[:, None], off.sum(axis=1), np.inf)
+    first, frame = error.argmin(axis=1), np.arange(len(p))
+    return np.where(most[:, None] > 0, h[frame, :, first], np.nan).reshape(-1, 3, 3), most, error[frame, first]
+
+
+def _proposed(points: np.ndarray, images: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each frame (k x n x 2 each) the matrix of four pairs that most pairs agree with, the smaller sum of their errors first; NaN without any."""
+    k, n = points.shape[:2]
+    with np.errstate(invalid="ignore"):
+        (middle, width, p), (place, size, q) = _centred(points), _centred(images)
+    near = tolerance / size
+    best, most, error = np.full((k, 3, 3), np.nan), np.zeros(k, dtype=int), np.full(k, np.inf)
+
+    room = np.empty((3, max(CELLS, n)))
+    many = max(1, CELLS // n)
+
+    def search(frames: np.ndarray, picks: np.ndarray) -> None:
+        for i in range(0, len(picks), many):
+            part = picks[i : i + many]
+            deal = max(1, CELLS // (n * len(part)))
+            for at in (frames[j : j + deal] for j in range(0, len(frames), deal)):
+                h, count, off = _best_of(part, p[at], q[at], near[at], room)
+                better = (count > most[at]) | (count == most[at]) & (count > 0) & (off < error[at])
+                best[at[better]], most[at[better]], error[at[better]] = h[better], count[better], off[better]
+
+    search(np.arange(k), subsets_of_four(n))
+    if DRAWS < comb(n, 4) <= ALL_SUBSETS:
+        missed = np.array([(1 - comb(m + 1, 4) / comb(n, 4)) ** DRAWS > MISS if m < n else False for m in range(n + 1)])
+        unsure = np.flatnonzero(missed[most])
+        if len(unsure):
+            search(unsure, all_subsets(n))
+    with np.errstate(invalid="ignore"):
+        return _similar(place, size) @ best @ _similar(-middle / width[:, None], 1 / width)
+
+
+def consensuses(points: np.ndarray, images: np.ndarray, tolerance: float = 8.0, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Of many frames (k x n x 2 each): the matrix from points to images that most pairs agree on to ``tolerance`` pixels (NaN without any), and which these are.
+
+    Subsets of four propose their exact matrices; the one that most pairs agree with wins (the smaller sum of their errors
+    on a tie). It is fitted again to all that agree until these stay the same. The first subsets are seeded, so equal frames
+    give equal matrices; where a larger set could have been missed by them, all subsets are tried.
+    """
+    k, n = points.shape[:2]
+    inside = np.zeros((k, n), dtype=bool)
+    if n < 4 or not k:
+        return np.full((k, 3, 3), np.nan), inside
+
+    def near(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return np.hypot(*np.moveaxis(projected(h, points[at]) - images[at], -1, 0)) <= tolerance
+
+    h = _proposed(points, images, tolerance)
+    active = np.flatnonzero(~np.isnan(h[:, 0, 0]))
+    inside[active] = near(h[active], active)
     for _ in range(rounds):
-        if inside.sum() < 4:
-            break
-        fitted = homography(points[inside], images[inside])
-        if fitted is None:
-            break
-        now = np.hypot(*(projected(fitted, points) - images).T) <= tolerance
-        if now.sum() < inside.sum():
-            break
-        h, same, inside = fitted, bool((now == inside).all()), now
-        if same:
+        active = active[inside[active].sum(axis=1) >= 4]
+        if not len(active):
             break
+        fitted = homographies(points[active], images[active], inside[active])
+        now = near(fitted, active)
+        kept = ~np.isnan(fitted[:, 0, 0]) & (now.sum(axis=1) >= inside[active].sum(axis=1))
+        same = (now == inside[active]).all(axis=1)
+        h[active[kept]], inside[active[kept]] = fitted[kept], now[kept]
+        active = active[kept & ~same]
     return h, inside
 
 
-def robust_frame(points: np.ndarray, images: np.ndarray, *, least: int = 5, area: float = 40.0, rms: float = 12.0, tolerance: float = 8.0, judge: str = "inliers") -> dict:
-    """h, inliers, rms_px, reason of one frame's landmarks.
+def consensus(points: np.ndarray, images: np.ndarray, tolerance: float = 8.0, rounds: int = 10) -> tuple[np.ndarray | None, np.ndarray]:
+    """``consensuses`` of one frame; no matrix is None."""
+    h, inside = consensuses(points[None], images[None], tolerance, rounds)
+    return None if np.isnan(h[0, 0, 0]) else h[0], inside[0]
+
+
+def _too_small(points: np.ndarray, used: np.ndarray, area: float) -> np.ndarray:
+    """Which frames' used points have a hull under ``area``. A polygon of outermost points, inside the hull, settles most."""
+    outer = []
+    for turn in np.arange(8) * np.pi / 4:
+        reach = np.where(used, points @ np.array([np.cos(turn), np.sin(turn)]), -np.inf)
+        outer.append(points[np.arange(len(points)), reach.argmax(axis=1)])
+    x, y = np.moveaxis(np.stack(outer, axis=1), -1, 0)
+    inner = np.abs((x * np.roll(y, -1, axis=1) - y * np.roll(x, -1, axis=1)).sum(axis=1)) / 2
+    small = ~(inner >= area)
+    for i in np.flatnonzero(small):
+        small[i] = hull_area(points[i, used[i]]) < area
+    return small
+
+
+def robust_frames(points: np.ndarray, images: np.ndarray, *, least: int = 5, area: float = 40.0, rms: float = 12.0, tolerance: float = 8.0, judge: str = "inliers") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h (NaN where refused), inliers, rms_px, reason of frames with equally many landmarks (k x n x 2 each).
 
     Refused: fewer landmarks than ``least`` (of those that agree too), a hull of the court points
     used under ``area`` square metres, a root mean square over ``rms`` pixels. ``judge``: whose error
     that is, the ``inliers``' or that of ``all`` landmarks, as the strict rule has it.
     """
-    out = {"h": None, "inliers": 0, "rms_px": float("nan"), "reason": None}
-    if len(points) < least:
-        return out | {"reason": "too few landmarks"}
-    if hull_area(points) < area:
-        return out | {"reason": "small coverage"}
-    h, inside = consensus(points, images, tolerance)
-    if h is None:
-        return out | {"reason": "undetermined"}
-    used = inside if judge == "inliers" else np.ones(len(points), dtype=bool)
-    if inside.sum() < least:
-        return out | {"inliers": int(inside.sum()), "reason": "too few landmarks agree"}
-    if hull_area(points[inside]) < area:
-        return out | {"inliers": int(inside.sum()), "reason": "small coverage"}
-    error = float(np.sqrt((np.hypot(*(projected(h, points[used]) - images[used]).T) ** 2).mean()))
-    return out | {"h": h if error <= rms else None, "inliers": int(inside.sum()), "rms_px": error, "reason": None if error <= rms else "large residual"}
-
-
-def robust_calibrated(landmarks: DataFrame, keys: list[str] | None = None, **guards: object) -> DataFrame:
+    k, n = points.shape[:2]
+    h, inliers, error = np.full((k, 3, 3), np.nan), np.zeros(k, dtype=int), np.full(k, np.nan)
+    if n < least or not n:
+        return h, inliers, error, np.full(k, "too few landmarks" if n < least else "undetermined", dtype=object)
+    reason = np.where(_too_small(points, np.ones((k, n), dtype=bool), area), "small coverage", None).astype(object)
+    at = np.flatnonzero(reason == None)  # noqa: E711
+    found, inside = consensuses(points[at], images[at], tolerance)
+    lost = np.isnan(found[:, 0, 0])
+    reason[at[lost]] = "undetermined"
+    at, found, inside = at[~lost], found[~lost], inside[~lost]
+    inliers[at] = inside.sum(axis=1)
+    few = inliers[at] < least
+    reason[at[few]] = "too few landmarks agree"
+    at, found, inside = at[~few], found[~few], inside[~few]
+    small = _too_small(points[at], inside, area)
+    reason[at[small]] = "small coverage"
+    at, found, inside = at[~small], found[~small], inside[~small]
+    used = inside if judge == "inliers" else np.ones_like(inside)
+    with np.errstate(invalid="ignore", over="ignore"):
+        off = ((projected(found, points[at]) - images[at]) ** 2).sum(axis=2)
+        error[at] = np.sqrt(np.where(used, off, 0.0).sum(axis=1) / used.sum(axis=1))
+    fits = error[at] <= rms
+    h[at[fits]] = found[fits]
+    reason[at[~fits]] = "large residual"
+    return h, inliers, error, reason
+
+
+def robust_frame(points: np.ndarray, images: np.ndarray, **guards: object) -> dict:
+    """h, inliers, rms_px, reason of one frame's landmarks by ``robust_frames``; h is None if refused."""
+    h, inliers, error, reason = (out[0] for out in robust_frames(points[None], images[None], **guards))
+    return {"h": None if np.isnan(h[0, 0]) else h, "inliers": int(inliers), "rms_px": float(error), "reason": reason}
+
+
+def robust_calibrated(landmarks: DataFrame, keys: list[str] | None = None, *, count: int = 0, **guards: object) -> DataFrame:
     """keys, solved, reason, landmarks, inliers, rms_px, h (row-major, court to image) of every frame.
 
-    ``landmarks``: keys (clip, frame), court_x, court_y, x, y. A frame's landmarks are at most those of the court,
-    so they are listed by Spark and solved by batches of frames.
+    ``landmarks``: keys (clip, frame), court_x, court_y, x, y; ``count``: their number, if known. A frame's landmarks are at
+    most those of the court, so they are listed by Spark, and frames with equally many are solved as one stack.
     """
     keys = keys or ["clip", "frame"]
     cells = ["court_x", "court_y", "x", "y"]
-    known = landmarks.where(" and ".join(f"{c} is not null" for c in cells))
-    listed = spread(known, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in cells]))).alias("marks"))
-    kinds = {f.name: f.dataType.simpleString() for f in landmarks.schema}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for marks in pdf["marks"]:
-                p = np.array([[m[c] for c in cells] for m in marks], dtype=float).reshape(-1, 4)
-                found.append(robust_frame(p[:, :2], p[:, 2:], **guards))
-            yield pdf[keys].assign(
-                solved=[f["h"] is not None for f in found], reason=[f["reason"] for f in found], landmarks=[len(m) for m in pdf["marks"]],
-                inliers=[f["inliers"] for f in found], rms_px=[f["rms_px"] for f in found], h=[None if f["h"] is None else f["h"].ravel().tolist() for f in found],
-            )
-
-    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return listed.mapInPandas(run, f"{shape}, solved boolean, reason string, landmarks bigint, inliers bigint, rms_px double, h array<double>")
+    known = landmarks.where(" and ".join(f"{c} is not null" for c in cells)).select(*keys, *[F.col(c).cast("double").alias(c) for c in cells])
+    listed = spread(known, *keys, count=count).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("_m"))
+    flat = listed.select(*keys, F.size("_m").alias("_n"), *[F.col(f"_m.{c}").alias(f"_{i}") for i, c in enumerate(cells)])
+    schema = StructType([landmarks.schema[c] for c in keys]).add("solved", BooleanType()).add("reason", StringType())
+    schema = schema.add("landmarks", LongType()).add("inliers", LongType()).add("rms_px", DoubleType()).add("h", ArrayType(DoubleType()))
+    shape, k = to_arrow_schema(schema), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(k).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            marks = np.stack([b.column(k + 1 + i).flatten().to_numpy() for i in range(4)], axis=1)
+            h, inliers, error = np.full((len(sizes), 9), np.nan), np.zeros(len(sizes), dtype=int), np.full(len(sizes), np.nan)
+            reason = np.full(len(sizes), None, dtype=object)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                rows = marks[starts[at][:, None] + np.arange(n)]
+                m, inliers[at], error[at], reason[at] = robust_frames(rows[..., :2], rows[..., 2:], **guards)
+                h[at] = m.reshape(-1, 9)
+            solved = ~np.isnan(h[:, 0])
+            mats = pa.array([m if ok else None for m, ok in zip(h.tolist(), solved.tolist())], pa.list_(pa.float64()))
+            cols = [*(b.column(i) for i in range(k)), pa.array(solved), pa.array(reason.tolist(), pa.string()), pa.array(sizes), pa.array(inliers), pa.array(error), mats]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, shape)], schema=shape)
+
+    return flat.mapInArrow(run, schema)
 
 
 def reference_gate(keypoints: DataFrame, landmarks: DataFrame, *, least_confidence: float = 0.5, least: int = 6, rms: float = 25.0, keys: list[str] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def robust_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     away = lambda d: F.when(wrong, d).otherwise(0)
     x, y = (40 * X + 3 * Y + 100) / w + away(97 + 13 * (F.col("l_partkey") % 11)), (2 * X + 35 * Y + 60) / w - away(80 + 17 * (F.col("l_suppkey") % 7))
     seen = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 4000").alias("clip"), F.expr("l_orderkey div 5").alias("frame"), X.alias("court_x"), Y.alias("court_y"), x.alias("x"), y.alias("y"))
-    out = calibration.robust_calibrated(seen, least=12)
+    out = calibration.robust_calibrated(seen, least=12, count=table(spark, sf_dir, "lineitem").count())
     m = [F.get("h", F.lit(i)) for i in range(9)]
     z = m[6] * 14 + m[7] * 7.5 + m[8]
     true_z = 0.002 * 14 + 0.001 * 7.5 + 1
